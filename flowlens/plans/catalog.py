@@ -328,3 +328,172 @@ def q_class_weights(spark, sf_dir):
     from flowlens.session import read_table
 
     return D.class_weights(read_table(spark, sf_dir, "labels"), "quality")
+
+
+# -------------------------------------------------------------- cleaning ----
+
+from flowlens.operators import clean as C  # noqa: E402
+
+_RAW_DATASET = "raw_events"
+_FAM_OF_LABEL = _FAMILY_SQL
+_INCLUDED = "('Benign', 'DDoS', 'DoS', 'BruteForce', 'WebAttack')"
+_CANDIDATES = V.RAW_FEATURES
+_COMMON = ("c_value", "c_user", "c_hour", "c_k", "c_sparse")  # c_text is text in every file
+
+
+def _prepared(spark, sf_dir):
+    return C.prepare_flows(V.v_raw(spark, sf_dir), _RAW_DATASET, V.RAW_FEATURES)
+
+
+_PREP_CTES = {
+    "lab": f"SELECT *, {O.norm_label('label')} AS n FROM v_raw",
+    "k": f"""SELECT source_file, source_row, trim(coalesce(label, 'nan')) AS original_label,
+       {_FAM_OF_LABEL} AS attack_family, ({_FAM_OF_LABEL}) IN {_INCLUDED} AS keep,
+       {', '.join(_CANDIDATES)} FROM lab""",
+    "fs": "SELECT source_file, "
+    + ", ".join(
+        f"{O.count_if(f'keep AND NOT {O.missing_text(c)}')} > 0 AND {O.count_if(f'keep AND {O.num(c)} IS NOT NULL')} = 0 AS d_{c}"
+        for c in _CANDIDATES
+    )
+    + " FROM k GROUP BY source_file",
+    "j": "SELECT k.*, " + ", ".join(f"fs.d_{c}" for c in _CANDIDATES) + " FROM k JOIN fs ON k.source_file = fs.source_file",
+    "cl": "SELECT *, keep AND "
+    + " AND ".join(f"(d_{c} OR {O.finite(O.num(c))})" for c in _CANDIDATES)
+    + " AS clean FROM j",
+}
+
+
+@register(
+    "numeric_coercion",
+    O.with_views(
+        "SELECT source_file, source_row, " + ", ".join(f"{O.num(c)} AS {c}" for c in _CANDIDATES) + " FROM v_raw",
+        "v_raw",
+    ),
+)
+def q_numeric_coercion(spark, sf_dir):
+    return C.coerce_columns(V.v_raw(spark, sf_dir), V.RAW_FEATURES, keep=("source_file", "source_row"))
+
+
+@register(
+    "clean_rows",
+    O.with_views(
+        "SELECT "
+        + ", ".join(f"{O.num(c)} AS {c}" for c in _COMMON)
+        + f""", CAST(CASE WHEN attack_family = 'Benign' THEN 0 ELSE 1 END AS INTEGER) AS "Label",
+       '{_RAW_DATASET}' AS dataset, source_file, source_row, original_label, attack_family
+FROM cl WHERE clean""",
+        "v_raw",
+        ctes=_PREP_CTES,
+    ),
+)
+def q_clean_rows(spark, sf_dir):
+    return _prepared(spark, sf_dir).data
+
+
+@register(
+    "cleaning_report",
+    O.with_views(
+        f"""SELECT source_file AS file, '{_RAW_DATASET}' AS dataset, CAST(count(*) AS BIGINT) AS rows_before,
+       {O.count_if('keep')} AS rows_after_label_filter, {O.count_if('clean')} AS rows_after_cleaning,
+       CAST(count(*) AS BIGINT) - {O.count_if('keep')} AS removed_label_rows,
+       {O.count_if('keep')} - {O.count_if('clean')} AS removed_cleaning_rows,
+       '' AS dropped_duplicate_columns,
+       concat_ws(';', {', '.join(f"CASE WHEN d_{c} THEN '{c}' END" for c in _CANDIDATES)}) AS dropped_non_numeric_columns
+FROM cl GROUP BY source_file, {', '.join(f'd_{c}' for c in _CANDIDATES)}""",
+        "v_raw",
+        ctes=_PREP_CTES,
+    ),
+)
+def q_cleaning_report(spark, sf_dir):
+    return _prepared(spark, sf_dir).report
+
+
+_ALL_RAW = ("source_file", "source_row", "label", *V.RAW_FEATURES)
+_RAW_NUMERIC = ("source_row", "c_value", "c_user", "c_k", "c_sparse")  # every non-missing cell parses
+
+
+def _raw_text(spark, sf_dir):
+    raw = V.v_raw(spark, sf_dir)
+    return raw.select(*[F.col(c).cast("string").alias(c) for c in _ALL_RAW])
+
+
+def _sql_missing(c: str) -> str:
+    return f"{O.num(c)} IS NULL" if c in _RAW_NUMERIC else O.missing_text(c)
+
+
+def _sql_row_ok(plus_inf_only: bool = False) -> str:
+    parts = []
+    for c in _ALL_RAW:
+        if c in _RAW_NUMERIC:
+            x = O.num(c)
+            parts.append(
+                f"({x} IS NOT NULL AND NOT isnan({x}) AND {x} <> CAST('Infinity' AS DOUBLE))"
+                if plus_inf_only
+                else O.finite(x)
+            )
+        else:
+            parts.append(f"NOT {O.missing_text(c)}")
+    return " AND ".join(parts)
+
+
+_RAW_TEXT_CTE = {"rt": "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _ALL_RAW) + " FROM v_raw"}
+
+
+@register(
+    "cleaning_stats",
+    O.with_views(
+        f"""SELECT rows_before, rows_after, rows_before - rows_after AS removed_rows, missing_before, infinite_before,
+       CAST(0 AS BIGINT) AS missing_after, CAST(0 AS BIGINT) AS infinite_after
+FROM (SELECT CAST(count(*) AS BIGINT) AS rows_before, {O.count_if(_sql_row_ok())} AS rows_after,
+             CAST(sum({' + '.join(f'CASE WHEN {_sql_missing(c)} THEN 1 ELSE 0 END' for c in _ALL_RAW)}) AS BIGINT) AS missing_before,
+             CAST(sum({' + '.join(f'CASE WHEN isinf({O.num(c)}) THEN 1 ELSE 0 END' for c in _RAW_NUMERIC)}) AS BIGINT) AS infinite_before
+      FROM rt) a""",
+        "v_raw",
+        ctes=_RAW_TEXT_CTE,
+    ),
+)
+def q_cleaning_stats(spark, sf_dir):
+    return C.cleaning_stats(_raw_text(spark, sf_dir), _ALL_RAW)
+
+
+def _profile_sql() -> str:
+    ok = _sql_row_ok(plus_inf_only=True)
+    sels = []
+    for c in _ALL_RAW:
+        for stage, cond in (("before", "TRUE"), ("after", ok)):
+            sels.append(f"SELECT '{stage}' AS stage, '{c}' AS \"column\", 'missing' AS kind, "
+                        f"{O.count_if(f'({cond}) AND {_sql_missing(c)}')} AS cells FROM rt")
+            if c in _RAW_NUMERIC:
+                sels.append(f"SELECT '{stage}' AS stage, '{c}' AS \"column\", 'infinite' AS kind, "
+                            f"{O.count_if(f'({cond}) AND isinf({O.num(c)})')} AS cells FROM rt")
+    return "SELECT * FROM (\n" + "\nUNION ALL ".join(sels) + "\n) p WHERE cells > 0"
+
+
+@register("missing_inf_profile", O.with_views(_profile_sql(), "v_raw", ctes=_RAW_TEXT_CTE))
+def q_missing_inf_profile(spark, sf_dir):
+    return C.missing_inf_profile(_raw_text(spark, sf_dir), _ALL_RAW)
+
+
+_LINE_PROJ = "l_quantity, l_discount, l_tax, l_returnflag"
+
+
+@register(
+    "dedup_rows",
+    O.with_views(f"SELECT DISTINCT {_LINE_PROJ} FROM v_line", "v_line"),
+)
+def q_dedup_rows(spark, sf_dir):
+    return C.drop_duplicate_rows(V.v_line(spark, sf_dir).select(*_LINE_PROJ.split(", ")))
+
+
+@register(
+    "dedup_report",
+    O.with_views(
+        f"""SELECT rows_before, rows_after, rows_before - rows_after AS removed_rows,
+       {O.ratio('rows_before - rows_after', 'rows_before')} * 100 AS removed_percent
+FROM (SELECT CAST(count(*) AS BIGINT) AS rows_before FROM v_line) b,
+     (SELECT CAST(count(*) AS BIGINT) AS rows_after FROM (SELECT DISTINCT {_LINE_PROJ} FROM v_line) d) a""",
+        "v_line",
+    ),
+)
+def q_dedup_report(spark, sf_dir):
+    return C.dedup_report(V.v_line(spark, sf_dir).select(*_LINE_PROJ.split(", ")))

@@ -115,3 +115,32 @@ def metrics_from(rel: str, keys: str, extended: bool = True, keep: str = "") ->
 def thresholds_values(thresholds=DEFAULT_THRESHOLDS) -> str:
     rows = ", ".join(f"(CAST({t!r} AS DOUBLE))" for t in sorted(set(thresholds), reverse=True))
     return f"(VALUES {rows}) th(threshold)"
+
+
+# ------------------------------------------------------------- cleaning ----
+
+from flowlens.functions.numeric import INFINITY_PATTERN, NA_TOKENS, NUMBER_PATTERN  # noqa: E402
+
+
+def missing_text(c: str) -> str:
+    toks = ", ".join(_q(t) for t in NA_TOKENS)
+    return f"({c} IS NULL OR {c} IN ({toks}))"
+
+
+def num(c: str) -> str:
+    """Text → DOUBLE as ``coerce_number``: NULL for missing / non-numbers."""
+    return (
+        f"(CASE WHEN {missing_text(c)} THEN NULL "
+        f"WHEN regexp_matches({c}, {_q(NUMBER_PATTERN)}) THEN TRY_CAST(trim({c}) AS DOUBLE) "
+        f"WHEN regexp_matches({c}, {_q(INFINITY_PATTERN)}) THEN "
+        f"CASE WHEN starts_with(trim({c}), '-') THEN CAST('-Infinity' AS DOUBLE) ELSE CAST('Infinity' AS DOUBLE) END "
+        f"ELSE NULL END)"
+    )
+
+
+def finite(x: str) -> str:
+    return f"({x} IS NOT NULL AND NOT isnan({x}) AND NOT isinf({x}))"
+
+
+def norm_label(c: str) -> str:
+    return f"trim(regexp_replace(lower(trim(coalesce({c}, 'nan'))), '[^a-z0-9]+', ' ', 'g'))"
