@@ -497,3 +497,240 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS rows_before FROM v_line) b,
 )
 def q_dedup_report(spark, sf_dir):
     return C.dedup_report(V.v_line(spark, sf_dir).select(*_LINE_PROJ.split(", ")))
+
+
+# -------------------------------------------------------------- sampling ----
+
+from flowlens.operators import profile as P  # noqa: E402
+from flowlens.operators import sampling as S  # noqa: E402
+
+_MD5_ROW = "md5('42|' || CAST(row_id AS VARCHAR))"
+_CAP = 100
+_BALANCED_CAP = 500
+_BOUNDED_N = 2000
+
+
+def _flow_cols_sql() -> str:
+    return ("row_id, value, user_id, hour, k, \"Label\", dataset, source_file, source_row, "
+            "original_label, attack_family")
+
+
+@register(
+    "capped_sample",
+    O.with_views(
+        f"""SELECT {_flow_cols_sql()} FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_file, original_label, attack_family ORDER BY {_MD5_ROW}) AS rn
+  FROM v_flow) s WHERE rn <= {_CAP}""",
+        "v_flow",
+    ),
+)
+def q_capped_sample(spark, sf_dir):
+    return S.capped_sample(V.v_flow(spark, sf_dir), S.SOURCE_LABEL_KEYS, _CAP)
+
+
+@register(
+    "balanced_sample",
+    O.with_views(
+        f"""SELECT {_flow_cols_sql()} FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Label" ORDER BY {_MD5_ROW}) AS rn FROM v_flow) s
+WHERE rn <= {_BALANCED_CAP}""",
+        "v_flow",
+    ),
+)
+def q_balanced_sample(spark, sf_dir):
+    return S.capped_sample(V.v_flow(spark, sf_dir), ["Label"], _BALANCED_CAP)
+
+
+@register(
+    "family_sample",
+    O.with_views(
+        f"""SELECT {_flow_cols_sql()} FROM (
+  SELECT *, row_number() OVER (PARTITION BY attack_family ORDER BY {_MD5_ROW}) AS rn FROM v_flow) s
+WHERE rn <= {_BALANCED_CAP}""",
+        "v_flow",
+    ),
+)
+def q_family_sample(spark, sf_dir):
+    return S.capped_sample(V.v_flow(spark, sf_dir), ["attack_family"], _BALANCED_CAP)
+
+
+@register(
+    "bounded_sample",
+    O.with_views(
+        f"""SELECT row_key, l_quantity, l_extendedprice, l_discount, l_tax, label FROM v_line
+ORDER BY md5('42|' || row_key) LIMIT {_BOUNDED_N}""",
+        "v_line",
+    ),
+)
+def q_bounded_sample(spark, sf_dir):
+    line = V.v_line(spark, sf_dir).select("row_key", *V.LINE_FEATURES, "label")
+    return S.bounded_sample(line, _BOUNDED_N, key="row_key")
+
+
+@register(
+    "source_row_ids",
+    """SELECT o_orderkey, o_orderstatus,
+       CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS BIGINT) AS source_row
+FROM orders""",
+)
+def q_source_row_ids(spark, sf_dir):
+    from flowlens.session import read_table
+
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return S.row_number_in_file(orders, "o_orderstatus", "o_orderkey", "source_row")
+
+
+@register(
+    "global_row_ids",
+    O.with_views(
+        """SELECT CAST(row_number() OVER (ORDER BY source_file, source_row) - 1 AS BIGINT) AS row_id,
+       source_file, source_row, attack_family FROM v_flow WHERE attack_family <> 'Benign'""",
+        "v_flow",
+    ),
+)
+def q_global_row_ids(spark, sf_dir):
+    kept = V.v_flow(spark, sf_dir).where(F.col("attack_family") != "Benign")
+    return S.global_row_ids(kept.select("source_file", "source_row", "attack_family"))
+
+
+_SPLIT_CTES = {
+    "cnt": "SELECT attack_family AS stratum, CAST(count(*) AS BIGINT) AS c FROM v_flow GROUP BY 1",
+    "tot": "SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) - CAST(ceil(CAST(0.2 AS DOUBLE) * sum(c)) AS BIGINT) AS n_train FROM cnt",
+    "al": """SELECT stratum, c, (CAST(c AS HUGEINT) * n_train) // n AS fl, (CAST(c AS HUGEINT) * n_train) % n AS rem,
+       n_train FROM cnt, tot""",
+    "q": """SELECT stratum, c, c - (fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, stratum)
+                    <= n_train - sum(fl) OVER () THEN 1 ELSE 0 END) AS test_q FROM al""",
+    "sp": f"""SELECT v.row_id, v.attack_family AS stratum,
+       CASE WHEN row_number() OVER (PARTITION BY v.attack_family ORDER BY {_MD5_ROW.replace('row_id', 'v.row_id')}) <= q.test_q
+            THEN 'test' ELSE 'train' END AS split
+FROM v_flow v JOIN q ON v.attack_family = q.stratum""",
+}
+
+
+def _split(spark, sf_dir):
+    flow = V.v_flow(spark, sf_dir)
+    stratum = S.choose_stratum(flow)
+    return S.stratified_split(flow, stratum).select("row_id", F.col(stratum).alias("stratum"), "split")
+
+
+@register("stratified_split", O.with_views("SELECT row_id, stratum, split FROM sp", "v_flow", ctes=_SPLIT_CTES))
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir)
+
+
+@register(
+    "split_sizes",
+    O.with_views(
+        'SELECT stratum, split, CAST(count(*) AS BIGINT) AS "count" FROM sp GROUP BY 1, 2', "v_flow", ctes=_SPLIT_CTES
+    ),
+)
+def q_split_sizes(spark, sf_dir):
+    return _split(spark, sf_dir).groupBy("stratum", "split").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ---------------------------------------------------------------- profile ----
+
+_LINE_FEATS = V.LINE_FEATURES
+
+
+@register(
+    "scaler_params",
+    O.with_views(
+        "SELECT feature, round(round(mean, 9), 6) AS mean, round(round(std, 9), 6) AS std, "
+        "round(round(variance, 5), 2) AS variance, "
+        "round(round(CASE WHEN std = 0 THEN 1.0 ELSE std END, 9), 6) AS scale FROM ("
+        + "\nUNION ALL ".join(
+            f"SELECT '{c}' AS feature, avg({c}) AS mean, sqrt(var_pop({c})) AS std, var_pop({c}) AS variance FROM v_line"
+            for c in _LINE_FEATS
+        )
+        + ") s",
+        "v_line",
+    ),
+)
+def q_scaler_params(spark, sf_dir):
+    p = P.scaler_params(V.v_line(spark, sf_dir), _LINE_FEATS)
+    # Two-step rounding: summation order noise (~1e-17) must not decide a
+    # 6th-decimal tie differently in different engines.
+    # The variance reaches 1e9 here, where that noise touches the 7th decimal.
+    return p.select(
+        "feature",
+        *[F.round(F.round(c, 9), 6).alias(c) for c in ("mean", "std")],
+        F.round(F.round("variance", 5), 2).alias("variance"),
+        F.round(F.round("scale", 9), 6).alias("scale"),
+    )
+
+
+@register(
+    "scaled_features",
+    O.with_views(
+        "SELECT row_key, "
+        + ", ".join(
+            f"round(({c} - (SELECT avg({c}) FROM v_line)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 "
+            f"ELSE stddev_pop({c}) END FROM v_line), 6) AS {c}"
+            for c in _LINE_FEATS
+        )
+        + ", label FROM v_line",
+        "v_line",
+    ),
+)
+def q_scaled_features(spark, sf_dir):
+    line = V.v_line(spark, sf_dir).select("row_key", *_LINE_FEATS, "label")
+    scaled = P.apply_scaler(line, P.fit_scaler(line, _LINE_FEATS))
+    return scaled.select("row_key", *[F.round(c, 6).alias(c) for c in _LINE_FEATS], "label")
+
+
+def _auc_sql(rel: str, feats, label: str) -> str:
+    parts = []
+    for c in feats:
+        parts.append(f"""SELECT '{c}' AS feature, v, pos, neg FROM (
+  SELECT CAST({c} AS DOUBLE) AS v, {O.count_if(f'{label} = 1')} AS pos, {O.count_if(f'{label} = 0')} AS neg
+  FROM {rel} WHERE {c} IS NOT NULL GROUP BY 1) g""")
+    return f"""SELECT feature, CASE WHEN P = 0 OR N = 0 THEN NULL ELSE greatest(a, 1.0 - a) END AS single_feature_auc
+FROM (SELECT feature, CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS a,
+             sum(pos) AS P, sum(neg) AS N
+      FROM (SELECT feature, v, pos, neg,
+                   coalesce(sum(neg) OVER (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+            FROM ({' UNION ALL '.join(parts)}) u) r
+      GROUP BY feature) s"""
+
+
+@register("single_feature_auc", O.with_views(_auc_sql("v_line", _LINE_FEATS, "label"), "v_line"))
+def q_single_feature_auc(spark, sf_dir):
+    return P.single_feature_auc(V.v_line(spark, sf_dir), _LINE_FEATS, "label")
+
+
+@register("single_feature_auc_docs", O.with_views(_auc_sql("v_doc", V.DOC_FEATURES, "label"), "v_doc"))
+def q_single_feature_auc_docs(spark, sf_dir):
+    return P.single_feature_auc(V.v_doc(spark, sf_dir), V.DOC_FEATURES, "label")
+
+
+_OVERLAP_FEATS = ("l_quantity", "l_discount", "l_tax")
+_TEST_CUT = "'33333'"  # md5 order below this prefix → test (about 20 %)
+
+
+def _line_split(spark, sf_dir):
+    from flowlens.operators.ranking import seeded_order
+
+    line = V.v_line(spark, sf_dir).withColumn("_h", seeded_order(42, "row_key"))
+    test = F.col("_h") < F.lit(_TEST_CUT.strip("'"))
+    return line.where(~test), line.where(test)
+
+
+@register(
+    "train_test_overlap",
+    O.with_views(
+        f"""SELECT (SELECT CAST(count(*) AS BIGINT) FROM tr) AS train_rows, (SELECT CAST(count(*) AS BIGINT) FROM te) AS test_rows,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT {', '.join(_OVERLAP_FEATS)}, label FROM tr INTERSECT
+                                 SELECT {', '.join(_OVERLAP_FEATS)}, label FROM te) a) AS full_row_overlap,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT {', '.join(_OVERLAP_FEATS)} FROM tr INTERSECT
+                                 SELECT {', '.join(_OVERLAP_FEATS)} FROM te) b) AS feature_overlap""",
+        "v_line",
+        ctes={
+            "tr": f"SELECT * FROM v_line WHERE NOT md5('42|' || row_key) < {_TEST_CUT}",
+            "te": f"SELECT * FROM v_line WHERE md5('42|' || row_key) < {_TEST_CUT}",
+        },
+    ),
+)
+def q_train_test_overlap(spark, sf_dir):
+    train, test = _line_split(spark, sf_dir)
+    return P.train_test_overlap(train, test, _OVERLAP_FEATS, "label")
