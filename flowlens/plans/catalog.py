@@ -734,3 +734,317 @@ def _line_split(spark, sf_dir):
 def q_train_test_overlap(spark, sf_dir):
     train, test = _line_split(spark, sf_dir)
     return P.train_test_overlap(train, test, _OVERLAP_FEATS, "label")
+
+
+# ------------------------------------------------------------------- sets ----
+
+from flowlens.operators import examples as X  # noqa: E402
+from flowlens.operators import experiments as XP  # noqa: E402
+from flowlens.operators import permutation as PM  # noqa: E402
+from flowlens.operators import sets as ST  # noqa: E402
+from flowlens.session import read_table  # noqa: E402
+
+_LINE_CLASS = "CASE l_returnflag WHEN 'N' THEN ' BENIGN ' WHEN 'R' THEN 'DDoS' ELSE 'PortScan' END"
+
+
+def _capture(spark, sf_dir, status: str, cols):
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status)
+    cls = F.when(F.col("l_returnflag") == "N", " BENIGN ").when(F.col("l_returnflag") == "R", "DDoS").otherwise("PortScan")
+    return li.select(*cols, cls.alias("Label"))
+
+
+_BASE_COLS = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_CTRL_COLS = ("l_quantity", "l_discount", "l_tax")
+
+
+@register(
+    "baseline_union",
+    f"""SELECT {', '.join(_BASE_COLS)}, 'Benign' AS "Label", 0 AS binary_label FROM lineitem
+WHERE l_linestatus = 'O' AND lower(trim({_LINE_CLASS})) = 'benign'
+UNION ALL
+SELECT {', '.join(_BASE_COLS)}, 'DDoS' AS "Label", 1 AS binary_label FROM lineitem
+WHERE l_linestatus = 'F' AND lower(trim({_LINE_CLASS})) = 'ddos'""",
+)
+def q_baseline_union(spark, sf_dir):
+    monday = _capture(spark, sf_dir, "O", _BASE_COLS)
+    friday = _capture(spark, sf_dir, "F", _BASE_COLS)
+    return ST.class_union([(monday, "benign", "Benign"), (friday, "ddos", "DDoS")])
+
+
+@register(
+    "controlled_union",
+    f"""SELECT DISTINCT * FROM (
+  SELECT {', '.join(_CTRL_COLS)}, 'Benign' AS "Label" FROM lineitem
+  WHERE l_linestatus = 'O' AND lower(trim({_LINE_CLASS})) = 'benign'
+  UNION ALL SELECT {', '.join(_CTRL_COLS)}, 'Benign' FROM lineitem
+  WHERE l_linestatus = 'F' AND lower(trim({_LINE_CLASS})) = 'benign'
+  UNION ALL SELECT {', '.join(_CTRL_COLS)}, 'DDoS' FROM lineitem
+  WHERE l_linestatus = 'F' AND lower(trim({_LINE_CLASS})) = 'ddos') u""".replace(
+        "SELECT DISTINCT * FROM (", "SELECT *, CASE WHEN lower(\"Label\") = 'benign' THEN 0 ELSE 1 END AS binary_label FROM (SELECT DISTINCT * FROM ("
+    )
+    + ") d",
+)
+def q_controlled_union(spark, sf_dir):
+    monday = _capture(spark, sf_dir, "O", _CTRL_COLS)
+    friday = _capture(spark, sf_dir, "F", _CTRL_COLS)
+    return ST.class_union(
+        [(monday, "benign", "Benign"), (friday, "benign", "Benign"), (friday, "ddos", "DDoS")], dedup=True
+    )
+
+
+@register(
+    "common_columns_union",
+    """SELECT name, nationkey, acctbal, 'customer' AS source_file FROM (
+  SELECT c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal FROM customer) c
+UNION ALL SELECT s_name, s_nationkey, s_acctbal, 'supplier' FROM supplier""",
+)
+def q_common_columns_union(spark, sf_dir):
+    from flowlens.functions.names import canonical_name
+
+    def canon(df, prefix):
+        return df.toDF(*[canonical_name(c[len(prefix):]) for c in df.columns])
+
+    return ST.union_common(
+        {
+            "customer": canon(read_table(spark, sf_dir, "customer"), "c_"),
+            "supplier": canon(read_table(spark, sf_dir, "supplier"), "s_"),
+        }
+    )
+
+
+@register(
+    "variant_summary",
+    O.with_views(
+        f"""SELECT 'main_internal' AS variant, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision,
+       round(recall, 4) AS recall, round(f1_score, 4) AS f1_score, samples
+FROM ({O.metrics_from('c', 'dataset', extended=False)}) m WHERE dataset = 'internal'
+UNION ALL
+SELECT 'main_external', round(accuracy, 4), round(precision, 4), round(recall, 4), round(f1_score, 4), NULL
+FROM ({O.metrics_from('c', 'dataset', extended=False)}) m WHERE dataset = 'external'""",
+        "v_pred",
+        ctes={"c": _CONF},
+    ),
+)
+def q_variant_summary(spark, sf_dir):
+    m = M.binary_metrics(V.v_pred(spark, sf_dir), ["dataset"], extended=False)
+    internal = m.where(F.col("dataset") == "internal").select("accuracy", "precision", "recall", "f1_score", "samples")
+    # The external table has no sample count, as in the original summary.
+    external = m.where(F.col("dataset") == "external").select("accuracy", "precision", "recall", "f1_score")
+    return ST.union_missing(
+        {"main_internal": internal, "main_external": external},
+        ["accuracy", "precision", "recall", "f1_score", "samples"],
+    )
+
+
+_SEED_CASE = "CASE user_id % 5 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(XP.SEEDS)) + " END"
+
+
+def _seed_col():
+    expr = F.when(F.lit(False), F.lit(None))
+    for i, s in enumerate(XP.SEEDS):
+        expr = expr.when(F.col("user_id") % 5 == i, F.lit(s))
+    return expr
+
+
+@register(
+    "seed_summary",
+    f"""WITH v_pred AS ({O.VIEWS['v_pred']}),
+p AS (SELECT v.*, {_SEED_CASE.replace('user_id', 'e.user_id')} AS seed FROM v_pred v JOIN events e ON v.row_id = e.event_id),
+c AS (SELECT dataset AS experiment_name, seed, {O.count_if('y_true = 0 AND y_pred = 0')} AS tn,
+             {O.count_if('y_true = 0 AND y_pred = 1')} AS fp, {O.count_if('y_true = 1 AND y_pred = 0')} AS fn,
+             {O.count_if('y_true = 1 AND y_pred = 1')} AS tp FROM p GROUP BY 1, 2),
+m AS ({O.metrics_from('c', 'experiment_name, seed', extended=False)})
+SELECT experiment_name,
+       round(round(avg(accuracy), 12), 9) AS accuracy_mean, round(round(coalesce(stddev_samp(accuracy), 0.0), 12), 9) AS accuracy_std,
+       round(round(avg(precision), 12), 9) AS precision_mean, round(round(coalesce(stddev_samp(precision), 0.0), 12), 9) AS precision_std,
+       round(round(avg(recall), 12), 9) AS recall_mean, round(round(coalesce(stddev_samp(recall), 0.0), 12), 9) AS recall_std,
+       round(round(avg(f1_score), 12), 9) AS f1_mean, round(round(coalesce(stddev_samp(f1_score), 0.0), 12), 9) AS f1_std
+FROM m GROUP BY experiment_name""",
+)
+def q_seed_summary(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    pred = V.v_pred(spark, sf_dir).join(e.select(F.col("event_id").alias("row_id"), _seed_col().alias("seed")), "row_id")
+    per_seed = M.binary_metrics(pred, ["dataset", "seed"], extended=False).withColumnRenamed("dataset", "experiment_name")
+    s = XP.seed_summary(per_seed)
+    return s.select("experiment_name", *[F.round(F.round(c, 12), 9).alias(c) for c in s.columns[1:]])
+
+
+@register(
+    "subset_experiment_counts",
+    """SELECT l_returnflag, "count", CAST("count" AS DOUBLE) / sum("count") OVER () AS share,
+       CAST(sum("count") OVER () AS BIGINT) AS total_port_rows, CAST(count(*) OVER () AS BIGINT) AS n_classes
+FROM (SELECT l_returnflag, CAST(count(*) AS BIGINT) AS "count" FROM lineitem WHERE l_quantity = 25 GROUP BY 1) g""",
+)
+def q_subset_experiment_counts(spark, sf_dir):
+    from pyspark.sql import Window
+
+    sub = read_table(spark, sf_dir, "lineitem").where(F.col("l_quantity") == 25)
+    w = Window.partitionBy(F.lit(0))
+    return D.value_share(sub, "l_returnflag").select(
+        "l_returnflag", "count", "share",
+        F.sum("count").over(w).cast("bigint").alias("total_port_rows"),
+        F.count(F.lit(1)).over(w).cast("bigint").alias("n_classes"),
+    )
+
+
+_PERM_N = 500
+_PERM_REPEATS = 5
+
+
+def _perm_sample(spark, sf_dir):
+    line = V.v_line(spark, sf_dir).select("row_key", *V.LINE_FEATURES, "label")
+    return S.bounded_sample(line, _PERM_N, key="row_key")
+
+
+_PERM_SAMPLE_CTE = {
+    "smp": f"SELECT * FROM v_line ORDER BY md5('42|' || row_key) LIMIT {_PERM_N}",
+    "pos": "SELECT *, row_number() OVER (ORDER BY md5('42|' || row_key)) AS pos FROM smp",
+}
+
+
+@register(
+    "permuted_columns",
+    O.with_views(
+        f"""SELECT t.row_key, t.feature, t.repeat, t.value, d.value AS permuted_value FROM (
+  SELECT row_key, feature, repeat, value,
+         row_number() OVER (PARTITION BY feature, repeat
+                            ORDER BY md5('42|' || feature || '|' || CAST(repeat AS VARCHAR) || '|' || row_key)) AS tgt
+  FROM lng) t
+JOIN lng d ON d.feature = t.feature AND d.repeat = t.repeat AND d.pos = t.tgt""",
+        "v_line",
+        ctes={
+            **_PERM_SAMPLE_CTE,
+            "lng": " UNION ALL ".join(
+                f"SELECT row_key, pos, '{f}' AS feature, CAST(r.repeat AS INTEGER) AS repeat, CAST({f} AS DOUBLE) AS value "
+                f"FROM pos, range({_PERM_REPEATS}) r(repeat)"
+                for f in V.LINE_FEATURES
+            ),
+        },
+    ),
+)
+def q_permuted_columns(spark, sf_dir):
+    return PM.permuted_long(_perm_sample(spark, sf_dir), V.LINE_FEATURES, "row_key", _PERM_REPEATS)
+
+
+_LINE_GROUPS = {"price": ("l_extendedprice", "l_discount", "l_tax"), "size": ("l_quantity", "l_missing")}
+
+
+@register(
+    "group_permuted_columns",
+    O.with_views(
+        """SELECT t.row_key, t."group", t.feature, t.value, d.value AS permuted_value
+FROM lng t JOIN partner p ON p.row_key = t.row_key AND p."group" = t."group"
+JOIN lng d ON d."group" = t."group" AND d.feature = t.feature AND d.pos = p.tgt""",
+        "v_line",
+        ctes={
+            **_PERM_SAMPLE_CTE,
+            "lng": " UNION ALL ".join(
+                f"SELECT row_key, pos, '{g}' AS \"group\", '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM pos"
+                for g, fs in _LINE_GROUPS.items()
+                for f in fs
+                if f in V.LINE_FEATURES
+            ),
+            "partner": " UNION ALL ".join(
+                f"SELECT row_key, '{g}' AS \"group\", row_number() OVER (ORDER BY md5('42|{g}|' || row_key)) AS tgt FROM pos"
+                for g in _LINE_GROUPS
+            ),
+        },
+    ),
+)
+def q_group_permuted_columns(spark, sf_dir):
+    return PM.group_permuted_long(_perm_sample(spark, sf_dir), _LINE_GROUPS, "row_key")
+
+
+def _extreme_sql(prefer_correct: bool) -> str:
+    c = "CASE WHEN y_true = y_pred THEN 1 ELSE 0 END" if prefer_correct else "0"
+    return O.with_views(
+        f"""SELECT dataset, example, row_id, attack_probability FROM (
+  SELECT dataset, 'attack' AS example, row_id, attack_probability,
+         row_number() OVER (PARTITION BY dataset ORDER BY {c} DESC, attack_probability DESC, row_id) AS rn
+  FROM v_pred WHERE y_true = 1
+  UNION ALL
+  SELECT dataset, 'benign', row_id, attack_probability,
+         row_number() OVER (PARTITION BY dataset ORDER BY {c} DESC, attack_probability, row_id) AS rn
+  FROM v_pred WHERE y_true = 0) r WHERE rn = 1""",
+        "v_pred",
+    )
+
+
+@register("extreme_examples", _extreme_sql(False))
+def q_extreme_examples(spark, sf_dir):
+    return X.extreme_examples(V.v_pred(spark, sf_dir))
+
+
+@register("local_example_choice", _extreme_sql(True))
+def q_local_example_choice(spark, sf_dir):
+    return X.extreme_examples(V.v_pred(spark, sf_dir), prefer_correct=True)
+
+
+_LINE_AGG = """SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_lines, sum(l_quantity) AS sum_qty
+FROM lineitem GROUP BY l_orderkey"""
+
+
+def _line_agg(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty")
+    )
+
+
+@register(
+    "paired_metadata",
+    f"""SELECT o.o_orderkey AS l_orderkey, o.o_orderstatus, o.o_totalprice, a.n_lines, a.sum_qty
+FROM orders o JOIN ({_LINE_AGG}) a ON o.o_orderkey = a.l_orderkey""",
+)
+def q_paired_metadata(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_totalprice"
+    )
+    return ST.pair_by_key(orders, _line_agg(spark, sf_dir), "l_orderkey")
+
+
+@register(
+    "pairing_check",
+    f"""SELECT {O.count_if('o.o_orderkey IS NOT NULL AND a.l_orderkey IS NOT NULL')} AS matched,
+       {O.count_if('a.l_orderkey IS NULL')} AS left_only, {O.count_if('o.o_orderkey IS NULL')} AS right_only
+FROM orders o FULL OUTER JOIN ({_LINE_AGG}) a ON o.o_orderkey = a.l_orderkey""",
+)
+def q_pairing_check(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return ST.pairing_check(orders, _line_agg(spark, sf_dir).select(F.col("l_orderkey").alias("k")), "k")
+
+
+def _ablated_pred(spark, sf_dir):
+    """Second score for the same rows: the 'ablated model' surrogate."""
+    e = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("row_id"), (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("p2")
+    )
+    return V.v_pred(spark, sf_dir).join(e, "row_id").withColumn("attack_probability", F.col("p2")).drop("p2")
+
+
+_CMP_COLS = ("precision", "recall", "f1_score", "specificity", "fp", "fn")
+
+
+@register(
+    "threshold_model_comparison",
+    O.with_views(
+        f"""SELECT a.dataset, a.threshold, {', '.join(f'a.{c} AS {c}_original' for c in _CMP_COLS)},
+       {', '.join(f'b.{c} AS {c}_ablation' for c in _CMP_COLS)}
+FROM ({O.metrics_from('c1', 'dataset, threshold')}) a
+JOIN ({O.metrics_from('c2', 'dataset, threshold')}) b ON a.dataset = b.dataset AND a.threshold = b.threshold""",
+        "v_pred",
+        ctes={
+            "p2": "SELECT v.*, CAST(json_extract_string(e.props, '$.k') AS DOUBLE) / CAST(100.0 AS DOUBLE) AS p2 "
+            "FROM v_pred v JOIN events e ON v.row_id = e.event_id",
+            "c1": f"""SELECT dataset, threshold, {O.count_if('y_true = 0')} - {O.count_if(f'y_true = 0 AND {_HIT}')} AS tn,
+       {O.count_if(f'y_true = 0 AND {_HIT}')} AS fp, {O.count_if('y_true = 1')} - {O.count_if(f'y_true = 1 AND {_HIT}')} AS fn,
+       {O.count_if(f'y_true = 1 AND {_HIT}')} AS tp FROM v_pred CROSS JOIN {O.thresholds_values()} GROUP BY 1, 2""",
+            "c2": f"""SELECT dataset, threshold, {O.count_if('y_true = 0')} - {O.count_if('y_true = 0 AND p2 >= threshold')} AS tn,
+       {O.count_if('y_true = 0 AND p2 >= threshold')} AS fp, {O.count_if('y_true = 1')} - {O.count_if('y_true = 1 AND p2 >= threshold')} AS fn,
+       {O.count_if('y_true = 1 AND p2 >= threshold')} AS tp FROM p2 CROSS JOIN {O.thresholds_values()} GROUP BY 1, 2""",
+        },
+    ),
+)
+def q_threshold_model_comparison(spark, sf_dir):
+    a = M.threshold_sweep(V.v_pred(spark, sf_dir)).select("dataset", "threshold", *_CMP_COLS)
+    b = M.threshold_sweep(_ablated_pred(spark, sf_dir)).select("dataset", "threshold", *_CMP_COLS)
+    return ST.compare_on(a, b, ["dataset", "threshold"])
