@@ -1048,3 +1048,154 @@ def q_threshold_model_comparison(spark, sf_dir):
     a = M.threshold_sweep(V.v_pred(spark, sf_dir)).select("dataset", "threshold", *_CMP_COLS)
     b = M.threshold_sweep(_ablated_pred(spark, sf_dir)).select("dataset", "threshold", *_CMP_COLS)
     return ST.compare_on(a, b, ["dataset", "threshold"])
+
+
+# ------------------------------------------------------------------ models ----
+
+from flowlens.operators import attribution as AT  # noqa: E402
+from flowlens.operators import importance as IM  # noqa: E402
+from flowlens.operators import model as ML  # noqa: E402
+
+# Small forests for the registered checks (the library default is 50 × 15).
+_TREES, _DEPTH = 10, 5
+_MODELS: dict[tuple, object] = {}
+
+
+def _flow_split(spark, sf_dir):
+    flow = V.v_flow(spark, sf_dir)
+    return S.stratified_split(flow, S.choose_stratum(flow))
+
+
+def _flow_model(spark, sf_dir, features=V.FLOW_FEATURES, seed=42, balanced=True):
+    k = (sf_dir, tuple(features), seed, balanced)
+    if k not in _MODELS:
+        train = _flow_split(spark, sf_dir).where(F.col("split") == "train")
+        cfg = ML.ForestConfig(tuple(features), num_trees=_TREES, max_depth=_DEPTH, seed=seed, balanced=balanced)
+        _MODELS[k] = ML.fit_forest(train, cfg)
+    return _MODELS[k]
+
+
+def _flow_test(spark, sf_dir):
+    return _flow_split(spark, sf_dir).where(F.col("split") == "test")
+
+
+@register("forest_score")
+def q_forest_score(spark, sf_dir):
+    scored = ML.score(_flow_model(spark, sf_dir), _flow_test(spark, sf_dir))
+    return scored.select("row_id", "dataset", "attack_family", "y_true", "y_pred", "attack_probability")
+
+
+@register("forest_importance")
+def q_forest_importance(spark, sf_dir):
+    return ML.gini_importance(spark, _flow_model(spark, sf_dir), V.FLOW_FEATURES)
+
+
+@register("external_eval")
+def q_external_eval(spark, sf_dir):
+    """Trained on the internal half's training split; evaluated on the
+    internal test split and on the whole external half, without refit."""
+    flow = _flow_split(spark, sf_dir)
+    k = (sf_dir, "internal-only")
+    if k not in _MODELS:
+        train = flow.where((F.col("split") == "train") & (F.col("dataset") == "internal"))
+        _MODELS[k] = ML.fit_forest(train, ML.ForestConfig(V.FLOW_FEATURES, num_trees=_TREES, max_depth=_DEPTH))
+    evalset = flow.where(((F.col("split") == "test") & (F.col("dataset") == "internal")) | (F.col("dataset") == "external"))
+    scored = ML.score(_MODELS[k], evalset)
+    return M.binary_metrics(scored, ["dataset"])
+
+
+@register("multi_seed")
+def q_multi_seed(spark, sf_dir):
+    test = _flow_test(spark, sf_dir)
+    per_seed = None
+    for seed in XP.SEEDS:
+        m = M.binary_metrics(ML.score(_flow_model(spark, sf_dir, seed=seed, balanced=False), test), extended=False)
+        m = m.select(F.lit("Baseline").alias("experiment_name"), F.lit(seed).alias("seed"), *m.columns)
+        per_seed = m if per_seed is None else per_seed.unionByName(m)
+    return XP.seed_summary(per_seed)
+
+
+_ABLATED = ("user_id",)
+
+
+@register("feature_ablation")
+def q_feature_ablation(spark, sf_dir):
+    test = _flow_test(spark, sf_dir)
+    kept = tuple(f for f in V.FLOW_FEATURES if f not in _ABLATED)
+    a = M.threshold_sweep(ML.score(_flow_model(spark, sf_dir), test)).select("dataset", "threshold", *_CMP_COLS)
+    b = M.threshold_sweep(ML.score(_flow_model(spark, sf_dir, kept), test)).select("dataset", "threshold", *_CMP_COLS)
+    return ST.compare_on(a, b, ["dataset", "threshold"])
+
+
+_FLOW_GROUPS = {"time": ("hour",), "volume": ("value", "k"), "identity": ("user_id",)}
+
+
+@register("group_ablation")
+def q_group_ablation(spark, sf_dir):
+    test = _flow_test(spark, sf_dir)
+    out = None
+    for g, cols in _FLOW_GROUPS.items():
+        kept = tuple(f for f in V.FLOW_FEATURES if f not in cols)
+        m = M.binary_metrics(ML.score(_flow_model(spark, sf_dir, kept, balanced=False), test), extended=False)
+        m = m.select(F.lit(g).alias("removed_group"), F.lit(len(kept)).alias("n_features"), *m.columns)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def _importance_sample(spark, sf_dir, n=2000):
+    return S.bounded_sample(_flow_test(spark, sf_dir), n)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    return IM.permutation_importance(
+        _flow_model(spark, sf_dir), _importance_sample(spark, sf_dir), V.FLOW_FEATURES, "row_id"
+    )
+
+
+@register("group_permutation_importance")
+def q_group_permutation_importance(spark, sf_dir):
+    return IM.group_permutation_importance(
+        _flow_model(spark, sf_dir), _importance_sample(spark, sf_dir), _FLOW_GROUPS, V.FLOW_FEATURES, "row_id"
+    )
+
+
+_SHAP_PER_FAMILY = 100
+
+
+def _attribution(spark, sf_dir):
+    sample = S.capped_sample(_flow_test(spark, sf_dir), ["attack_family"], _SHAP_PER_FAMILY)
+    model = _flow_model(spark, sf_dir)
+    return AT.attribution_long(spark, model, sample, V.FLOW_FEATURES, "row_id", keep=("dataset", "attack_family"))
+
+
+@register("tree_attribution")
+def q_tree_attribution(spark, sf_dir):
+    return _attribution(spark, sf_dir)
+
+
+@register("attribution_importance")
+def q_attribution_importance(spark, sf_dir):
+    return AT.mean_abs_by_feature(_attribution(spark, sf_dir))
+
+
+@register("attribution_by_family")
+def q_attribution_by_family(spark, sf_dir):
+    return AT.mean_abs_by_group(_attribution(spark, sf_dir), ["dataset", "attack_family"], "row_id")
+
+
+@register("local_examples")
+def q_local_examples(spark, sf_dir):
+    model = _flow_model(spark, sf_dir)
+    test = _flow_test(spark, sf_dir)
+    scored = ML.score(model, test)
+    chosen = X.extreme_examples(scored, prefer_correct=True).select("row_id", "dataset", "example")
+    rows = test.join(chosen.select("row_id", "example"), "row_id")
+    long = AT.attribution_long(spark, model, rows, V.FLOW_FEATURES, "row_id", keep=("example",))
+    base = AT.expected_value(AT.pack_forest(spark, model))
+    return AT.local_explanations(long.drop("example"), chosen, "row_id", base)
+
+
+@register("dependence_data")
+def q_dependence_data(spark, sf_dir):
+    return AT.dependence_data(_attribution(spark, sf_dir), 2)
