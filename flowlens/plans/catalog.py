@@ -1199,3 +1199,78 @@ def q_local_examples(spark, sf_dir):
 @register("dependence_data")
 def q_dependence_data(spark, sf_dir):
     return AT.dependence_data(_attribution(spark, sf_dir), 2)
+
+
+# --------------------------------------------------------------- streaming ----
+
+import uuid  # noqa: E402
+
+from flowlens.session import ensure_checkpoint_dir, table_path  # noqa: E402
+from flowlens.streaming import flows as SF  # noqa: E402
+
+
+def _event_stream(spark, sf_dir):
+    schema = read_table(spark, sf_dir, "events").schema
+    # A glob keeps the source a directory listing filtered to the events file.
+    return SF.read_stream(spark, f"{sf_dir.rstrip('/')}/event[s].parquet", schema)
+
+
+def _pred_from_events(e):
+    family = V.event_family(F.col("event_type"))
+    prob = F.col("value") / F.lit(500.0)
+    from flowlens.functions.labels import binary_from_family
+
+    return e.select(
+        F.col("event_id").alias("row_id"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("internal")).otherwise(F.lit("external")).alias("dataset"),
+        family.alias("attack_family"),
+        binary_from_family(family).alias("y_true"),
+        prob.alias("attack_probability"),
+    )
+
+
+def _drain(spark, df, mode):
+    name = f"flowlens_{uuid.uuid4().hex[:12]}"
+    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+    SF.drain_to_memory(df, name, ckpt, mode)
+    return spark.table(name)
+
+
+@register(
+    "stream_confusion",
+    O.with_views(
+        "SELECT dataset, attack_family, threshold, tn, fp, fn, tp FROM cf",
+        "v_pred",
+        ctes={"cf": _COUNTS_BY_THRESHOLD},
+    ),
+)
+def q_stream_confusion(spark, sf_dir):
+    counts = SF.running_threshold_counts(_pred_from_events(_event_stream(spark, sf_dir)))
+    return _drain(spark, counts, "complete").select("dataset", "attack_family", "threshold", "tn", "fp", "fn", "tp")
+
+
+@register(
+    "stream_label_counts",
+    O.with_views('SELECT dataset, attack_family, CAST(count(*) AS BIGINT) AS "count" FROM v_pred GROUP BY 1, 2', "v_pred"),
+)
+def q_stream_label_counts(spark, sf_dir):
+    return _drain(spark, SF.running_counts(_pred_from_events(_event_stream(spark, sf_dir)), ["dataset", "attack_family"]), "complete")
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    model = _flow_model(spark, sf_dir)
+    e = _event_stream(spark, sf_dir)
+    family = V.event_family(F.col("event_type"))
+    from flowlens.functions.labels import binary_from_family
+
+    flow = e.select(
+        F.col("event_id").alias("row_id"),
+        F.col("value").cast("double").alias("value"),
+        F.col("user_id").cast("double").alias("user_id"),
+        F.hour("ts").cast("double").alias("hour"),
+        F.get_json_object("props", "$.k").cast("double").alias("k"),
+        binary_from_family(family).alias("Label"),
+    )
+    scored = SF.stream_scores(flow, model).select("row_id", "y_true", "y_pred", "attack_probability")
+    return _drain(spark, scored, "append")
