@@ -47,6 +47,7 @@ def prepare_flows(
     row_col: str = "source_row",
     families: Sequence[str] = L.INCLUDED_FAMILIES,
     duplicate_columns: dict[str, list[str]] | None = None,
+    absent: dict[str, list[str]] | None = None,
 ) -> PreparedFlows:
     """Label filter, per-file numeric coercion and cleaning, common features.
 
@@ -70,10 +71,11 @@ def prepare_flows(
         *[_count_if(F.col("_keep") & ~is_missing_text(F.col(c))).alias(f"nn_{i}") for i, c in enumerate(candidates)],
         *[_count_if(F.col("_keep") & coerce_number(F.col(c)).isNotNull()).alias(f"num_{i}") for i, c in enumerate(candidates)],
     )
-    dropped: dict[str, list[str]] = {c: [] for c in candidates}
+    # Columns a file does not have at all count as dropped for that file.
+    dropped: dict[str, list[str]] = {c: list((absent or {}).get(c, [])) for c in candidates}
     for row in col_stats.collect():
         for i, c in enumerate(candidates):
-            if row[f"num_{i}"] == 0 and row[f"nn_{i}"] > 0:
+            if row[f"num_{i}"] == 0 and row[f"nn_{i}"] > 0 and row["source_file"] not in dropped[c]:
                 dropped[c].append(row["source_file"])
 
     def dropped_in_file(c: str) -> Column:
