@@ -65,11 +65,13 @@ def prepare_flows(
         fam.alias("attack_family"),
         keep.alias("_keep"),
         *[F.col(c) for c in candidates],
+        # Parse every cell once; stats, row filter and output reuse it.
+        *[coerce_number(F.col(c)).alias(f"_num{i}") for i, c in enumerate(candidates)],
     )
     # Pass 1 (metadata): which columns are non-numeric in which file.
     col_stats = flagged.groupBy("source_file").agg(
         *[_count_if(F.col("_keep") & ~is_missing_text(F.col(c))).alias(f"nn_{i}") for i, c in enumerate(candidates)],
-        *[_count_if(F.col("_keep") & coerce_number(F.col(c)).isNotNull()).alias(f"num_{i}") for i, c in enumerate(candidates)],
+        *[_count_if(F.col("_keep") & F.col(f"_num{i}").isNotNull()).alias(f"num_{i}") for i, c in enumerate(candidates)],
     )
     # Columns a file does not have at all count as dropped for that file.
     dropped: dict[str, list[str]] = {c: list((absent or {}).get(c, [])) for c in candidates}
@@ -83,8 +85,8 @@ def prepare_flows(
         return F.col("source_file").isin(*files) if files else F.lit(False)
 
     clean = F.col("_keep")
-    for c in candidates:
-        clean = clean & (dropped_in_file(c) | is_finite(coerce_number(F.col(c))))
+    for i, c in enumerate(candidates):
+        clean = clean & (dropped_in_file(c) | is_finite(F.col(f"_num{i}")))
     flagged = flagged.withColumn("_clean", clean)
 
     dup = duplicate_columns or {}
@@ -120,7 +122,7 @@ def prepare_flows(
     if not features:
         raise ValueError(f"No common numeric feature columns found in {dataset}")
     data = flagged.where(F.col("_clean")).select(
-        *[coerce_number(F.col(c)).alias(c) for c in features],
+        *[F.col(f"_num{candidates.index(c)}").alias(c) for c in features],
         L.binary_from_family(F.col("attack_family")).alias("Label"),
         F.lit(dataset).alias("dataset"),
         "source_file",
