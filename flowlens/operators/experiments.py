@@ -22,3 +22,41 @@ def seed_summary(per_seed: DataFrame, group_by: Sequence[str] = ("experiment_nam
         aggs.append(F.avg(col).alias(f"{short}_mean"))
         aggs.append(F.coalesce(F.stddev_samp(col), F.lit(0.0)).alias(f"{short}_std"))
     return per_seed.groupBy(*group_by).agg(*aggs)
+
+
+def subset_experiment(
+    df: DataFrame,
+    predicate,
+    drop_cols: Sequence[str],
+    features: Sequence[str],
+    label: str = "Label",
+    key: str = "row_id",
+    num_trees: int = 50,
+    max_depth: int = 15,
+    seed: int = 42,
+) -> DataFrame:
+    """ML-9: keep a subset (e.g. one port), drop the column it was chosen by,
+    split (stratified on the label), refit the scaler on the subset's training
+    rows, train an unweighted forest and report metrics with subset sizes."""
+    from flowlens.operators import metrics as M
+    from flowlens.operators import model as ML
+    from flowlens.operators import profile as P
+    from flowlens.operators import sampling as S
+    from flowlens.operators.distributions import require_two_classes
+
+    sub = df.where(predicate)
+    require_two_classes(sub, label)
+    feats = [f for f in features if f not in set(drop_cols)]
+    split = S.stratified_split(sub, label, key=key)
+    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    params = P.fit_scaler(train, feats)
+    train, test = P.apply_scaler(train, params), P.apply_scaler(test, params)
+    cfg = ML.ForestConfig(tuple(feats), label=label, key=key, num_trees=num_trees, max_depth=max_depth, seed=seed, balanced=False)
+    model = ML.fit_forest(train, cfg)
+    m = M.binary_metrics(ML.score(model, test, label), extended=False)
+    sizes = split.agg(
+        F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).cast("bigint").alias("train_rows"),
+        F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).cast("bigint").alias("test_rows"),
+        F.count(F.lit(1)).alias("total_subset_rows"),
+    )
+    return m.withColumn("_k", F.lit(1)).join(F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k").drop("_k")

@@ -1274,3 +1274,12 @@ def q_stream_score(spark, sf_dir):
     )
     scored = SF.stream_scores(flow, model).select("row_id", "y_true", "y_pred", "attack_probability")
     return _drain(spark, scored, "append")
+
+
+@register("subset_experiment")
+def q_subset_experiment(spark, sf_dir):
+    """ML-9 on the flows: one hour of day only, that column dropped."""
+    flow = V.v_flow(spark, sf_dir)
+    return XP.subset_experiment(
+        flow, F.col("hour") < 12, ["hour"], V.FLOW_FEATURES, num_trees=_TREES, max_depth=_DEPTH
+    )
