@@ -39,11 +39,12 @@ def distribution_tables(
 
     ``table`` says which table a row belongs to: class, family or label.
     """
-    cube = df.cube(label, family, original).agg(
+    sets = [[label], [family], [family, original]]
+    agg = df.groupingSets(sets, label, family, original).agg(
         F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_gid")
     )
     # grouping_id bits: label=4, family=2, original=1 (1 = aggregated away)
-    return cube.where(F.col("_gid").isin(3, 5, 4)).select(
+    return agg.select(
         F.when(F.col("_gid") == 3, "class").when(F.col("_gid") == 5, "family").otherwise("label").alias("table"),
         label, family, original, "count",
     )

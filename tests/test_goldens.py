@@ -130,3 +130,30 @@ def test_scaler_constant_feature(spark):
     params = P.fit_scaler(train, ["x"])
     ext = spark.createDataFrame([(9.0,)], "x double")
     assert P.apply_scaler(ext, params).first()["x"] == 4.0
+
+
+def test_distribution_tables_one_scan(spark):
+    from flowlens.operators import distributions as D
+    from flowlens.plans import views as V
+
+    flow = V.v_flow(spark, "/root/testdata/sf0.001")
+    t = D.distribution_tables(flow)
+    got = {(r["table"], r["Label"], r["attack_family"], r["original_label"]): r["count"] for r in t.collect()}
+    cls = {(r["Label"]): r["count"] for r in D.class_distribution(flow).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "class"} == cls
+    fam = {r["attack_family"]: r["count"] for r in D.family_distribution(flow).collect()}
+    assert {k[2]: v for k, v in got.items() if k[0] == "family"} == fam
+    plan = t._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1
+
+
+def test_sweep_plan_is_one_pruned_scan(spark):
+    from flowlens.operators import metrics as M
+    from flowlens.plans import views as V
+
+    df = M.threshold_sweep(V.v_pred(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "ts" not in scan.split("]")[0] and "props" not in scan.split("]")[0]
