@@ -1283,3 +1283,16 @@ def q_subset_experiment(spark, sf_dir):
     return XP.subset_experiment(
         flow, F.col("hour") < 12, ["hour"], V.FLOW_FEATURES, num_trees=_TREES, max_depth=_DEPTH
     )
+
+
+@register(
+    "distribution_tables",
+    O.with_views(
+        """SELECT CASE GROUPING("Label", attack_family, original_label) WHEN 3 THEN 'class' WHEN 5 THEN 'family'
+            ELSE 'label' END AS "table", "Label", attack_family, original_label, CAST(count(*) AS BIGINT) AS "count"
+FROM v_flow GROUP BY GROUPING SETS (("Label"), (attack_family), (attack_family, original_label))""",
+        "v_flow",
+    ),
+)
+def q_distribution_tables(spark, sf_dir):
+    return D.distribution_tables(V.v_flow(spark, sf_dir))
