@@ -6,6 +6,8 @@ helper; nothing collects rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,10 @@ from flowlens.session import ensure_checkpoint_dir
 HELD_OUT_REMAINDER = 2
 HELD_OUT_MODULUS = 4
 
+#: Bytes of text a task works on at once, and word bytes hashed at once.
+SLICE_BYTES = 2 << 20
+HASH_BLOCK = 1 << 20
+
 WHITESPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -142,21 +148,56 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x100000001B3) -> np.ndarray:
     """64-bit hash of every word: a polynomial over its bytes and its length,
-    summed with ``add.reduceat`` and then mixed."""
+    summed with ``add.reduceat`` and then mixed. Works through the bytes in
+    blocks, so its memory does not grow with the batch."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
+    out = np.empty(len(starts), dtype=np.uint64)
     lens = ends - starts
-    longest = int(lens.max())
-    place = powers(base, longest + 1)
-    # position of every byte inside its word; separators keep a zero weight
-    run = np.zeros(len(data), dtype=np.int64)
-    total = int(lens.sum())
-    idx = np.arange(total, dtype=np.int64)
-    first = np.zeros(len(starts), np.int64)
-    np.cumsum(lens[:-1], out=first[1:])
-    within = idx - np.repeat(first, lens)
-    del run
-    at = within + np.repeat(starts, lens)
-    vals = (data[at].astype(np.uint64) + np.uint64(1)) * place[within]
-    sums = np.add.reduceat(vals, first)
-    return mix64(sums + lens.astype(np.uint64) * _ODD)
+    upto = np.cumsum(lens)
+    place = powers(base, int(lens.max()) + 1)
+    lo = 0
+    while lo < len(starts):
+        done = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + HASH_BLOCK, side="right")))
+        n = lens[lo:hi]
+        first = np.zeros(len(n), np.int64)
+        np.cumsum(n[:-1], out=first[1:])
+        # position of every byte inside its word
+        within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        values = (data[within + np.repeat(starts[lo:hi], n)].astype(np.uint64) + np.uint64(1)) * place[within]
+        out[lo:hi] = np.add.reduceat(values, first)
+        lo = hi
+    return mix64(out + lens.astype(np.uint64) * _ODD)
+
+
+def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, bytes, offsets) for runs of rows with at most ``max_bytes`` of
+    text in all (or one row, if it alone is longer)."""
+    data, offsets = string_buffers(column)
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, side="right")) - 1)
+        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
+def rolling(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """64-bit hash of every run of ``width`` values (mixed, position-aware).
+
+    Prefix polynomial: the run from i has sum(h[i+j] * B**j), taken from
+    prefix sums of h[i] * B**i and multiplied by the inverse power B**-i.
+    """
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    base = (0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1
+    inverse = pow(base, -1, 1 << 64)
+    prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(base, len(hashes)), out=prefix[1:])
+    return mix64((prefix[width:] - prefix[:-width]) * powers(inverse, n))
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint if a count shows at most ``rows`` rows; as is otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df

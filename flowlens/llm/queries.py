@@ -78,3 +78,42 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mix = fair_mix.fair_mix(read_table(spark, sf_dir, "documents"), share=1.5, weights=(5, 2, 1))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _learned(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@register("op2_kneser_ney_toxicity")
+def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import kn_toxicity
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return _learned(kn_toxicity.score_toxicity(docs.select("doc_id", "text"), labels), 0.3)
+
+
+@register("op6_rule_ensemble_quality")
+def op6_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import rule_quality
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return _learned(rule_quality.score_quality(docs.select("doc_id", "text"), labels), 0.7)
+
+
+@register("op10_bigru_language")
+def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import bigru_langid
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
+    network = bigru_langid.train_network(known)
+    said, at = bigru_langid.identify(docs.select("doc_id", "text"), network)
+    return said.select("doc_id", held_out("doc_id").alias("held_out"), F.col(f"{at}.lang").alias("lang_pred"), F.col(f"{at}.score").alias("score"))
+
+
+@register("op5_block_anchor_dedup")
+def op5_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import block_dedup
+
+    cleaned = block_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
