@@ -117,3 +117,11 @@ def op5_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cleaned = block_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@register("op1_order_minhash")
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import omh_dedup
+
+    found = omh_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")
