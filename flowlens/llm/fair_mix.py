@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import WHITESPACE_WORD, word_count
+from flowlens.llm.common import WHITESPACE_WORD, cut, word_count
 
 BUCKET_DIGITS = 3
 MAX_PASSES = 2
@@ -114,6 +114,8 @@ def fair_mix(
         base = base.withColumn(f"_k{t}", shuffle_key(seed, t, "_id", "size")).withColumn(
             f"_b{t}", F.substring(f"_k{t}", 1, BUCKET_DIGITS)
         )
+    # one slim row per document, written once: the texts are read a single time
+    base = cut(base)
     sizes = base.groupBy("_src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     plan = water_fill(cyclic_weights(sizes.drop("_src"), weights), share, max_passes)
     plan = plan.select(
