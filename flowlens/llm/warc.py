@@ -280,7 +280,9 @@ def read_warc(files: DataFrame, with_data: bool = True, read_bytes: int = READ_B
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    spread = files.select("file").repartition("file")
+    # a partition number of its own: left to coalescing, the few bytes of the
+    # file list would end up in one task
+    spread = files.select("file").repartition(max(1, files.count()))
     return spread.mapInPandas(read, CHUNKS)
 
 
