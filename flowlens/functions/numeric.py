@@ -35,17 +35,19 @@ def safe_divide(numerator: Column, denominator: Column) -> Column:
 
 
 def parse_thresholds(raw: str | Iterable[float]) -> list[float]:
-    """Comma list or iterable → distinct thresholds in [0, 1], descending."""
-    if isinstance(raw, str):
-        values = [float(part.strip()) for part in raw.split(",") if part.strip()]
-    else:
-        values = [float(v) for v in raw]
-    invalid = [v for v in values if v < 0.0 or v > 1.0]
-    if invalid:
-        raise ValueError(f"Thresholds must be in [0, 1], got: {invalid}")
-    if not values:
-        raise ValueError("At least one threshold is required")
-    return sorted(set(values), reverse=True)
+    """Comma list or numbers -> distinct decision thresholds, largest first."""
+    cells = raw.split(",") if isinstance(raw, str) else raw
+    cuts = {float(cell) for cell in cells if str(cell).strip()}
+    outside = sorted(cut for cut in cuts if not 0.0 <= cut <= 1.0)
+    if outside or not cuts:
+        raise ValueError(f"decision thresholds outside [0, 1]: {outside}" if outside else "no decision threshold given")
+    return sorted(cuts, reverse=True)
+
+
+def strip_blanks(text: Column) -> Column:
+    """Without leading and trailing white space of any kind (``trim`` only
+    knows the blank)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def is_missing_text(cell: Column) -> Column:
@@ -59,7 +61,7 @@ def coerce_number(cell: Column) -> Column:
     Mirrors ``to_numeric(errors='coerce')``: surrounding blanks are allowed,
     NA tokens give NULL (NaN there), '1d' is not a number.
     """
-    trimmed = F.trim(cell)
+    trimmed = strip_blanks(cell)
     return (
         F.when(is_missing_text(cell), F.lit(None).cast("double"))
         .when(cell.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))

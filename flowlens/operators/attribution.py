@@ -202,9 +202,13 @@ def mean_abs_by_feature(long: DataFrame) -> DataFrame:
 
 
 def mean_abs_by_group(long: DataFrame, group_cols: Sequence[str], key: str) -> DataFrame:
-    """AGG-23: mean |attribution| per group × feature with the group's row count."""
-    return long.groupBy(*group_cols, "feature").agg(
-        F.avg(F.abs("shap_value")).alias("mean_abs_shap"), F.count_distinct(key).alias("samples")
+    """AGG-23: mean |attribution| per group × feature with the group's row count,
+    largest first. ``long`` has one row per ``key`` and feature, so rows are
+    counted without a shuffle on the key."""
+    return (
+        long.groupBy(*group_cols, "feature")
+        .agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap"), F.count(key).alias("samples"))
+        .orderBy(*group_cols, F.desc("mean_abs_shap"), "feature")
     )
 
 

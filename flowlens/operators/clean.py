@@ -165,6 +165,9 @@ def cleaning_stats(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
         _count_if(row_ok).alias("rows_after"),
         F.sum(total(missing_cells)).cast("bigint").alias("missing_before"),
         F.sum(total(inf_cells)).cast("bigint").alias("infinite_before"),
+        # counted again over the rows that stay
+        F.sum(F.when(row_ok, total(missing_cells)).otherwise(0)).cast("bigint").alias("missing_after"),
+        F.sum(F.when(row_ok, total(inf_cells)).otherwise(0)).cast("bigint").alias("infinite_after"),
     )
     return agg.select(
         "rows_before",
@@ -172,8 +175,8 @@ def cleaning_stats(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
         (F.col("rows_before") - F.col("rows_after")).alias("removed_rows"),
         "missing_before",
         "infinite_before",
-        F.lit(0).cast("bigint").alias("missing_after"),
-        F.lit(0).cast("bigint").alias("infinite_after"),
+        "missing_after",
+        "infinite_after",
     )
 
 

@@ -23,11 +23,15 @@ def extreme_examples(
 ) -> DataFrame:
     """Per group: the attack with the highest probability and the benign row
     with the lowest (first row id on ties). With ``prefer_correct`` correctly
-    predicted rows win, falling back to all rows of the class."""
+    predicted rows win, falling back to all rows of the class. A group that
+    lacks a class takes that example from all its rows."""
     correct = (F.col(y_true) == F.col(y_pred)).cast("int") if prefer_correct else F.lit(0)
+    high = F.struct(correct.alias("c"), F.col(prob).alias("p"), (-F.col(key)).alias("k"))
+    low = F.struct(correct.alias("c"), (-F.col(prob)).alias("p"), (-F.col(key)).alias("k"))
     t = F.col(y_true)
-    attack = F.max(F.when(t == 1, F.struct(correct.alias("c"), F.col(prob).alias("p"), (-F.col(key)).alias("k"))))
-    benign = F.max(F.when(t == 0, F.struct(correct.alias("c"), (-F.col(prob)).alias("p"), (-F.col(key)).alias("k"))))
+    # a group without the class takes its example from all its rows
+    attack = F.coalesce(F.max(F.when(t == 1, high)), F.max(high))
+    benign = F.coalesce(F.max(F.when(t == 0, low)), F.max(low))
     agg = pred.groupBy(*group_by).agg(attack.alias("_a"), benign.alias("_b"))
     rows = F.explode(
         F.array(

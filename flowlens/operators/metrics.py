@@ -19,7 +19,8 @@ LABEL_NAMES = {0: "Benign", 1: "Attack"}
 
 
 def _count_if(cond: Column) -> Column:
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+    # 0, not NULL, when there is no row at all
+    return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
 
 
 def confusion_counts(

@@ -1,26 +1,30 @@
 """Seeded column permutations for permutation importance (WIN-10, WIN-11).
 
 A permutation is a position join: every row gets its position in a seeded
-order of the sample, and, per (feature, repeat), the position of its partner
-in a second seeded order; the partner's value replaces its own. The sample is
-bounded by construction (permutation importance runs on a capped sample), and
-every window is partitioned by (feature or group, repeat), so all features and
-repeats are one job over one long table.
+order of the table, and, per (feature, repeat), the position of its partner in
+a second seeded order; the partner's value replaces its own. Positions come
+from ``ranking.dense_rank_in_group`` over the leading 60 bits of the seeded
+md5: rows are ranked inside key-range buckets of bounded size, so neither the
+whole table nor one (feature, repeat) is ever sorted in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.ranking import seeded_order
+from flowlens.operators.ranking import dense_rank_in_group, order_prefix, seeded_order
+
+
+def _ranked(df: DataFrame, group_cols: Sequence[str], md5: Column, out: str) -> DataFrame:
+    """0-based position of each row of a group in md5 order."""
+    return dense_rank_in_group(df.withColumn("_order", order_prefix(md5)), group_cols, "_order", out).drop("_order")
 
 
 def _positions(df: DataFrame, key: str, seed: int) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(seeded_order(seed, key))
-    return df.withColumn("_pos", F.row_number().over(w))
+    return _ranked(df, [], seeded_order(seed, key), "_pos")
 
 
 def permuted_long(
@@ -36,10 +40,7 @@ def permuted_long(
     ).select(key, "_pos", "_f.feature", "_f.value")
     reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
     long = long.select("*", reps)
-    w = Window.partitionBy("feature", "repeat").orderBy(
-        seeded_order(seed, F.col("feature"), F.col("repeat"), F.col(key))
-    )
-    target = long.withColumn("_to", F.row_number().over(w))
+    target = _ranked(long, ["feature", "repeat"], seeded_order(seed, F.col("feature"), F.col("repeat"), F.col(key)), "_to")
     donors = long.select("feature", "repeat", F.col("_pos").alias("_to"), F.col("value").alias("permuted_value"))
     return target.join(donors, ["feature", "repeat", "_to"]).select(key, "feature", "repeat", "value", "permuted_value")
 
@@ -60,8 +61,7 @@ def group_permuted_long(
         key, "_pos", "_e.group", "_e.feature", "_e.value"
     )
     rows = pos.select(key, "_pos").withColumn("_g", F.explode(F.array(*[F.lit(g) for g in present])))
-    w = Window.partitionBy("_g").orderBy(seeded_order(seed, F.col("_g"), F.col(key)))
-    partner = rows.withColumn("_to", F.row_number().over(w)).select(
+    partner = _ranked(rows, ["_g"], seeded_order(seed, F.col("_g"), F.col(key)), "_to").select(
         F.col(key).alias("_k"), F.col("_g").alias("group"), "_to"
     )
     t = long.join(partner, (long[key] == partner["_k"]) & (long["group"] == partner["group"])).drop(partner["group"]).drop("_k")

@@ -887,19 +887,14 @@ def q_subset_experiment_counts(spark, sf_dir):
     )
 
 
-_PERM_N = 500
-_PERM_REPEATS = 5
+_PERM_REPEATS = 2
 
 
-def _perm_sample(spark, sf_dir):
-    line = V.v_line(spark, sf_dir).select("row_key", *V.LINE_FEATURES, "label")
-    return S.bounded_sample(line, _PERM_N, key="row_key")
+def _perm_rows(spark, sf_dir):
+    return V.v_line(spark, sf_dir).select("row_key", *V.LINE_FEATURES, "label")
 
 
-_PERM_SAMPLE_CTE = {
-    "smp": f"SELECT * FROM v_line ORDER BY md5('42|' || row_key) LIMIT {_PERM_N}",
-    "pos": "SELECT *, row_number() OVER (ORDER BY md5('42|' || row_key)) AS pos FROM smp",
-}
+_PERM_SAMPLE_CTE = {"pos": "SELECT *, row_number() OVER (ORDER BY md5('42|' || row_key)) AS pos FROM v_line"}
 
 
 @register(
@@ -923,7 +918,7 @@ JOIN lng d ON d.feature = t.feature AND d.repeat = t.repeat AND d.pos = t.tgt"""
     ),
 )
 def q_permuted_columns(spark, sf_dir):
-    return PM.permuted_long(_perm_sample(spark, sf_dir), V.LINE_FEATURES, "row_key", _PERM_REPEATS)
+    return PM.permuted_long(_perm_rows(spark, sf_dir), V.LINE_FEATURES, "row_key", _PERM_REPEATS)
 
 
 _LINE_GROUPS = {"price": ("l_extendedprice", "l_discount", "l_tax"), "size": ("l_quantity", "l_missing")}
@@ -952,7 +947,7 @@ JOIN lng d ON d."group" = t."group" AND d.feature = t.feature AND d.pos = p.tgt"
     ),
 )
 def q_group_permuted_columns(spark, sf_dir):
-    return PM.group_permuted_long(_perm_sample(spark, sf_dir), _LINE_GROUPS, "row_key")
+    return PM.group_permuted_long(_perm_rows(spark, sf_dir), _LINE_GROUPS, "row_key")
 
 
 def _extreme_sql(prefer_correct: bool) -> str:

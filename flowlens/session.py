@@ -12,8 +12,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings every job of this package relies on. AQE re-plans joins and
-# coalesces shuffle partitions at run time; the window group limit is raised so
-# per-group caps keep their partial (map-side) top-k step.
+# coalesces shuffle partitions at run time.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -44,10 +43,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    Only in local mode, and when it is unset (tests), a fresh scratch folder is
+    created; a cluster without the setting is refused, because its executors
+    would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not current and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="flowlens-ckpt-")
     if not sc.getCheckpointDir():

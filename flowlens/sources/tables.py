@@ -7,7 +7,6 @@ moves rows through the driver.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +34,6 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     w.parquet(path)
 
 
-def first_rows(df: DataFrame, n: int | None, row_col: str = "row_id") -> DataFrame:
-    """SRC-8: deterministic quick-run subset (rows with id < n), not ``limit``."""
-    return df if n is None else df.where(F.col(row_col) < n)
-
-
 def split_roles(columns: Sequence[str], label: str = "Label") -> tuple[list[str], str, list[str]]:
     """PRJ-7: feature, label and metadata column names of a prepared table."""
     feats = [c for c in columns if c not in NON_FEATURE_COLUMNS]
@@ -47,22 +41,24 @@ def split_roles(columns: Sequence[str], label: str = "Label") -> tuple[list[str]
     return feats, label, meta
 
 
-def existing_files(paths: Sequence[str], strict: bool = False) -> tuple[list[str], list[str]]:
-    """SRC-5/SRC-6: keep the listed files that exist; with ``strict`` raise on any missing."""
-    found = [p for p in paths if os.path.exists(p.replace("file:", ""))]
-    missing = [p for p in paths if p not in found]
-    if strict and missing:
-        raise FileNotFoundError(f"Missing input files: {missing}")
-    return found, missing
+def existing_files(spark: SparkSession, paths: Sequence[str], strict: bool = False) -> tuple[list[str], list[str]]:
+    """SRC-5/SRC-6: (present, absent) of the listed files, asked of the file
+    system each path names (hdfs, s3a, file ...); ``strict`` refuses absent ones."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = {p: (at := hadoop(p)).getFileSystem(conf).exists(at) for p in paths}
+    absent = [p for p in paths if not there[p]]
+    if strict and absent:
+        raise FileNotFoundError(f"no such input: {', '.join(absent)}")
+    return [p for p in paths if there[p]], absent
 
 
 def load_metrics(spark: SparkSession, path: str, variant: str) -> DataFrame | None:
-    """SRC-10: a metrics table tagged with its variant, None when absent."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent table is a normal case here
+    """SRC-10: a metrics table tagged with its variant, None when absent. Any
+    other trouble (damaged file, no access) is raised."""
+    if existing_files(spark, [path])[1]:
         return None
-    return df.withColumn("variant", F.lit(variant))
+    return spark.read.parquet(path).withColumn("variant", F.lit(variant))
 
 
 def save_feature_list(spark: SparkSession, features: Sequence[str], path: str) -> None:
@@ -88,6 +84,7 @@ def require_numeric(df: DataFrame, columns: Sequence[str]) -> None:
     """PRJ-11: raise naming the non-numeric columns."""
     from flowlens.operators.clean import numeric_columns
 
-    bad = [c for c in columns if c not in set(numeric_columns(df, columns))]
+    numeric = set(numeric_columns(df, columns))
+    bad = [c for c in columns if c not in numeric]
     if bad:
         raise ValueError(f"Non-numeric feature columns: {bad}")

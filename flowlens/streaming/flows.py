@@ -40,23 +40,29 @@ def running_threshold_counts(
 ) -> DataFrame:
     """STR-2: running tn/fp/fn/tp per threshold and group.
 
-    Each row contributes one (threshold, cell) entry per threshold; the state
-    is the bounded key set, merged across micro-batches by Spark.
+    One row of state per group with two sums for each threshold; rows are not
+    replicated. The few result rows are turned to one per threshold after the
+    aggregate.
     """
-    ths = parse_thresholds(list(thresholds))
-    per_t = scored.select(
-        *group_by,
-        F.col(y_true).alias("_t"),
-        F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), (F.col(prob) >= F.lit(t)).alias("_hit")) for t in ths])).alias("_x"),
-    ).select(*group_by, "_t", "_x.threshold", "_x._hit")
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
-    t, h = F.col("_t"), F.col("_hit")
-    return per_t.groupBy(*group_by, "threshold").agg(
-        one((t == 0) & ~h).alias("tn"),
-        one((t == 0) & h).alias("fp"),
-        one((t == 1) & ~h).alias("fn"),
-        one((t == 1) & h).alias("tp"),
+    cuts = parse_thresholds(list(thresholds))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    t, p = F.col(y_true), F.col(prob)
+    sums = [n(t == 0).alias("_neg"), n(t == 1).alias("_pos")]
+    for i, cut in enumerate(cuts):
+        sums += [n((t == 0) & (p >= F.lit(cut))).alias(f"_fp{i}"), n((t == 1) & (p >= F.lit(cut))).alias(f"_tp{i}")]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(cut).alias("threshold"),
+                (F.col("_neg") - F.col(f"_fp{i}")).alias("tn"),
+                F.col(f"_fp{i}").alias("fp"),
+                (F.col("_pos") - F.col(f"_tp{i}")).alias("fn"),
+                F.col(f"_tp{i}").alias("tp"),
+            )
+            for i, cut in enumerate(cuts)
+        ]
     )
+    return scored.groupBy(*group_by).agg(*sums).select(*group_by, F.explode(rows).alias("_r")).select(*group_by, "_r.*")
 
 
 def running_counts(stream: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -85,7 +85,37 @@ def test_metric_numbers(spark):
     assert m["f1_score"] == 2 * p * r / (p + r)
     assert m["specificity"] == 50 / 60
     zero = M.binary_metrics(spark.createDataFrame([(0, 1)], "y_true int, y_pred int").where("false")).first()
-    assert zero is None or zero["accuracy"] in (0.0, None)
+    assert [zero[c] for c in ("tn", "fp", "fn", "tp", "samples")] == [0, 0, 0, 0, 0]
+    assert [zero[c] for c in ("accuracy", "precision", "recall", "f1_score", "specificity", "balanced_accuracy")] == [0.0] * 6
+
+
+def test_example_falls_back_when_a_class_is_absent(spark):
+    from flowlens.operators.examples import extreme_examples
+
+    df = spark.createDataFrame(
+        [("d", 1, 1, 1, 0.9), ("d", 2, 1, 0, 0.2)], "dataset string, row_id long, y_true int, y_pred int, attack_probability double"
+    )
+    got = {r["example"]: r["row_id"] for r in extreme_examples(df).collect()}
+    assert got == {"attack": 1, "benign": 2}
+
+
+def test_labels_and_numbers_strip_any_white_space(spark):
+    from flowlens.functions.labels import attack_family
+
+    df = spark.createDataFrame([("\tFTP-Patator", "\t2.5 ")], "raw string, cell string")
+    r = df.select(attack_family(F.col("raw")).alias("f"), coerce_number(F.col("cell")).alias("n")).first()
+    assert (r["f"], r["n"]) == ("BruteForce", 2.5)
+
+
+def test_listed_files_are_asked_of_their_file_system(spark, tmp_path):
+    from flowlens.sources.tables import existing_files, load_metrics
+
+    spark.range(3).write.parquet(f"file://{tmp_path}/t")
+    assert existing_files(spark, [f"file://{tmp_path}/t", f"file://{tmp_path}/no"]) == ([f"file://{tmp_path}/t"], [f"file://{tmp_path}/no"])
+    with pytest.raises(FileNotFoundError):
+        existing_files(spark, [f"{tmp_path}/no"], strict=True)
+    assert load_metrics(spark, f"{tmp_path}/no", "v") is None
+    assert load_metrics(spark, f"{tmp_path}/t", "v").count() == 3
 
 
 def test_tie_and_expected_label(spark):
