@@ -242,7 +242,7 @@ def repeats(packed: DataFrame) -> DataFrame:
         new = np.ones(len(r), dtype=bool)
         new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
         begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(r)) - 1
+        end = np.append(begin[1:], len(r))[: len(begin)] - 1
         return pa.table(
             {"row": pa.array(r[begin]), "begin": pa.array(p[begin].astype(np.int32)), "end": pa.array((p[end] + WINDOW).astype(np.int32))}
         )
