@@ -5,17 +5,21 @@ stratum inside one task; when one stratum holds a third of the data, that task
 holds a third of the data. The operators here never do that:
 
 * ``mark_top_k`` — keep the first ``quota`` rows of each group in a seeded
-  hash order. Rows are bucketed by the top bits of their 60-bit order key;
-  the number of bits grows with the group so a bucket holds about
-  ``rows_per_bucket`` rows. A histogram aggregate (map-side partial counts)
-  locates the bucket holding the quota boundary, only that bucket is ranked,
-  and the result is a one-row-per-group cutoff. The final pass is a single
-  projection joined to that per-group table.
+  hash order. One aggregate (map-side partial counts) makes a fixed-width
+  histogram of the order keys of every group; it gives the group's size and
+  the hash bucket that holds the quota boundary. Only that bucket, one part in
+  2^``bucket_bits`` of the group, is ranked; the result is one cutoff per
+  group. The final pass compares each row with its group's cutoff.
 * ``dense_rank_in_group`` — 0-based position of each row inside its group by
   a non-negative LONG key (row numbers within a file, global row ids). Rows
   are ranked inside (group, key-range bucket) windows and shifted by bucket
   offsets from a prefix sum over the small histogram.
 
+Tables with one row per group are read to the driver up to
+``MAX_GROUPS_BROADCAST`` rows and then broadcast, so the data rows stay where
+they are and no group is gathered by its key; a table with more groups is
+joined by an ordinary shuffle join instead. The result is the same.
+
 Results equal the plain window exactly (given a unique order key).
 """
 
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 
 ORDER_BITS = 60
 DEFAULT_ROWS_PER_BUCKET = 50_000
+DEFAULT_BUCKET_BITS = 14
+MAX_GROUPS_BROADCAST = 100_000
 
 
 def seeded_order(seed: int | str, *cols: str | Column) -> Column:
@@ -48,9 +54,21 @@ def _window(group_cols: Sequence[str]):
     return Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def _small(table: DataFrame) -> tuple[DataFrame, bool]:
+    """Compute a one-row-per-group table once; True when it was small enough
+    to be sent to every executor, else the lazy table itself."""
+    rows = table.limit(MAX_GROUPS_BROADCAST + 1).collect()
+    if len(rows) > MAX_GROUPS_BROADCAST:
+        return table, False
+    return table.sparkSession.createDataFrame(rows, table.schema), True
+
+
+def _null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False
+) -> DataFrame:
     """Join on ``keys`` with NULL = NULL; keeps the left key columns only.
 
+    ``small`` marks a right side whose size was checked: it is broadcast.
     Without keys the right side is a one-row global table: it is joined on a
     constant key and broadcast (its size is one row by construction).
     """
@@ -62,7 +80,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     for i, k in enumerate(keys):
         renamed = renamed.withColumnRenamed(k, f"__rk{i}")
     cond = [left[k].eqNullSafe(renamed[f"__rk{i}"]) for i, k in enumerate(keys)]
-    out = left.join(renamed, cond, how)
+    out = left.join(F.broadcast(renamed) if small else renamed, cond, how)
     return out.drop(*[f"__rk{i}" for i in range(len(keys))])
 
 
@@ -72,49 +90,49 @@ def mark_top_k(
     quota: int | Callable[[DataFrame], DataFrame],
     order_md5: str,
     flag: str = "selected",
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    bucket_bits: int = DEFAULT_BUCKET_BITS,
 ) -> DataFrame:
     """Add boolean ``flag``: row is among the first ``quota`` of its group.
 
     ``order_md5`` names a column of md5 hex strings (see ``seeded_order``),
     unique per row. ``quota`` is an int cap or a function adding ``_quota``
     to the per-group count table (columns ``group_cols`` + ``_n``).
+
+    Reads ``df`` three times: histogram, boundary buckets, final pass; the
+    first two run when the function is called and read only the group and
+    order columns.
     """
     g = list(group_cols)
-    counts = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = df.select(
+        *g,
+        F.col(order_md5).alias("_md5"),
+        F.shiftrightunsigned(order_prefix(F.col(order_md5)), ORDER_BITS - bucket_bits).alias("_bucket"),
+    )
+    hist = keyed.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     if isinstance(quota, int):
-        counts = counts.withColumn("_quota", F.least(F.col("_n"), F.lit(int(quota))).cast("bigint"))
+        hist = hist.withColumn("_quota", F.least(F.sum("_c").over(_window(g)), F.lit(int(quota))).cast("bigint"))
     else:
-        counts = quota(counts)
-    bits = F.least(
-        F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(float(rows_per_bucket)))))
-    ).cast("int")
-    counts = counts.withColumn("_bits", bits)
-
-    keyed = df.select(*g, F.col(order_md5).alias("_md5"))
-    # Only groups that must be cut take part in the histogram and boundary work.
-    big = _null_safe_join(keyed, counts.where((F.col("_n") > F.col("_quota")) & (F.col("_quota") > 0)), g)
-    big = big.withColumn(
-        "_bucket", F.call_function("shiftrightunsigned", order_prefix(F.col("_md5")), F.lit(ORDER_BITS) - F.col("_bits"))
-    )
-    hist = big.groupBy(*g, "_quota", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+        counts, few = _small(quota(hist.groupBy(*g).agg(F.sum("_c").alias("_n"))))
+        hist = _null_safe_join(hist, counts.select(*g, "_quota"), g, small=few)
+    # A window holds at most 2^bucket_bits rows of one group.
     w = _window(g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_before", F.col("_cum") - F.col("_c"))
-    boundary = hist.where((F.col("_before") < F.col("_quota")) & (F.col("_cum") >= F.col("_quota"))).select(
-        *g, F.col("_bucket").alias("_bb"), (F.col("_quota") - F.col("_before")).alias("_need")
+    hist = hist.where(F.col("_quota") > 0).withColumn("_cum", F.sum("_c").over(w))
+    before = F.col("_cum") - F.col("_c")
+    boundary, few = _small(
+        hist.where((before < F.col("_quota")) & (F.col("_cum") >= F.col("_quota"))).select(
+            *g, F.col("_bucket").alias("_bb"), (F.col("_quota") - before).alias("_need")
+        )
     )
     # Rank only the rows of the boundary bucket; keep the need-th md5 as cutoff.
-    edge = _null_safe_join(big, boundary, g).where(F.col("_bucket") == F.col("_bb"))
-    wr = _window(g).orderBy("_md5")
-    cut = (
-        edge.withColumn("_rn", F.row_number().over(wr))
+    edge = _null_safe_join(keyed, boundary, g, small=few).where(F.col("_bucket") == F.col("_bb"))
+    cut, few = _small(
+        edge.withColumn("_rn", F.row_number().over(_window(g).orderBy("_md5")))
         .where(F.col("_rn") == F.col("_need"))
         .select(*g, F.col("_md5").alias("_cut"))
     )
-    info = _null_safe_join(counts.select(*g, "_n", "_quota"), cut, g, "left")
-    out = _null_safe_join(df, info, g)
-    sel = (F.col("_n") <= F.col("_quota")) | (F.col("_cut").isNotNull() & (F.col(order_md5) <= F.col("_cut")))
-    return out.withColumn(flag, sel).drop("_n", "_quota", "_cut")
+    out = _null_safe_join(df, cut, g, "left", small=few)
+    # No cutoff means a quota of zero.
+    return out.withColumn(flag, F.col("_cut").isNotNull() & (F.col(order_md5) <= F.col("_cut"))).drop("_cut")
 
 
 def top_k_per_group(
@@ -122,10 +140,10 @@ def top_k_per_group(
     group_cols: Sequence[str],
     k: int,
     order_md5: str,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    bucket_bits: int = DEFAULT_BUCKET_BITS,
 ) -> DataFrame:
     """Rows among the first ``k`` of their group in md5 order (exact cap)."""
-    marked = mark_top_k(df, group_cols, k, order_md5, "_keep", rows_per_bucket)
+    marked = mark_top_k(df, group_cols, k, order_md5, "_keep", bucket_bits)
     return marked.where(F.col("_keep")).drop("_keep")
 
 
@@ -145,8 +163,8 @@ def dense_rank_in_group(
     shift = F.greatest(
         F.lit(0), F.floor(F.log2(span * F.lit(float(rows_per_bucket)) / F.col("_n")))
     ).cast("int")
-    stats = stats.withColumn("_shift", F.least(F.lit(62), shift)).select(*g, "_lo", "_shift")
-    tagged = _null_safe_join(df, stats, g).withColumn(
+    stats, few = _small(stats.withColumn("_shift", F.least(F.lit(62), shift)).select(*g, "_lo", "_shift"))
+    tagged = _null_safe_join(df, stats, g, small=few).withColumn(
         "_bucket", F.call_function("shiftright", F.col(key) - F.col("_lo"), F.col("_shift"))
     )
     hist = tagged.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_c"))

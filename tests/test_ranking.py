@@ -17,11 +17,11 @@ def _data(spark, parts):
 
 
 @pytest.mark.parametrize("parts", [1, 4, 16])
-@pytest.mark.parametrize("rows_per_bucket", [7, 100, 50000])
+@pytest.mark.parametrize("bits", [0, 3, 14])
 @pytest.mark.parametrize("quota", [0, 1, 33, 500, 5000])
-def test_top_k_equals_window(spark, parts, rows_per_bucket, quota):
+def test_top_k_equals_window(spark, parts, bits, quota):
     df = _data(spark, parts)
-    got = {r[0] for r in mark_top_k(df, ["g"], quota, "_o", "sel", rows_per_bucket).where("sel").select("row_id").collect()}
+    got = {r[0] for r in mark_top_k(df, ["g"], quota, "_o", "sel", bits).where("sel").select("row_id").collect()}
     w = Window.partitionBy("g").orderBy("_o")
     exp = {r[0] for r in df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= quota).select("row_id").collect()}
     assert got == exp
@@ -39,5 +39,26 @@ def test_dense_rank_equals_row_number(spark, parts, rows_per_bucket):
 
 def test_global_top_k(spark):
     df = _data(spark, 4)
-    got = mark_top_k(df, [], 10, "_o", "sel", 16).where("sel").count()
+    got = mark_top_k(df, [], 10, "_o", "sel", 4).where("sel").count()
     assert got == 10
+
+
+def test_top_k_with_many_groups_takes_the_shuffle_join(spark, monkeypatch):
+    from flowlens.operators import ranking
+
+    df = _data(spark, 4).union(_data(spark, 1).select("row_id", F.lit(None).cast("string"), "_o"))
+    want = {tuple(r) for r in mark_top_k(df, ["g"], 33, "_o", "sel", 3).where("sel").select("g", "row_id").collect()}
+    monkeypatch.setattr(ranking, "MAX_GROUPS_BROADCAST", 1)
+    got = {tuple(r) for r in mark_top_k(df, ["g"], 33, "_o", "sel", 3).where("sel").select("g", "row_id").collect()}
+    assert got == want and len(got) == 33 * 5
+
+
+def test_top_k_of_no_rows(spark):
+    assert mark_top_k(_data(spark, 1).where("false"), ["g"], 5, "_o", "sel").count() == 0
+
+
+def test_marking_plans_one_scan_and_no_exchange_by_group(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("_o", seeded_order(7, "event_id"))
+    plan = mark_top_k(df, ["event_type"], 9, "_o", "sel")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert "hashpartitioning" not in plan
