@@ -5,7 +5,7 @@ Feature Attribution for Tree Ensembles", 2018) for the class-1 probability.
 The forest's nodes are read from its saved Parquet form (bounded by
 trees × 2^(depth+1) nodes), packed into arrays and broadcast; rows are the
 parallel axis: ``mapInPandas`` explains each Arrow batch inside the task that
-holds it. Output is a long table (row, feature, value), so the summaries are
+holds it, one leaf at a time for all rows of the batch. Output is a long table (row, feature, value), so the summaries are
 ordinary aggregates.
 """
 
@@ -73,72 +73,66 @@ def pack_forest(spark: SparkSession, model: PipelineModel) -> list[PackedTree]:
     return trees
 
 
-def _extend(path, z, o, f):
-    depth = len(path)
-    path = [list(p) for p in path]
-    path.append([f, z, o, 1.0 if depth == 0 else 0.0])
-    for i in range(depth - 1, -1, -1):
-        path[i + 1][3] += o * path[i][3] * (i + 1) / (depth + 1)
-        path[i][3] = z * path[i][3] * (depth - i) / (depth + 1)
-    return path
-
-
-def _unwind(path, k):
-    depth = len(path) - 1
-    f_o, f_z = path[k][2], path[k][1]
-    path = [list(p) for p in path]
-    nxt = path[depth][3]
-    for i in range(depth - 1, -1, -1):
-        if f_o != 0:
-            tmp = path[i][3]
-            path[i][3] = nxt * (depth + 1) / ((i + 1) * f_o)
-            nxt = tmp - path[i][3] * f_z * (depth - i) / (depth + 1)
-        else:
-            path[i][3] = path[i][3] * (depth + 1) / (f_z * (depth - i))
-    for i in range(k, depth):
-        path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
-    return path[:depth]
-
-
-def _unwound_sum(path, k):
-    depth = len(path) - 1
-    f_o, f_z = path[k][2], path[k][1]
-    nxt = path[depth][3]
-    total = 0.0
-    for i in range(depth - 1, -1, -1):
-        if f_o != 0:
-            tmp = nxt * (depth + 1) / ((i + 1) * f_o)
-            total += tmp
-            nxt = path[i][3] - tmp * f_z * (depth - i) / (depth + 1)
-        else:
-            total += (path[i][3] / f_z) / ((depth - i) / (depth + 1))
-    return total
-
-
-def tree_shap(x: np.ndarray, tree: PackedTree, phi: np.ndarray) -> None:
-    """Add one tree's attributions for row ``x`` to ``phi`` (Spark's split rule:
-    value ≤ threshold goes left)."""
-
-    def recurse(node, path, z, o, f):
-        path = _extend(path, z, o, f)
+@dataclass(frozen=True)
+class Leaf:
+    """One root-to-leaf path, its splits merged per feature: a row follows the
+    path on feature ``features[i]`` iff its value is in (``low``, ``high``];
+    without the feature a ``zero`` share of the cover follows it."""
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    zero: np.ndarray
+    value: float
+
+
+def leaves(tree: PackedTree) -> list[Leaf]:
+    """All paths of a tree (Spark's split rule: value ≤ threshold goes left)."""
+    out: list[Leaf] = []
+    todo = [(0, {})]
+    while todo:
+        node, path = todo.pop()
         if tree.left[node] < 0:
-            for i in range(1, len(path)):
-                w = _unwound_sum(path, i)
-                phi[path[i][0]] += w * (path[i][2] - path[i][1]) * tree.value[node]
-            return
-        split = tree.feature[node]
-        go_left = x[split] <= tree.threshold[node]
-        hot, cold = (tree.left[node], tree.right[node]) if go_left else (tree.right[node], tree.left[node])
-        cover = tree.cover[node]
-        iz, io = 1.0, 1.0
-        k = next((i for i in range(len(path)) if path[i][0] == split), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = _unwind(path, k)
-        recurse(hot, path, iz * tree.cover[hot] / cover, io, split)
-        recurse(cold, path, iz * tree.cover[cold] / cover, 0.0, split)
-
-    recurse(0, [], 1.0, 1.0, -1)
+            f = sorted(path)
+            low, high, zero = (np.array([path[k][i] for k in f], dtype=float) for i in range(3))
+            out.append(Leaf(np.array(f, dtype=int), low, high, zero, float(tree.value[node])))
+            continue
+        f, t = int(tree.feature[node]), float(tree.threshold[node])
+        low, high, zero = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((tree.left[node], (low, min(high, t))), (tree.right[node], (max(low, t), high))):
+            share = tree.cover[child] / tree.cover[node]
+            todo.append((int(child), {**path, f: (*bounds, zero * share)}))
+    return out
+
+
+def tree_shap(x: np.ndarray, paths: Sequence[Leaf], phi: np.ndarray) -> None:
+    """Add one tree's attributions for the rows of ``x`` to ``phi`` in place.
+
+    In a path of m features, feature j earns (o_j - z_j) times the Shapley-
+    weighted sum over subsets S of the others of prod_S o * prod_rest z, with
+    o the 0/1 "row follows" and z the cover share. As the weight of S is the
+    integral over [0, 1] of t^|S| (1-t)^(m-1-|S|), that sum is the integral of
+    prod_{k≠j} (o_k t + z_k (1-t)): a polynomial of degree m - 1, which
+    Gauss-Legendre quadrature with ceil(m/2) points integrates exactly.
+    """
+    for leaf in paths:
+        m = len(leaf.features)
+        if m == 0 or leaf.value == 0.0:
+            continue
+        v = x[:, leaf.features]
+        above = np.isneginf(leaf.low) | ~(v <= leaf.low)
+        one = (above & (np.isposinf(leaf.high) | (v <= leaf.high))).astype(float)
+        weight = np.zeros_like(one)
+        points, shares = np.polynomial.legendre.leggauss((m + 1) // 2)
+        for t, share in zip((points + 1) / 2, shares / 2):
+            terms = one * t + leaf.zero * (1 - t)
+            # Products of all the other terms: what is before times what is after.
+            before = np.ones_like(terms)
+            after = np.ones_like(terms)
+            before[:, 1:] = np.cumprod(terms[:, :-1], axis=1)
+            after[:, :-1] = np.cumprod(terms[:, :0:-1], axis=1)[:, ::-1]
+            weight += share * before * after
+        phi[:, leaf.features] += leaf.value * weight * (one - leaf.zero)
 
 
 def expected_value(trees: Sequence[PackedTree]) -> float:
@@ -146,28 +140,28 @@ def expected_value(trees: Sequence[PackedTree]) -> float:
     return float(np.mean([t.value[0] for t in trees]))
 
 
-def explain_rows(x: np.ndarray, trees: Sequence[PackedTree]) -> np.ndarray:
+def explain_rows(x: np.ndarray, forest: Sequence[Sequence[Leaf]]) -> np.ndarray:
     """rows × features attributions of the forest's class-1 probability."""
-    out = np.zeros((x.shape[0], x.shape[1]))
-    for r in range(x.shape[0]):
-        phi = np.zeros(x.shape[1] + 1)  # last slot absorbs the root's dummy feature
-        for t in trees:
-            tree_shap(x[r], t, phi)
-        out[r] = phi[:-1] / len(trees)
-    return out
+    phi = np.zeros(x.shape)
+    for paths in forest:
+        tree_shap(x, paths, phi)
+    return phi / len(forest)
 
 
 def attribution_long(
     spark: SparkSession,
-    model: PipelineModel,
+    model: PipelineModel | Sequence[PackedTree],
     rows: DataFrame,
     features: Sequence[str],
     key: str,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """ML-15/16/18: (key, keep…, feature, feature_value, shap_value) per row and feature."""
-    trees = pack_forest(spark, model)
-    b_trees = spark.sparkContext.broadcast(trees)
+    """ML-15/16/18: (key, keep…, feature, feature_value, shap_value) per row and feature.
+
+    ``model`` is a fitted forest or its packed trees. What is broadcast has at
+    most trees × 2^depth leaves of depth features, whatever the row count."""
+    trees = pack_forest(spark, model) if isinstance(model, PipelineModel) else model
+    b_forest = spark.sparkContext.broadcast([leaves(t) for t in trees])
     feats = list(features)
     keep = list(keep)
     schema = ", ".join(
@@ -175,7 +169,7 @@ def attribution_long(
     )
 
     def run(batches):
-        forest = b_trees.value
+        forest = b_forest.value
         for pdf in batches:
             if pdf.empty:
                 continue

@@ -43,11 +43,12 @@ def subset_experiment(
     from flowlens.operators import profile as P
     from flowlens.operators import sampling as S
     from flowlens.operators.distributions import require_two_classes
+    from flowlens.session import stored
 
     sub = df.where(predicate)
     require_two_classes(sub, label)
     feats = [f for f in features if f not in set(drop_cols)]
-    split = S.stratified_split(sub, label, key=key)
+    split = stored(S.stratified_split(sub, label, key=key), "subset-split")
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
     params = P.fit_scaler(train, feats)
     train, test = P.apply_scaler(train, params), P.apply_scaler(test, params)

@@ -1,7 +1,10 @@
 """Permutation importance, single and grouped (ML-13, ML-14, AGG-24).
 
 All features × repeats are one long table scored by a single ``transform``
-and reduced by one aggregate; nothing loops over jobs per feature.
+and reduced by one aggregate; nothing loops over jobs per feature. A shuffled
+row carries its own features and its partner's, so the sample is not joined
+again. ``sample`` may be a whole table; pass a stored one, it is read several
+times.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.metrics import binary_metrics
 from flowlens.operators.model import score
-from flowlens.operators.permutation import group_permuted_long, permuted_long
+from flowlens.operators.permutation import shuffled_partners
 
 
 def _f1(scored: DataFrame, group_by: Sequence[str]) -> DataFrame:
@@ -37,11 +40,10 @@ def permutation_importance(
 ) -> DataFrame:
     """F1 drop per feature: mean and population std over the repeats."""
     baseline = _f1(score(model, sample, label), [])
-    long = permuted_long(sample, features, key, repeats, seed).select(key, "feature", "repeat", "permuted_value")
-    wide = long.join(sample, key)
-    wide = wide.select(
-        key, "feature", "repeat", label,
-        *[F.when(F.col("feature") == f, F.col("permuted_value")).otherwise(F.col(f).cast("double")).alias(f) for f in features],
+    draws = [{"feature": f, "repeat": r} for f in features for r in range(repeats)]
+    wide = shuffled_partners(sample.select(key, label, *features), draws, features, key, seed).select(
+        "feature", "repeat", label,
+        *[F.when(F.col("feature") == f, F.col("_donor")[f]).otherwise(F.col(f).cast("double")).alias(f) for f in features],
     )
     per_rep = _f1(score(model, wide, label), ["feature", "repeat"])
     drops = _with_baseline(per_rep, baseline).withColumn("drop", F.col("baseline_f1") - F.col("f1_score"))
@@ -63,22 +65,19 @@ def group_permutation_importance(
 ) -> DataFrame:
     """Baseline F1, F1 with a whole group permuted together, and the drop."""
     baseline = _f1(score(model, sample, label), [])
-    long = group_permuted_long(sample, groups, key, seed)
-    moved = long.groupBy(key, "group").agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "permuted_value"))).alias("_m")
-    )
-    wide = moved.join(sample, key).select(
-        key, "group", label,
-        *[F.coalesce(F.col("_m")[f], F.col(f).cast("double")).alias(f) for f in features],
+    members = {g: [c for c in cols if c in features] for g, cols in groups.items()}
+    members = {g: m for g, m in members.items() if m}
+    draws = [{"group": g} for g in members]
+    moved = {f: [g for g, m in members.items() if f in m] for f in features}
+    wide = shuffled_partners(sample.select(key, label, *features), draws, features, key, seed).select(
+        "group", label,
+        *[F.when(F.col("group").isin(moved[f]), F.col("_donor")[f]).otherwise(F.col(f).cast("double")).alias(f) for f in features],
     )
     per_group = _f1(score(model, wide, label), ["group"]).withColumnRenamed("f1_score", "permuted_f1")
-    members = {g: [c for c in cols if c in sample.columns] for g, cols in groups.items()}
-    info = long.select("group").distinct().select(
-        "group",
-        F.element_at(F.create_map(*[x for g, m in members.items() for x in (F.lit(g), F.lit(len(m)))]), F.col("group")).alias("n_features"),
-        F.element_at(F.create_map(*[x for g, m in members.items() for x in (F.lit(g), F.lit(", ".join(m)))]), F.col("group")).alias("features"),
+    about = F.create_map(
+        *[x for g, m in members.items() for x in (F.lit(g), F.struct(F.lit(len(m)).alias("n_features"), F.lit(", ".join(m)).alias("features")))]
     )
-    out = _with_baseline(per_group.join(info, "group"), baseline)
+    out = _with_baseline(per_group.select("*", about[F.col("group")].alias("_about")).select("*", "_about.*"), baseline)
     return out.select(
         "group", "n_features", "baseline_f1", "permuted_f1",
         (F.col("baseline_f1") - F.col("permuted_f1")).alias("f1_drop"), "features",

@@ -3,8 +3,8 @@
 The forest is Spark ML's ``RandomForestClassifier`` (histogram splits, so
 parity with other libraries is at metric level, not tree level). Training is
 made layout-stable: the training frame is hash-partitioned by its row key
-into a fixed number of partitions and sorted inside them, so the same seed
-gives the same forest whatever the input layout was.
+and sorted inside the partitions, whose number follows from the row count, so
+the same seed gives the same forest whatever the input layout was.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from flowlens.operators.distributions import with_class_weight
 
 # Defaults of the original study's forest.
 FOREST_PARAMS = {"numTrees": 50, "maxDepth": 15, "seed": 42}
-FIT_PARTITIONS = 16
+MIN_FIT_PARTITIONS = 16
+ROWS_PER_FIT_PARTITION = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class ForestConfig:
     seed: int = 42
     balanced: bool = True
     max_bins: int = 128
-    fit_partitions: int = FIT_PARTITIONS
+    fit_partitions: int | None = None  # None: by the row count
 
 
 def stable_layout(df: DataFrame, key: str, partitions: int) -> DataFrame:
@@ -45,7 +46,9 @@ def stable_layout(df: DataFrame, key: str, partitions: int) -> DataFrame:
 
 
 def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
-    """Assemble the scalar feature columns and fit the forest (ML-2/3/4)."""
+    """Assemble the scalar feature columns and fit the forest (ML-2/3/4).
+
+    ``train`` should be a stored table: it is read more than once."""
     data = train.select(cfg.key, *cfg.features, F.col(cfg.label).cast("double").alias("_label"), cfg.label)
     stages = [VectorAssembler(inputCols=list(cfg.features), outputCol="features", handleInvalid="error")]
     rf = RandomForestClassifier(
@@ -62,7 +65,8 @@ def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
         data = with_class_weight(data, cfg.label, "_weight")
         rf = rf.setWeightCol("_weight")
     stages.append(rf)
-    data = stable_layout(data, cfg.key, cfg.fit_partitions)
+    n_parts = cfg.fit_partitions or max(MIN_FIT_PARTITIONS, -(-train.count() // ROWS_PER_FIT_PARTITION))
+    data = stable_layout(data, cfg.key, n_parts)
     return Pipeline(stages=stages).fit(data)
 
 

@@ -27,6 +27,26 @@ def _positions(df: DataFrame, key: str, seed: int) -> DataFrame:
     return _ranked(df, [], seeded_order(seed, key), "_pos")
 
 
+def shuffled_partners(
+    sample: DataFrame, draws: Sequence[Mapping[str, object]], features: Sequence[str], key: str, seed: int = 42
+) -> DataFrame:
+    """Every row once per draw, with the features of its partner row in the
+    struct ``_donor``. A draw is a mapping of column name to value; its values
+    seed a shuffle of its own. Rows are joined to partners on the position
+    alone, of which each occurs once per draw. ``sample`` should be a stored
+    table: it is read several times."""
+    pos = _positions(sample, key, seed)
+    names = list(draws[0])
+    choice = F.array(*[F.struct(*[F.lit(d[n]).alias(n) for n in names]) for d in draws])
+    drawn = pos.drop("_pos").withColumn("_draw", F.explode(choice)).select("*", "_draw.*").drop("_draw")
+    order = seeded_order(seed, *[F.col(n) for n in names], F.col(key))
+    target = _ranked(drawn, names, order, "_to")
+    donors = pos.select(
+        F.col("_pos").alias("_to"), F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_donor")
+    )
+    return target.join(donors, "_to").drop("_to")
+
+
 def permuted_long(
     sample: DataFrame, features: Sequence[str], key: str, repeats: int = 5, seed: int = 42
 ) -> DataFrame:

@@ -1050,61 +1050,54 @@ def q_threshold_model_comparison(spark, sf_dir):
 from flowlens.operators import attribution as AT  # noqa: E402
 from flowlens.operators import importance as IM  # noqa: E402
 from flowlens.operators import model as ML  # noqa: E402
+from flowlens.session import stored  # noqa: E402
 
 # Small forests for the registered checks (the library default is 50 × 15).
 _TREES, _DEPTH = 10, 5
-_MODELS: dict[tuple, object] = {}
 
 
 def _flow_split(spark, sf_dir):
+    """The stratified split, written once per query; train, test and every
+    later reader scan the stored table."""
     flow = V.v_flow(spark, sf_dir)
-    return S.stratified_split(flow, S.choose_stratum(flow))
+    split = stored(S.stratified_split(flow, S.choose_stratum(flow)), "flow-split")
+    return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
 
 
-def _flow_model(spark, sf_dir, features=V.FLOW_FEATURES, seed=42, balanced=True):
-    k = (sf_dir, tuple(features), seed, balanced)
-    if k not in _MODELS:
-        train = _flow_split(spark, sf_dir).where(F.col("split") == "train")
-        cfg = ML.ForestConfig(tuple(features), num_trees=_TREES, max_depth=_DEPTH, seed=seed, balanced=balanced)
-        _MODELS[k] = ML.fit_forest(train, cfg)
-    return _MODELS[k]
-
-
-def _flow_test(spark, sf_dir):
-    return _flow_split(spark, sf_dir).where(F.col("split") == "test")
+def _fit(train, features=V.FLOW_FEATURES, seed=42, balanced=True):
+    cfg = ML.ForestConfig(tuple(features), num_trees=_TREES, max_depth=_DEPTH, seed=seed, balanced=balanced)
+    return ML.fit_forest(train, cfg)
 
 
 @register("forest_score")
 def q_forest_score(spark, sf_dir):
-    scored = ML.score(_flow_model(spark, sf_dir), _flow_test(spark, sf_dir))
+    train, test = _flow_split(spark, sf_dir)
+    scored = ML.score(_fit(train), test)
     return scored.select("row_id", "dataset", "attack_family", "y_true", "y_pred", "attack_probability")
 
 
 @register("forest_importance")
 def q_forest_importance(spark, sf_dir):
-    return ML.gini_importance(spark, _flow_model(spark, sf_dir), V.FLOW_FEATURES)
+    train, _ = _flow_split(spark, sf_dir)
+    return ML.gini_importance(spark, _fit(train), V.FLOW_FEATURES)
 
 
 @register("external_eval")
 def q_external_eval(spark, sf_dir):
     """Trained on the internal half's training split; evaluated on the
     internal test split and on the whole external half, without refit."""
-    flow = _flow_split(spark, sf_dir)
-    k = (sf_dir, "internal-only")
-    if k not in _MODELS:
-        train = flow.where((F.col("split") == "train") & (F.col("dataset") == "internal"))
-        _MODELS[k] = ML.fit_forest(train, ML.ForestConfig(V.FLOW_FEATURES, num_trees=_TREES, max_depth=_DEPTH))
-    evalset = flow.where(((F.col("split") == "test") & (F.col("dataset") == "internal")) | (F.col("dataset") == "external"))
-    scored = ML.score(_MODELS[k], evalset)
-    return M.binary_metrics(scored, ["dataset"])
+    train, test = _flow_split(spark, sf_dir)
+    internal = F.col("dataset") == "internal"
+    evalset = test.union(train.where(~internal))
+    return M.binary_metrics(ML.score(_fit(train.where(internal)), evalset), ["dataset"])
 
 
 @register("multi_seed")
 def q_multi_seed(spark, sf_dir):
-    test = _flow_test(spark, sf_dir)
+    train, test = _flow_split(spark, sf_dir)
     per_seed = None
     for seed in XP.SEEDS:
-        m = M.binary_metrics(ML.score(_flow_model(spark, sf_dir, seed=seed, balanced=False), test), extended=False)
+        m = M.binary_metrics(ML.score(_fit(train, seed=seed, balanced=False), test), extended=False)
         m = m.select(F.lit("Baseline").alias("experiment_name"), F.lit(seed).alias("seed"), *m.columns)
         per_seed = m if per_seed is None else per_seed.unionByName(m)
     return XP.seed_summary(per_seed)
@@ -1115,10 +1108,10 @@ _ABLATED = ("user_id",)
 
 @register("feature_ablation")
 def q_feature_ablation(spark, sf_dir):
-    test = _flow_test(spark, sf_dir)
+    train, test = _flow_split(spark, sf_dir)
     kept = tuple(f for f in V.FLOW_FEATURES if f not in _ABLATED)
-    a = M.threshold_sweep(ML.score(_flow_model(spark, sf_dir), test)).select("dataset", "threshold", *_CMP_COLS)
-    b = M.threshold_sweep(ML.score(_flow_model(spark, sf_dir, kept), test)).select("dataset", "threshold", *_CMP_COLS)
+    a = M.threshold_sweep(ML.score(_fit(train), test)).select("dataset", "threshold", *_CMP_COLS)
+    b = M.threshold_sweep(ML.score(_fit(train, kept), test)).select("dataset", "threshold", *_CMP_COLS)
     return ST.compare_on(a, b, ["dataset", "threshold"])
 
 
@@ -1127,41 +1120,34 @@ _FLOW_GROUPS = {"time": ("hour",), "volume": ("value", "k"), "identity": ("user_
 
 @register("group_ablation")
 def q_group_ablation(spark, sf_dir):
-    test = _flow_test(spark, sf_dir)
+    train, test = _flow_split(spark, sf_dir)
     out = None
     for g, cols in _FLOW_GROUPS.items():
         kept = tuple(f for f in V.FLOW_FEATURES if f not in cols)
-        m = M.binary_metrics(ML.score(_flow_model(spark, sf_dir, kept, balanced=False), test), extended=False)
+        m = M.binary_metrics(ML.score(_fit(train, kept, balanced=False), test), extended=False)
         m = m.select(F.lit(g).alias("removed_group"), F.lit(len(kept)).alias("n_features"), *m.columns)
         out = m if out is None else out.unionByName(m)
     return out
 
 
-def _importance_sample(spark, sf_dir, n=2000):
-    return S.bounded_sample(_flow_test(spark, sf_dir), n)
-
-
 @register("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    return IM.permutation_importance(
-        _flow_model(spark, sf_dir), _importance_sample(spark, sf_dir), V.FLOW_FEATURES, "row_id"
-    )
+    """Over the whole test split."""
+    train, test = _flow_split(spark, sf_dir)
+    return IM.permutation_importance(_fit(train), test, V.FLOW_FEATURES, "row_id")
 
 
 @register("group_permutation_importance")
 def q_group_permutation_importance(spark, sf_dir):
-    return IM.group_permutation_importance(
-        _flow_model(spark, sf_dir), _importance_sample(spark, sf_dir), _FLOW_GROUPS, V.FLOW_FEATURES, "row_id"
-    )
-
-
-_SHAP_PER_FAMILY = 100
+    """Over the whole test split."""
+    train, test = _flow_split(spark, sf_dir)
+    return IM.group_permutation_importance(_fit(train), test, _FLOW_GROUPS, V.FLOW_FEATURES, "row_id")
 
 
 def _attribution(spark, sf_dir):
-    sample = S.capped_sample(_flow_test(spark, sf_dir), ["attack_family"], _SHAP_PER_FAMILY)
-    model = _flow_model(spark, sf_dir)
-    return AT.attribution_long(spark, model, sample, V.FLOW_FEATURES, "row_id", keep=("dataset", "attack_family"))
+    """Attributions of every row of the test split."""
+    train, test = _flow_split(spark, sf_dir)
+    return AT.attribution_long(spark, _fit(train), test, V.FLOW_FEATURES, "row_id", keep=("dataset", "attack_family"))
 
 
 @register("tree_attribution")
@@ -1181,19 +1167,19 @@ def q_attribution_by_family(spark, sf_dir):
 
 @register("local_examples")
 def q_local_examples(spark, sf_dir):
-    model = _flow_model(spark, sf_dir)
-    test = _flow_test(spark, sf_dir)
-    scored = ML.score(model, test)
-    chosen = X.extreme_examples(scored, prefer_correct=True).select("row_id", "dataset", "example")
+    train, test = _flow_split(spark, sf_dir)
+    model = _fit(train)
+    trees = AT.pack_forest(spark, model)
+    chosen = X.extreme_examples(ML.score(model, test), prefer_correct=True).select("row_id", "dataset", "example")
     rows = test.join(chosen.select("row_id", "example"), "row_id")
-    long = AT.attribution_long(spark, model, rows, V.FLOW_FEATURES, "row_id", keep=("example",))
-    base = AT.expected_value(AT.pack_forest(spark, model))
-    return AT.local_explanations(long.drop("example"), chosen, "row_id", base)
+    long = AT.attribution_long(spark, trees, rows, V.FLOW_FEATURES, "row_id", keep=("example",))
+    return AT.local_explanations(long.drop("example"), chosen, "row_id", AT.expected_value(trees))
 
 
 @register("dependence_data")
 def q_dependence_data(spark, sf_dir):
-    return AT.dependence_data(_attribution(spark, sf_dir), 2)
+    # Read twice (the ranking of features, then their rows): computed once.
+    return AT.dependence_data(stored(_attribution(spark, sf_dir), "attribution"), 2)
 
 
 # --------------------------------------------------------------- streaming ----
@@ -1254,7 +1240,8 @@ def q_stream_label_counts(spark, sf_dir):
 
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
-    model = _flow_model(spark, sf_dir)
+    train, _ = _flow_split(spark, sf_dir)
+    model = _fit(train)
     e = _event_stream(spark, sf_dir)
     family = V.event_family(F.col("event_type"))
     from flowlens.functions.labels import binary_from_family
@@ -1268,7 +1255,9 @@ def q_stream_score(spark, sf_dir):
         binary_from_family(family).alias("Label"),
     )
     scored = SF.stream_scores(flow, model).select("row_id", "y_true", "y_pred", "attack_probability")
-    return _drain(spark, scored, "append")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    SF.drain_to_files(scored, f"{base}/rows", f"{base}/progress")
+    return spark.read.schema(scored.schema).parquet(f"{base}/rows")
 
 
 @register("subset_experiment")
@@ -1276,7 +1265,7 @@ def q_subset_experiment(spark, sf_dir):
     """ML-9 on the flows: one hour of day only, that column dropped."""
     flow = V.v_flow(spark, sf_dir)
     return XP.subset_experiment(
-        flow, F.col("hour") < 12, ["hour"], V.FLOW_FEATURES, num_trees=_TREES, max_depth=_DEPTH
+        flow, F.col("hour") == 8, ["hour"], V.FLOW_FEATURES, num_trees=_TREES, max_depth=_DEPTH
     )
 
 
