@@ -48,6 +48,7 @@ def prepare_flows(
     families: Sequence[str] = L.INCLUDED_FAMILIES,
     duplicate_columns: dict[str, list[str]] | None = None,
     absent: dict[str, list[str]] | None = None,
+    files: Sequence[str] = (),
 ) -> PreparedFlows:
     """Label filter, per-file numeric coercion and cleaning, common features.
 
@@ -55,6 +56,8 @@ def prepare_flows(
     cells all fail to parse is dropped for that file; a row is clean when
     every remaining column is finite; files left without rows do not vote
     on the common feature set, which keeps the order of ``candidates``.
+    ``files`` names all inputs: one without data rows (a header only) gets a
+    report row of zeros.
     """
     fam = L.attack_family(F.col(label))
     keep = fam.isin(*families)
@@ -101,6 +104,9 @@ def prepare_flows(
         _count_if(F.col("_keep")).alias("rows_after_label_filter"),
         _count_if(F.col("_clean")).alias("rows_after_cleaning"),
     )
+    if files:
+        listed = raw.sparkSession.createDataFrame([(f,) for f in files], "source_file string")
+        report = listed.join(report, "source_file", "full").fillna(0)
     report = report.select(
         F.col("source_file").alias("file"),
         F.lit(dataset).alias("dataset"),
@@ -234,13 +240,13 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 def dedup_report(df: DataFrame) -> DataFrame:
     """rows before/after de-duplication, removed and removed percent.
 
-    One aggregate over distinct rows (a shuffle on the full row) and one
-    count of the input; the percent is a guarded ratio × 100.
+    One scan and one shuffle: copies are counted per distinct row, then summed;
+    the percent is a guarded ratio × 100.
     """
-    before = df.agg(F.count(F.lit(1)).alias("rows_before"))
-    after = df.dropDuplicates().agg(F.count(F.lit(1)).alias("rows_after"))
-    # Two one-row tables joined on a constant key (broadcast: one row).
-    both = before.withColumn("_k", F.lit(1)).join(F.broadcast(after.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    both = copies.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("rows_before"), F.count(F.lit(1)).alias("rows_after")
+    )
     removed = F.col("rows_before") - F.col("rows_after")
     return both.select(
         "rows_before",

@@ -59,14 +59,16 @@ def value_share(df: DataFrame, key: str) -> DataFrame:
 
 def top_values_per_class(df: DataFrame, class_col: str, value_col: str, k: int = 20) -> DataFrame:
     """Top-k values inside each class by count (ties: smaller value first),
-    with the share of the class each value holds."""
+    with the share of the class each value holds.
+
+    The rank limit runs before the exchange (at most ``k`` values of a class
+    leave a task); class totals are an aggregate of their own."""
     counts = df.groupBy(class_col, value_col).agg(F.count(F.lit(1)).alias("count"))
-    w_all = Window.partitionBy(class_col)
     w_rank = Window.partitionBy(class_col).orderBy(F.desc("count"), F.asc(value_col))
-    return (
-        counts.withColumn("share", F.col("count") / F.sum("count").over(w_all))
-        .withColumn("rank", F.row_number().over(w_rank))
-        .where(F.col("rank") <= k)
+    top = counts.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= k)
+    totals = df.groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_total"))
+    return top.join(totals, F.col(class_col).eqNullSafe(F.col("_class"))).select(
+        class_col, value_col, "count", (F.col("count") / F.col("_total")).alias("share"), "rank"
     )
 
 

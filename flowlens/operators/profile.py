@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import stored
+
 
 def scaler_params(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean, population std/variance and the scale (std, or 1 when std = 0)
@@ -48,15 +50,16 @@ def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataF
     return df.select(*cols)
 
 
-def single_feature_auc(
-    df: DataFrame, features: Sequence[str], label: str = "Label", buckets: int = 4096
-) -> DataFrame:
-    """Rank-sum AUC of each feature alone, folded to ``max(auc, 1 - auc)``.
+def single_feature_auc(df: DataFrame, features: Sequence[str], label: str = "Label") -> DataFrame:
+    """Rank-sum AUC of each feature alone, folded to ``max(auc, 1 - auc)``,
+    largest first.
 
     Ties take half credit (average ranks). Integer form:
-    2·AUC·P·N = Σ_v pos_v · (2 · neg_below_v + neg_v). The running negatives
-    come from (feature, value-range bucket) windows plus bucket offsets, so no
-    task holds all distinct values of a feature. NULL when a class is absent.
+    2·AUC·P·N = Σ_v pos_v · (2 · neg_below_v + neg_v). The distinct values are
+    range-partitioned by (feature, value) from sampled quantiles and stored
+    once; running negatives are taken inside (feature, range) and shifted by
+    the totals of earlier ranges, so a heavy-tailed feature has no hot range.
+    NULL when a class is absent.
     """
     long = df.select(
         F.col(label).cast("int").alias("_y"),
@@ -68,49 +71,53 @@ def single_feature_auc(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
         F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("bigint").alias("neg"),
     )
-    rng = per_value.groupBy("feature").agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-    )
-    width = F.col("_hi") - F.col("_lo")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1), F.floor((F.col("value") - F.col("_lo")) / width * F.lit(buckets)))
-    ).cast("int")
-    tagged = per_value.join(rng.select("feature", "_lo", "_hi"), "feature").withColumn("_b", b)
-    hist = tagged.groupBy("feature", "_b").agg(F.sum("neg").alias("_nb"))
+    ranges = per_value.repartitionByRange("feature", "value").withColumn("_b", F.spark_partition_id())
+    ranges = stored(ranges, "auc-values")
+    hist = ranges.groupBy("feature", "_b").agg(F.sum("neg").alias("_nb"), F.sum("pos").alias("_pb"))
     wb = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.withColumn("_off", F.coalesce(F.sum("_nb").over(wb), F.lit(0))).select("feature", "_b", "_off")
     wv = Window.partitionBy("feature", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tagged.withColumn("_below_in", F.coalesce(F.sum("neg").over(wv), F.lit(0))).join(offs, ["feature", "_b"])
-    s = ranked.groupBy("feature").agg(
+    ranked = ranges.withColumn("_below_in", F.coalesce(F.sum("neg").over(wv), F.lit(0))).join(offs, ["feature", "_b"])
+    res = ranked.groupBy("feature").agg(
         # DECIMAL(38,0): pos · neg-counts overflows LONG on very large tables.
         F.sum(
             F.col("pos").cast("decimal(38,0)")
             * (F.lit(2) * (F.col("_off") + F.col("_below_in")) + F.col("neg")).cast("decimal(38,0)")
-        ).alias("S")
+        ).alias("S"),
+        F.sum("pos").alias("P"),
+        F.sum("neg").alias("N"),
     )
-    res = s.join(rng.select("feature", "P", "N"), "feature")
     auc = F.col("S").cast("double") / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double"))
     folded = F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(None).cast("double")).otherwise(
         F.greatest(auc, F.lit(1.0) - auc)
     )
-    return res.select("feature", folded.alias("single_feature_auc"))
+    return res.select("feature", folded.alias("single_feature_auc")).orderBy(F.desc("single_feature_auc"), "feature")
 
 
 def train_test_overlap(
     train: DataFrame, test: DataFrame, features: Sequence[str], label: str = "Label"
 ) -> DataFrame:
-    """Distinct rows present in both sets, on full rows and on features only
-    (exact INTERSECT instead of hashing: no false matches)."""
-    full = list(features) + [label]
-    o_full = train.select(*full).intersect(test.select(*full)).agg(F.count(F.lit(1)).alias("full_row_overlap"))
-    o_feat = train.select(*features).intersect(test.select(*features)).agg(F.count(F.lit(1)).alias("feature_overlap"))
-    n_train = train.agg(F.count(F.lit(1)).alias("train_rows"))
-    n_test = test.agg(F.count(F.lit(1)).alias("test_rows"))
-    out = o_full.withColumn("_k", F.lit(1))
-    for other in (o_feat, n_train, n_test):
-        out = out.join(F.broadcast(other.withColumn("_k", F.lit(1))), "_k")
-    return out.drop("_k").select("train_rows", "test_rows", "full_row_overlap", "feature_overlap")
+    """Distinct rows present in both sets, on full rows and on features only.
+
+    Each side is read once: rows are grouped by (features, label) with their
+    counts on either side, then rolled up to the features. Exact, no hashing;
+    NULLs are equal as in INTERSECT."""
+    full = [*features, label]
+    sides = train.select(*full, F.lit(1).alias("_tr"), F.lit(0).alias("_te")).union(
+        test.select(*full, F.lit(0).alias("_tr"), F.lit(1).alias("_te"))
+    )
+    in_both = F.when((F.sum("_tr") > 0) & (F.sum("_te") > 0), 1).otherwise(0)
+    rows = sides.groupBy(*full).agg(F.sum("_tr").alias("_tr"), F.sum("_te").alias("_te"), in_both.alias("_full"))
+    feats = rows.groupBy(*features).agg(
+        F.sum("_tr").alias("_tr"), F.sum("_te").alias("_te"), F.sum("_full").alias("_full"), in_both.alias("_feat")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return feats.agg(
+        total("_tr").alias("train_rows"),
+        total("_te").alias("test_rows"),
+        total("_full").alias("full_row_overlap"),
+        total("_feat").alias("feature_overlap"),
+    )
 
 
 def overlapping_rows(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -443,10 +443,12 @@ _RAW_TEXT_CTE = {"rt": "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for
     "cleaning_stats",
     O.with_views(
         f"""SELECT rows_before, rows_after, rows_before - rows_after AS removed_rows, missing_before, infinite_before,
-       CAST(0 AS BIGINT) AS missing_after, CAST(0 AS BIGINT) AS infinite_after
+       missing_after, infinite_after
 FROM (SELECT CAST(count(*) AS BIGINT) AS rows_before, {O.count_if(_sql_row_ok())} AS rows_after,
              CAST(sum({' + '.join(f'CASE WHEN {_sql_missing(c)} THEN 1 ELSE 0 END' for c in _ALL_RAW)}) AS BIGINT) AS missing_before,
-             CAST(sum({' + '.join(f'CASE WHEN isinf({O.num(c)}) THEN 1 ELSE 0 END' for c in _RAW_NUMERIC)}) AS BIGINT) AS infinite_before
+             CAST(sum({' + '.join(f'CASE WHEN isinf({O.num(c)}) THEN 1 ELSE 0 END' for c in _RAW_NUMERIC)}) AS BIGINT) AS infinite_before,
+             CAST(sum({' + '.join(f'CASE WHEN ({_sql_row_ok()}) AND {_sql_missing(c)} THEN 1 ELSE 0 END' for c in _ALL_RAW)}) AS BIGINT) AS missing_after,
+             CAST(sum({' + '.join(f'CASE WHEN ({_sql_row_ok()}) AND isinf({O.num(c)}) THEN 1 ELSE 0 END' for c in _RAW_NUMERIC)}) AS BIGINT) AS infinite_after
       FROM rt) a""",
         "v_raw",
         ctes=_RAW_TEXT_CTE,

@@ -119,22 +119,26 @@ def thresholds_values(thresholds=DEFAULT_THRESHOLDS) -> str:
 
 # ------------------------------------------------------------- cleaning ----
 
-from flowlens.functions.numeric import INFINITY_PATTERN, NA_TOKENS, NUMBER_PATTERN  # noqa: E402
+# Fixed values, stated here on their own so that the SQL does not share the
+# library's lists: texts that mean a missing cell.
+_MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def missing_text(c: str) -> str:
-    toks = ", ".join(_q(t) for t in NA_TOKENS)
-    return f"({c} IS NULL OR {c} IN ({toks}))"
+    return f"coalesce({c} IN ({', '.join(_q(t) for t in _MISSING)}), TRUE)"
 
 
 def num(c: str) -> str:
     """Text → DOUBLE as ``coerce_number``: NULL for missing / non-numbers."""
+    t = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
     return (
         f"(CASE WHEN {missing_text(c)} THEN NULL "
-        f"WHEN regexp_matches({c}, {_q(NUMBER_PATTERN)}) THEN TRY_CAST(trim({c}) AS DOUBLE) "
-        f"WHEN regexp_matches({c}, {_q(INFINITY_PATTERN)}) THEN "
-        f"CASE WHEN starts_with(trim({c}), '-') THEN CAST('-Infinity' AS DOUBLE) ELSE CAST('Infinity' AS DOUBLE) END "
-        f"ELSE NULL END)"
+        f"WHEN lower({t}) IN ('inf', '+inf', 'infinity', '+infinity') THEN CAST('Infinity' AS DOUBLE) "
+        f"WHEN lower({t}) IN ('-inf', '-infinity') THEN CAST('-Infinity' AS DOUBLE) "
+        f"WHEN regexp_full_match({t}, '[-+]?([0-9]+[.]?|[0-9]*[.][0-9]+)([eE][-+]?[0-9]+)?') THEN TRY_CAST({t} AS DOUBLE) END)"
     )
 
 

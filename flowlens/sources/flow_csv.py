@@ -46,10 +46,11 @@ def list_csv(spark: SparkSession, directory: str, fragment: str | None = None) -
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).first()
+    """Cells of the first line, quotes and latin1 letters as the reader sees them."""
+    first = spark.read.option("encoding", ENCODING).csv(path).first()
     if first is None:
         raise ValueError(f"Empty file: {path}")
-    return first[0].split(",")
+    return [cell or "" for cell in first]
 
 
 def with_row_positions(df: DataFrame, file_col: str = "source_file", out: str = "source_row") -> DataFrame:
