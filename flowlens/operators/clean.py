@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import labels as L
 from flowlens.functions.numeric import coerce_number, is_finite, is_infinite, is_missing_text
+from flowlens.session import stored
 
 METADATA_COLUMNS = ("dataset", "source_file", "source_row", "original_label", "attack_family")
 
@@ -59,21 +60,19 @@ def prepare_flows(
     ``files`` names all inputs: one without data rows (a header only) gets a
     report row of zeros.
     """
-    fam = L.attack_family(F.col(label))
-    keep = fam.isin(*families)
-    flagged = raw.select(
+    parsed = raw.select(
         F.col(file_col).alias("source_file"),
         F.col(row_col).alias("source_row"),
         L.label_text(F.col(label)).alias("original_label"),
-        fam.alias("attack_family"),
-        keep.alias("_keep"),
-        *[F.col(c) for c in candidates],
-        # Parse every cell once; stats, row filter and output reuse it.
+        L.normalize_label(F.col(label)).alias("_label"),
+        *[(~is_missing_text(F.col(c))).alias(f"_given{i}") for i, c in enumerate(candidates)],
         *[coerce_number(F.col(c)).alias(f"_num{i}") for i, c in enumerate(candidates)],
-    )
+    ).withColumn("attack_family", L.family_of(F.col("_label"))).drop("_label")
+    # Text is parsed once: statistics, row filter and output read this table.
+    flagged = stored(parsed.withColumn("_keep", F.col("attack_family").isin(*families)), "parsed-flows")
     # Pass 1 (metadata): which columns are non-numeric in which file.
     col_stats = flagged.groupBy("source_file").agg(
-        *[_count_if(F.col("_keep") & ~is_missing_text(F.col(c))).alias(f"nn_{i}") for i, c in enumerate(candidates)],
+        *[_count_if(F.col("_keep") & F.col(f"_given{i}")).alias(f"nn_{i}") for i in range(len(candidates))],
         *[_count_if(F.col("_keep") & F.col(f"_num{i}").isNotNull()).alias(f"num_{i}") for i, c in enumerate(candidates)],
     )
     # Columns a file does not have at all count as dropped for that file.
