@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.session import ensure_checkpoint_dir
@@ -135,6 +135,22 @@ def tree_shap(x: np.ndarray, paths: Sequence[Leaf], phi: np.ndarray) -> None:
         phi[:, leaf.features] += leaf.value * weight * (one - leaf.zero)
 
 
+def probability_of(trees: Sequence[PackedTree], features: Sequence[str]) -> Column:
+    """The forest's class-1 probability as one Column: nested comparisons per
+    tree, averaged (a value that is not <= the threshold goes right)."""
+
+    def share(tree: PackedTree, node: int) -> Column:
+        if tree.left[node] < 0:
+            return F.lit(float(tree.value[node]))
+        goes_left = F.col(features[int(tree.feature[node])]) <= F.lit(float(tree.threshold[node]))
+        return F.when(goes_left, share(tree, int(tree.left[node]))).otherwise(share(tree, int(tree.right[node])))
+
+    first, *rest = [share(t, 0) for t in trees]
+    for other in rest:
+        first = first + other
+    return first / F.lit(float(len(trees)))
+
+
 def expected_value(trees: Sequence[PackedTree]) -> float:
     """ML-17: mean over trees of the root's class-1 share."""
     return float(np.mean([t.value[0] for t in trees]))
@@ -215,8 +231,12 @@ def local_explanations(long: DataFrame, examples: DataFrame, key: str, base_valu
     )
 
 
-def dependence_data(long: DataFrame, top_features: int = 2) -> DataFrame:
+def dependence_data(long: DataFrame, top_features: int = 2, always: Sequence[str] = ()) -> DataFrame:
     """ML-20: (feature, x, attribution) for the features with the largest
-    mean |attribution| (a top-k over the per-feature aggregate)."""
+    mean |attribution| (a top-k over the per-feature aggregate) and those
+    named in ``always`` (the study's "best feature and the port")."""
     top = mean_abs_by_feature(long).limit(top_features).select("feature")
+    if always:
+        named = long.sparkSession.createDataFrame([(f,) for f in always], "feature string")
+        top = top.union(named).distinct()
     return long.join(F.broadcast(top), "feature").select("feature", F.col("feature_value").alias("x"), "shap_value")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEEDS = (42, 100, 2023, 777, 1337)
@@ -61,3 +61,50 @@ def subset_experiment(
         F.count(F.lit(1)).alias("total_subset_rows"),
     )
     return m.withColumn("_k", F.lit(1)).join(F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k").drop("_k")
+
+
+def attack_study(
+    df: DataFrame,
+    attack_class: Column,
+    target: str,
+    features: Sequence[str],
+    key: str = "row_id",
+    num_trees: int = 50,
+    max_depth: int = 15,
+    seed: int = 42,
+) -> DataFrame:
+    """ML-4 / FLT-8: keep one attack class and the benign rows of a label map,
+    refuse a single class, split, train and evaluate; metrics with set sizes."""
+    from flowlens.functions.labels import legacy_binary
+    from flowlens.operators import metrics as M
+    from flowlens.operators import model as ML
+    from flowlens.operators import sampling as S
+    from flowlens.operators.distributions import require_two_classes
+    from flowlens.session import stored
+
+    kept = df.withColumn("attack_class", attack_class).where(F.col("attack_class").isin(target, "Benign"))
+    kept = kept.withColumn("Label", legacy_binary(F.col("attack_class")))
+    require_two_classes(kept, "Label")
+    split = stored(S.stratified_split(kept, "Label", key=key), "study-split")
+    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    cfg = ML.ForestConfig(tuple(features), key=key, num_trees=num_trees, max_depth=max_depth, seed=seed)
+    m = M.binary_metrics(ML.score(ML.fit_forest(train, cfg), test), extended=False)
+    return m.select(F.lit(target).alias("study"), F.lit(train.count()).cast("bigint").alias("train_rows"), *m.columns)
+
+
+def feature_experiments(
+    train: DataFrame, test: DataFrame, experiments: dict[str, Sequence[str]], seeds: Sequence[int] = SEEDS, **forest
+) -> DataFrame:
+    """ML-6: one forest per named feature list and seed, summarised per name.
+    ``train`` and ``test`` should be stored tables."""
+    from flowlens.operators import metrics as M
+    from flowlens.operators import model as ML
+
+    out = None
+    for name, features in experiments.items():
+        for seed in seeds:
+            cfg = ML.ForestConfig(tuple(features), seed=seed, balanced=False, **forest)
+            m = M.binary_metrics(ML.score(ML.fit_forest(train, cfg), test), extended=False)
+            m = m.select(F.lit(name).alias("experiment_name"), F.lit(len(features)).alias("n_features"), F.lit(seed).alias("seed"), *m.columns)
+            out = m if out is None else out.unionByName(m)
+    return seed_summary(out, ("experiment_name", "n_features"))

@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.distributions import with_class_weight
@@ -70,9 +70,15 @@ def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
     return Pipeline(stages=stages).fit(data)
 
 
-def score(model: PipelineModel, df: DataFrame, label: str = "Label") -> DataFrame:
+def score(model: PipelineModel | Column, df: DataFrame, label: str = "Label") -> DataFrame:
     """ML-10: predicted class and class-1 probability on every row (the model
-    is broadcast by Spark ML; rows stay where they are)."""
+    is broadcast by Spark ML; rows stay where they are). ``model`` may also be
+    a probability expression (``attribution.probability_of``)."""
+    if isinstance(model, Column):
+        scored = df.withColumn("attack_probability", model)
+        return scored.withColumn("y_pred", (F.col("attack_probability") > 0.5).cast("int")).withColumn(
+            "y_true", F.col(label).cast("int")
+        )
     out = model.transform(df)
     return out.withColumn("y_pred", F.col("prediction").cast("int")).withColumn(
         "attack_probability", vector_to_array(F.col("probability"))[1]

@@ -72,6 +72,16 @@ def load_feature_list(spark: SparkSession, path: str) -> list[str]:
     return [r["feature"] for r in spark.read.parquet(path).orderBy("position").collect()]
 
 
+def save_scaler(spark: SparkSession, params: dict[str, tuple[float, float]], path: str) -> None:
+    """SRC-16: scaler parameters as a small table (feature, mean, scale)."""
+    rows = [(f, mean, scale) for f, (mean, scale) in params.items()]
+    spark.createDataFrame(rows, "feature string, mean double, scale double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark: SparkSession, path: str) -> dict[str, tuple[float, float]]:
+    return {r["feature"]: (r["mean"], r["scale"]) for r in spark.read.parquet(path).collect()}
+
+
 def drop_non_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """PRJ-10: drop columns whose non-missing cells are not all numbers."""
     from flowlens.operators.clean import numeric_columns

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowlens.functions.numeric import DEFAULT_THRESHOLDS, parse_thresholds
+from flowlens.functions import labels as L
+from flowlens.functions.numeric import DEFAULT_THRESHOLDS, coerce_number, is_finite, parse_thresholds
 from flowlens.operators.model import score
+from flowlens.operators.profile import apply_scaler
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, max_files: int = 1) -> DataFrame:
@@ -31,6 +33,25 @@ def stream_scores(stream: DataFrame, model: PipelineModel, label: str = "Label")
     return score(model, stream, label)
 
 
+def stream_prepared_scores(
+    stream: DataFrame,
+    model: PipelineModel,
+    features: Sequence[str],
+    params: dict[str, tuple[float, float]],
+    label: str = "label",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """STR-1 on raw text rows: family filter, coercion, finite rows only, the
+    training scaler, scores. Row by row, so it is the same in batch."""
+    family = stream.withColumn("_family", L.normalize_label(F.col(label))).withColumn("attack_family", L.family_of(F.col("_family")))
+    known = family.where(F.col("attack_family").isin(*L.INCLUDED_FAMILIES))
+    numbers = known.select(*keep, "attack_family", *[coerce_number(F.col(c)).alias(c) for c in features])
+    for c in features:
+        numbers = numbers.where(is_finite(F.col(c)))
+    numbers = numbers.withColumn("Label", L.binary_from_family(F.col("attack_family")))
+    return score(model, apply_scaler(numbers, params))
+
+
 def running_threshold_counts(
     scored: DataFrame,
     thresholds: Sequence[float] = DEFAULT_THRESHOLDS,
