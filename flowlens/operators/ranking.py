@@ -11,9 +11,9 @@ holds a third of the data. The operators here never do that:
   2^``bucket_bits`` of the group, is ranked; the result is one cutoff per
   group. The final pass compares each row with its group's cutoff.
 * ``dense_rank_in_group`` — 0-based position of each row inside its group by
-  a non-negative LONG key (row numbers within a file, global row ids). Rows
-  are ranked inside (group, key-range bucket) windows and shifted by bucket
-  offsets from a prefix sum over the small histogram.
+  a unique key (row numbers within a file, global row ids). Rows are
+  range-partitioned by (group, key) from sampled boundaries, sorted and stored
+  with their place; (group, partition) counts give each run's offset.
 
 Tables with one row per group are read to the driver up to
 ``MAX_GROUPS_BROADCAST`` rows and then broadcast, so the data rows stay where
@@ -30,8 +30,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import stored
+
 ORDER_BITS = 60
-DEFAULT_ROWS_PER_BUCKET = 50_000
 DEFAULT_BUCKET_BITS = 14
 MAX_GROUPS_BROADCAST = 100_000
 
@@ -152,29 +153,24 @@ def dense_rank_in_group(
     group_cols: Sequence[str],
     key: str,
     out: str = "rank",
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """0-based position of each row in its group by a unique LONG ``key``."""
+    """0-based position of each row in its group by a unique ``key``.
+
+    Rows are range-partitioned by (group, key) — Spark samples the boundaries,
+    so neither a hot group nor an outlying key fills one task — sorted, numbered
+    inside their partition and stored once. The (group, partition) counts give
+    the offsets. ``rows_per_bucket`` sets the partition size instead of Spark's
+    own choice (it counts the rows first)."""
     g = list(group_cols)
-    stats = df.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi")
-    )
-    span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
-    shift = F.greatest(
-        F.lit(0), F.floor(F.log2(span * F.lit(float(rows_per_bucket)) / F.col("_n")))
-    ).cast("int")
-    stats, few = _small(stats.withColumn("_shift", F.least(F.lit(62), shift)).select(*g, "_lo", "_shift"))
-    tagged = _null_safe_join(df, stats, g, small=few).withColumn(
-        "_bucket", F.call_function("shiftright", F.col(key) - F.col("_lo"), F.col("_shift"))
-    )
-    hist = tagged.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    w = _window(g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = hist.withColumn("_off", F.sum("_c").over(w) - F.col("_c")).select(*g, "_bucket", "_off")
-    # Each window partition is one (group, bucket): bounded by rows_per_bucket
-    # for evenly spread keys, whatever the size of the group.
-    wr = Window.partitionBy(*g, "_bucket").orderBy(key)
-    ranked = tagged.withColumn("_rn", F.row_number().over(wr))
-    joined = _null_safe_join(ranked, offsets, [*g, "_bucket"])
-    return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint")).drop(
-        "_lo", "_shift", "_bucket", "_off", "_rn"
-    )
+    spread = [max(1, -(-df.count() // rows_per_bucket))] if rows_per_bucket else []
+    ordered = df.repartitionByRange(*spread, *g, key).sortWithinPartitions(*g, key)
+    rows = stored(ordered.withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    # The id counts up inside a partition, whose number is in its upper bits.
+    rows = rows.withColumn("_part", F.shiftright("_place", 33))
+    runs = rows.groupBy(*g, "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_place").alias("_first"))
+    earlier = _window(g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_c").over(earlier), F.lit(0)) - F.col("_first")
+    offsets, few = _small(runs.withColumn("_shift", shift).select(*g, "_part", "_shift"))
+    placed = _null_safe_join(rows, offsets, [*g, "_part"], small=few)
+    return placed.withColumn(out, (F.col("_place") + F.col("_shift")).cast("bigint")).drop("_place", "_part", "_shift")

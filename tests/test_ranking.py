@@ -62,3 +62,26 @@ def test_marking_plans_one_scan_and_no_exchange_by_group(spark):
     plan = mark_top_k(df, ["event_type"], 9, "_o", "sel")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
     assert "hashpartitioning" not in plan
+
+
+def test_dense_rank_with_an_outlying_key_and_a_null_group(spark):
+    df = _data(spark, 4).withColumn("k", F.when(F.col("row_id") == 5, F.lit(1 << 60)).otherwise(F.col("row_id")))
+    df = df.withColumn("g", F.when(F.col("g") == "g1", F.lit(None)).otherwise(F.col("g")))
+    ranked = dense_rank_in_group(df, ["g"], "k", "r", 100)
+    w = Window.partitionBy("g").orderBy("k")
+    exp = {(r[0], r[1] - 1) for r in df.withColumn("rn", F.row_number().over(w)).select("row_id", "rn").collect()}
+    assert {tuple(r) for r in ranked.select("row_id", "r").collect()} == exp
+    # no stored partition holds more than a small share of the rows
+    sizes = [r["n"] for r in ranked.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= 500
+    assert dense_rank_in_group(df.where("false"), ["g"], "k", "r").count() == 0
+
+
+def test_auc_of_a_heavy_tailed_feature(spark):
+    from flowlens.operators.profile import single_feature_auc
+
+    rows = [(float(i), i % 2) for i in range(200)] + [(1e18, 1), (-1e18, 0)]
+    df = spark.createDataFrame(rows, "x double, Label int")
+    pos, neg = [x for x, y in rows if y], [x for x, y in rows if not y]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert single_feature_auc(df, ["x"]).first()["single_feature_auc"] == max(auc, 1 - auc)

@@ -45,3 +45,14 @@ def test_read_and_prepare(spark):
     fam = {r["attack_family"]: r["count"] for r in prep.data.groupBy("attack_family").count().collect()}
     assert fam == {"Benign": 18, "WebAttack": 20, "DDoS": 13}  # rows 3 and 5 are benign
     assert prep.data.where(F.col("source_file") == "a_Monday.csv").agg(F.max("source_row")).first()[0] == 39
+
+
+def test_quoted_header_and_file_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('"Dst, Port",Flow Duration,Label\n1,2,BENIGN\n3,4,DDoS\n'.encode("latin1"))
+    (tmp_path / "b.csv").write_bytes("Dst Port,Flow Duration,Label\n".encode("latin1"))
+    caps = read_directory(spark, str(tmp_path))
+    assert [c.columns for c in caps] == [["dst_port", "flow_duration", "label"]] * 2
+    raw, candidates, absent = union_captures(caps)
+    prep = prepare_flows(raw, "demo", candidates, absent=absent, files=[c.name for c in caps])
+    rep = {r["file"]: (r["rows_before"], r["rows_after_cleaning"]) for r in prep.report.collect()}
+    assert rep == {"a.csv": (2, 2), "b.csv": (0, 0)}
