@@ -17,9 +17,10 @@ regression on a fold of labelled rows the counts did not use turns both into
 the score.
 
 Scale: one pass counts 5-grams (compacted per task, then ``groupBy``: the
-gathered table covers every document), one pass scores. The alphabet bounds the
-model: 32**5 codes at most, whatever the corpus; it is broadcast as a
-compressed float16 table of that size (64 MiB in a worker). The small label
+gathered table covers every document and is stored), one task per first symbol
+smooths its block of codes, one pass scores. The alphabet bounds the model:
+32**5 codes at most, whatever the corpus; it is broadcast as a compressed
+float16 table of that size (64 MiB in a worker). The small label
 table is broadcast only below ``BROADCAST_ROWS`` rows; beyond, it is joined.
 
 Defined cases: null and empty texts have both ratios 0 and get the score the
@@ -35,6 +36,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -129,8 +131,13 @@ def count_ngrams(docs: DataFrame, text: str, label: str) -> DataFrame:
 def shared_backoff(codes: np.ndarray) -> np.ndarray:
     """p(w | 3 symbols) for all 32**4 4-grams, from continuation counts of the
     distinct 5-grams of the whole corpus."""
-    seen, levels = codes, []
-    for order in (4, 3, 2, 1):
+    return backoff_of(np.bincount(codes & (LETTERS**4 - 1), minlength=LETTERS**4))
+
+
+def backoff_of(types: np.ndarray) -> np.ndarray:
+    """The same from the number of distinct 5-grams that end in each 4-gram."""
+    seen, levels = np.flatnonzero(types), [types]
+    for order in (3, 2, 1):
         n = np.bincount(seen & (LETTERS**order - 1), minlength=LETTERS**order)
         levels.append(n)
         seen = np.flatnonzero(n)
@@ -142,7 +149,10 @@ def shared_backoff(codes: np.ndarray) -> np.ndarray:
 
 def discount(n: np.ndarray) -> float:
     """Absolute discount n1 / (n1 + 2 n2), kept inside (0, 1)."""
-    one, two = int((n == 1).sum()), int((n == 2).sum())
+    return discount_of(int((n == 1).sum()), int((n == 2).sum()))
+
+
+def discount_of(one: int, two: int) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
 
@@ -159,22 +169,59 @@ def _interpolate(n: np.ndarray, lower: np.ndarray, d: float | None = None) -> np
     return np.where(total > 0, p, low).ravel()
 
 
+WIDTH = CODES // LETTERS  # codes of one first symbol, a block
+
+
+def block_ratios(at: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, lower: np.ndarray, discounts: tuple[float, float]) -> np.ndarray:
+    """log p_toxic - log p_ordinary (float16) for the codes of one first symbol;
+    ``at`` are the places of the counted codes in the block."""
+    logs = []
+    for n, disc in zip((toxic, ordinary), discounts):
+        dense = np.zeros(WIDTH, dtype=np.int64)
+        dense[at] = n
+        logs.append(np.log(_interpolate(dense, lower, disc)))
+    return (logs[0] - logs[1]).astype(np.float16)
+
+
 def ratio_table(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """log p_toxic - log p_ordinary for every 5-gram code (float16)."""
     lower = shared_backoff(codes)
-    d = [discount(toxic), discount(ordinary)]
-    out = np.empty(CODES, dtype=np.float16)
-    width = CODES // LETTERS
-    edges = np.searchsorted(codes, np.arange(LETTERS + 1) * width)
-    for block in range(LETTERS):  # histories of one first symbol at a time
-        lo, hi = edges[block], edges[block + 1]
-        at, logs = codes[lo:hi] - block * width, []
-        for n, disc in zip((toxic, ordinary), d):
-            dense = np.zeros(width, dtype=np.int64)
-            dense[at] = n[lo:hi]
-            logs.append(np.log(_interpolate(dense, lower, disc)))
-        out[block * width : (block + 1) * width] = logs[0] - logs[1]
-    return out
+    d = discount(toxic), discount(ordinary)
+    edges = np.searchsorted(codes, np.arange(LETTERS + 1) * WIDTH)
+    parts = []
+    for block, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+        parts.append(block_ratios(codes[lo:hi] - block * WIDTH, toxic[lo:hi], ordinary[lo:hi], lower, d))
+    return np.concatenate(parts)
+
+
+def gathered_ratios(counts: DataFrame) -> np.ndarray | None:
+    """``ratio_table`` of a stored count table, None without counts of both
+    classes. Every block of codes is smoothed in a task of its own (at most
+    32**4 rows); the driver receives the 4-gram continuation counts (at most
+    32**4 rows) and the finished float16 blocks (64 MiB)."""
+    times = lambda c, n: F.sum(F.when(F.col(c) == n, 1).otherwise(0))
+    s = counts.agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
+        *[times(c, n).alias(f"{c}{n}") for c in ("toxic", "ordinary") for n in (1, 2)],
+    ).first()
+    if not s["toxic"] or not s["ordinary"]:
+        return None
+    ends = counts.groupBy((F.col("code") % LETTERS**4).alias("end")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    types = np.zeros(LETTERS**4, dtype=np.int64)
+    types[ends["end"].to_numpy()] = ends["n"].to_numpy()
+    shared = counts.sparkSession.sparkContext.broadcast(backoff_of(types))
+    discounts = tuple(discount_of(s[f"{c}1"], s[f"{c}2"]) for c in ("toxic", "ordinary"))
+
+    def smooth(f: pd.DataFrame) -> pd.DataFrame:
+        code = f["code"].to_numpy()
+        ratios = block_ratios(code % WIDTH, f["toxic"].to_numpy(), f["ordinary"].to_numpy(), shared.value, discounts)
+        return pd.DataFrame({"block": [int(code[0]) // WIDTH], "ratios": [ratios.tobytes()]})
+
+    table = np.zeros(CODES, dtype=np.float16)  # a block never seen: both classes back off alike
+    block = F.floor(F.col("code") / WIDTH).alias("block")
+    for row in counts.groupBy(block).applyInPandas(smooth, "block int, ratios binary").collect():
+        table[row["block"] * WIDTH : (row["block"] + 1) * WIDTH] = np.frombuffer(row["ratios"], dtype=np.float16)
+    return table
 
 
 def evidence(codes: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +287,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     fold = F.coalesce(F.floor(F.crc32(F.col("id").cast("string")) / 4) % CALIBRATION_MODULUS == 0, F.lit(False))
     marked = base.join(known, "id", "left").select("text", F.when(~fold, F.col("label")).alias("label"))
-    counts = count_ngrams(marked, "text", "label").orderBy("code").toPandas()  # at most 32**5 rows by construction
-    codes = counts["code"].to_numpy().astype(np.int64)
-    toxic, ordinary = counts["toxic"].to_numpy(), counts["ordinary"].to_numpy()
-    if toxic.sum() == 0 or ordinary.sum() == 0:
+    table = gathered_ratios(cut(count_ngrams(marked, "text", "label")))
+    if table is None:
         n = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("s")).first()
         share = ((n["s"] or 0) + 1.0) / (n["n"] + 2.0)
         return base.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), F.lit(share).alias("score"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("peak"))
-    scored = with_evidence(base, ratio_table(codes, toxic, ordinary), "text", "e")
+    scored = with_evidence(base, table, "text", "e")
     scored = cut(scored.select("id", F.col("e.mean").alias("mean"), F.col("e.peak").alias("peak")))
     fit = scored.where(fold).join(known, "id")
     score = logistic(fit, ["mean", "peak"], "label")

@@ -362,3 +362,15 @@ def test_pipeline_equals_its_stages(spark):
     crc = {r["text_crc32"] for r in rows}
     known = {zlib.crc32((r["text"] or "").encode()) for r in docs.collect()}
     assert len(crc - known) <= 20  # texts cut at the end of a source's share
+
+
+def test_toxicity_blocks_equal_the_whole_table(spark):
+    from flowlens.llm import kn_toxicity as kn
+
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, kn.CODES // 4, 4000))
+    toxic, ordinary = rng.integers(0, 4, len(codes)), rng.integers(0, 4, len(codes))
+    rows = [(int(c), int(t), int(o)) for c, t, o in zip(codes, toxic, ordinary)]
+    counts = spark.createDataFrame(rows, "code int, toxic bigint, ordinary bigint")
+    assert (kn.gathered_ratios(counts) == kn.ratio_table(codes, toxic, ordinary)).all()
+    assert kn.gathered_ratios(counts.withColumn("toxic", F.lit(0))) is None
