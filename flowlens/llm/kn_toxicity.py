@@ -19,8 +19,8 @@ the score.
 Scale: one pass counts 5-grams (compacted per task, then ``groupBy``: the
 gathered table covers every document and is stored), one task per first symbol
 smooths its block of codes, one pass scores. The alphabet bounds the model:
-32**5 codes at most, whatever the corpus; it is broadcast as a compressed
-float16 table of that size (64 MiB in a worker). The small label
+32**5 codes at most, whatever the corpus; it is broadcast as
+compressed float16 blocks (a table of 128 MiB in a worker). The small label
 table is broadcast only below ``BROADCAST_ROWS`` rows; beyond, it is joined.
 
 Defined cases: null and empty texts have both ratios 0 and get the score the
@@ -194,11 +194,11 @@ def ratio_table(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> n
     return np.concatenate(parts)
 
 
-def gathered_ratios(counts: DataFrame) -> np.ndarray | None:
-    """``ratio_table`` of a stored count table, None without counts of both
-    classes. Every block of codes is smoothed in a task of its own (at most
+def gathered_ratios(counts: DataFrame) -> dict[int, bytes] | None:
+    """``ratio_table`` of a stored count table as compressed blocks (see
+    ``unpacked``), None without counts of both classes. Every block of codes is smoothed in a task of its own (at most
     32**4 rows); the driver receives the 4-gram continuation counts (at most
-    32**4 rows) and the finished float16 blocks (64 MiB)."""
+    32**4 rows) and the compressed blocks (less than 64 MiB)."""
     times = lambda c, n: F.sum(F.when(F.col(c) == n, 1).otherwise(0))
     s = counts.agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
@@ -215,12 +215,17 @@ def gathered_ratios(counts: DataFrame) -> np.ndarray | None:
     def smooth(f: pd.DataFrame) -> pd.DataFrame:
         code = f["code"].to_numpy()
         ratios = block_ratios(code % WIDTH, f["toxic"].to_numpy(), f["ordinary"].to_numpy(), shared.value, discounts)
-        return pd.DataFrame({"block": [int(code[0]) // WIDTH], "ratios": [ratios.tobytes()]})
+        return pd.DataFrame({"block": [int(code[0]) // WIDTH], "ratios": [zlib.compress(ratios.tobytes(), 1)]})
 
-    table = np.zeros(CODES, dtype=np.float16)  # a block never seen: both classes back off alike
     block = F.floor(F.col("code") / WIDTH).alias("block")
-    for row in counts.groupBy(block).applyInPandas(smooth, "block int, ratios binary").collect():
-        table[row["block"] * WIDTH : (row["block"] + 1) * WIDTH] = np.frombuffer(row["ratios"], dtype=np.float16)
+    return {r["block"]: bytes(r["ratios"]) for r in counts.groupBy(block).applyInPandas(smooth, "block int, ratios binary").collect()}
+
+
+def unpacked(blocks: dict[int, bytes]) -> np.ndarray:
+    """The whole table (float32); in a block never seen both classes back off alike."""
+    table = np.zeros(CODES, dtype=np.float32)
+    for block, ratios in blocks.items():
+        table[block * WIDTH : (block + 1) * WIDTH] = np.frombuffer(zlib.decompress(ratios), dtype=np.float16)
     return table
 
 
@@ -248,13 +253,13 @@ def evidence(codes: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[n
     return mean, best
 
 
-def with_evidence(docs: DataFrame, table: np.ndarray, text: str, result: str) -> DataFrame:
+def with_evidence(docs: DataFrame, blocks: dict[int, bytes], text: str, result: str) -> DataFrame:
     """``docs`` + struct (mean, peak)."""
-    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
     kind = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("peak", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = np.frombuffer(zlib.decompress(shared.value), dtype=np.float16).astype(np.float32)
+        values = unpacked(shared.value)
         for batch in batches:
             means, peaks = [np.zeros(0)], [np.zeros(0)]
             for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
@@ -287,12 +292,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     fold = F.coalesce(F.floor(F.crc32(F.col("id").cast("string")) / 4) % CALIBRATION_MODULUS == 0, F.lit(False))
     marked = base.join(known, "id", "left").select("text", F.when(~fold, F.col("label")).alias("label"))
-    table = gathered_ratios(cut(count_ngrams(marked, "text", "label")))
-    if table is None:
+    blocks = gathered_ratios(cut(count_ngrams(marked, "text", "label")))
+    if blocks is None:
         n = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id)).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("s")).first()
         share = ((n["s"] or 0) + 1.0) / (n["n"] + 2.0)
         return base.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), F.lit(share).alias("score"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("peak"))
-    scored = with_evidence(base, table, "text", "e")
+    scored = with_evidence(base, blocks, "text", "e")
     scored = cut(scored.select("id", F.col("e.mean").alias("mean"), F.col("e.peak").alias("peak")))
     fit = scored.where(fold).join(known, "id")
     score = logistic(fit, ["mean", "peak"], "label")

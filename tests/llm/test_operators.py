@@ -372,5 +372,5 @@ def test_toxicity_blocks_equal_the_whole_table(spark):
     toxic, ordinary = rng.integers(0, 4, len(codes)), rng.integers(0, 4, len(codes))
     rows = [(int(c), int(t), int(o)) for c, t, o in zip(codes, toxic, ordinary)]
     counts = spark.createDataFrame(rows, "code int, toxic bigint, ordinary bigint")
-    assert (kn.gathered_ratios(counts) == kn.ratio_table(codes, toxic, ordinary)).all()
+    assert (kn.unpacked(kn.gathered_ratios(counts)) == kn.ratio_table(codes, toxic, ordinary)).all()
     assert kn.gathered_ratios(counts.withColumn("toxic", F.lit(0))) is None
