@@ -80,8 +80,3 @@ def is_infinite(x: Column) -> Column:
 def is_finite(x: Column) -> Column:
     """Not NULL, not NaN, not ±Inf (``dropna`` alone keeps ±Inf)."""
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-
-
-def finite_or_null(x: Column) -> Column:
-    """±Inf and NaN → NULL, the cleaned form of a feature."""
-    return F.when(is_finite(x), x).otherwise(F.lit(None).cast("double"))

@@ -103,7 +103,3 @@ def require_rows(df: DataFrame, what: str) -> None:
     """Raise when a frame is empty (FLT-9)."""
     if df.isEmpty():
         raise ValueError(f"No rows for {what}")
-
-
-def counts_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))

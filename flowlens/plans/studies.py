@@ -21,6 +21,7 @@ from flowlens.functions import labels as L
 from flowlens.functions.numeric import coerce_number, is_finite
 from flowlens.operators import attribution as AT
 from flowlens.operators import clean as C
+from flowlens.operators import distributions as D
 from flowlens.operators import examples as X
 from flowlens.operators import experiments as XP
 from flowlens.operators import importance as IM
@@ -530,6 +531,44 @@ def q_csv_report_totals(spark, sf_dir):
     )
 
 
+@register(
+    "legacy_clean_rows",
+    O.with_views(
+        "SELECT " + ", ".join(f"{O.num(c)} AS {c}" if c in Q._RAW_NUMERIC else c for c in Q._ALL_RAW) + f" FROM rt WHERE {Q._sql_row_ok()}",
+        "v_raw",
+        ctes=Q._RAW_TEXT_CTE,
+    ),
+)
+def q_legacy_clean_rows(spark, sf_dir):
+    """FLT-3: rows without any missing or infinite cell."""
+    return C.clean_legacy(Q._raw_text(spark, sf_dir), Q._ALL_RAW)
+
+
+_OVERLAP_SQL = ", ".join(Q._OVERLAP_FEATS)
+
+
+@register(
+    "overlapping_rows",
+    O.with_views(
+        f"SELECT row_key FROM te WHERE ({_OVERLAP_SQL}) IN (SELECT ({_OVERLAP_SQL}) FROM tr)",
+        "v_line",
+        ctes={
+            "tr": f"SELECT * FROM v_line WHERE NOT md5('42|' || row_key) < {Q._TEST_CUT}",
+            "te": f"SELECT * FROM v_line WHERE md5('42|' || row_key) < {Q._TEST_CUT}",
+        },
+    ),
+)
+def q_overlapping_rows(spark, sf_dir):
+    """JN-3: the test rows whose features also occur in training."""
+    return P.overlapping_rows(*Q._line_split(spark, sf_dir), Q._OVERLAP_FEATS).select("row_key")
+
+
+@register("distinct_labels", O.with_views("SELECT CAST(count(DISTINCT raw_label) AS BIGINT) AS distinct_raw_label FROM v_label", "v_label"))
+def q_distinct_labels(spark, sf_dir):
+    """AGG-17."""
+    return D.distinct_count(V.v_label(spark, sf_dir), "raw_label")
+
+
 @register(
     "empty_metrics",
     O.with_views(

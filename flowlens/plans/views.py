@@ -178,15 +178,3 @@ def v_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang"),
     )
     return feats.join(lab.select("doc_id", F.col("quality").cast("int").alias("label"), "toxic"), "doc_id", "inner")
-
-
-def v_emb(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
-    """Wide table: one DOUBLE column per embedding dimension, label = class < 3."""
-    emb = read_table(spark, sf_dir, "embeddings")
-    cols = [F.col("embedding")[i].cast("double").alias(f"e{i:02d}") for i in range(dims)]
-    return emb.select(
-        F.col("vec_id").alias("row_id"),
-        *cols,
-        F.when(F.col("label") < 3, F.lit(1)).otherwise(F.lit(0)).cast("int").alias("Label"),
-        F.concat(F.lit("class_"), F.col("label").cast("string")).alias("attack_family"),
-    )
