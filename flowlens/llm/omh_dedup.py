@@ -1,8 +1,9 @@
 """Near-duplicate classes by Order MinHash (operator 1).
 
-A document is its sequence of words, its items are runs of five words, each
-labelled with its occurrence number (the second time a run occurs it is another
-item). For each of ``SKETCHES`` random orders, Order MinHash takes the
+A document is its sequence of words, its items are runs of two words (``RUN``;
+in texts of up to ``SHORT`` words single words), each labelled with its
+occurrence number (the second time a run occurs it is another item). For each
+of ``SKETCHES`` random orders, Order MinHash takes the
 ``PICKS`` smallest items and keeps them *in text order*; documents collide in a
 sketch if they agree on the items and on their order, so the collision rate
 falls with the edit distance, not only with the overlap of the two sets.
@@ -21,13 +22,19 @@ falls with the edit distance, not only with the overlap of the two sets.
 4. *Classes.* Connected components of the accepted links, by label passing
    with pointer jumping; the class is named by its smallest document id.
 
-Recall: two texts whose sets of runs have Jaccard J share a given sketch with
-probability of about J**2, so of 32 sketches all miss with (1 - J**2)**32: 1e-14
-at J = 0.8, 8e-4 at J = 0.45 (an edit similarity near 0.9).
+Recall: an edit spoils at most two runs of two words, so of n - 1 runs of the
+longer text at least n - 1 - 2 * floor(0.2 n) are common to a pair at the
+threshold, wherever the edits lie: J is 0.43 or more for long texts and both
+picks of a sketch are common with J**2 = 0.18. All 64 sketches miss with
+(1 - J**2)**64 = 2e-6 at similarity 0.80, less above; the worst length from 11
+words on is 15 (4e-5). Texts of up to ten words are compared by single words
+(12 of 66 pairs of items at worst, 1e-5 or less), and texts of eight to ten
+words by both, as their partner may be longer than ten. Repeated runs change
+their labels with an edit before them; that costs items beside the bound.
 
 Defined cases: null texts are never copies of anything (a class each); texts
-without words are copies of each other; texts of fewer than five words have one
-item, all their words; null ids: a class is named by its smallest non-null id,
+without words are copies of each other; texts of fewer than five words are
+similar to equal ones only; null ids: a class is named by its smallest non-null id,
 null if it has none; repeated rows fall in one class; extra columns are ignored.
 """
 
@@ -43,8 +50,9 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, mix64, powers, rolling, small, text_slices, whitespace_table, word_hashes, word_spans
 
-RUN = 5
-SKETCHES = 32
+RUN = 2
+SHORT = 10
+SKETCHES = 64
 PICKS = 2
 SIMILARITY = 0.8
 _WORD = whitespace_table()
@@ -56,9 +64,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 # ----------------------------------------------------------------- sketches ----
 
 
-def labelled_items(words: np.ndarray) -> np.ndarray:
-    """Hash of each run of five words with its occurrence number, in text order."""
-    runs = rolling(words, min(RUN, len(words)), 3)
+def labelled_items(words: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Hash of each run of words with its occurrence number, in text order."""
+    runs = rolling(words, min(run, len(words)), 3)
     order = np.argsort(runs, kind="stable")
     s = runs[order]
     new = np.append(True, s[1:] != s[:-1])
@@ -88,6 +96,18 @@ def order_minhash(items: np.ndarray, picks: int = PICKS) -> np.ndarray:
     return out
 
 
+def sketches_of(words: np.ndarray) -> np.ndarray:
+    """Sketches of a text. Two texts of at most SHORT words meet by single
+    words; else the shorter one has at least SIMILARITY * SHORT words, and they
+    meet by runs of RUN words."""
+    out = []
+    if len(words) <= SHORT:
+        out.append(mix64(order_minhash(labelled_items(words, 1)) + _ODD))
+    if len(words) >= SIMILARITY * SHORT:
+        out.append(order_minhash(labelled_items(words)))
+    return np.concatenate(out)
+
+
 def _content(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each document's whole word sequence."""
     out = []
@@ -115,7 +135,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketches = []
                 for d in range(hi - lo):
                     own = words[first[d] : first[d + 1]]
-                    sketches.append(order_minhash(labelled_items(own)).view(np.int64) if len(own) else None)
+                    sketches.append(sketches_of(own).view(np.int64) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),

@@ -110,6 +110,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in QUERIES["op1_order_minhash"](spark, SF).collect()} == {d: find(d) for d in ids}
 
 
+def test_sketches_meet_at_the_threshold():
+    """One changed word in five leaves no common run of five; ten words with one
+    changed in the middle leave one."""
+    from flowlens.llm.omh_dedup import sketches_of
+
+    rng = np.random.default_rng(4)
+    words = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for n, changed in ((5, [2]), (8, [4]), (10, [5]), (10, [3, 6]), (15, [2, 7, 12]), (100, range(2, 100, 5)), (400, range(2, 400, 5))):
+        for _ in range(50):
+            a = words(n)
+            b = a.copy()
+            b[list(changed)] = words(len(changed))
+            assert np.intersect1d(sketches_of(a), sketches_of(b)).size, (n, changed)
+    for _ in range(50):  # a text of ten words and one of twelve
+        a = words(12)
+        assert np.intersect1d(sketches_of(a), sketches_of(a[1:11])).size
+
+
 # ------------------------------------------------------------ 2, 6, 10 learned ----
 
 
