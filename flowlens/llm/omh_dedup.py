@@ -11,15 +11,28 @@ falls with the edit distance, not only with the overlap of the two sets.
 1. *Copies first.* Documents with the same words (128-bit hash) are one node.
 2. *Buckets.* Nodes with a common sketch share a bucket. A bucket proposes
    each member together with its smallest and its largest member (two
-   aggregates with a map-side part): links, never all pairs, so a bucket with a
-   third of all nodes costs one row per node.
+   aggregates with a map-side part), so a bucket with a third of all nodes
+   costs two rows per node.
 3. *Verification.* A proposed pair is accepted if its edit similarity
    ``1 - distance / longer`` over words is ``SIMILARITY`` (0.8) or more: first
    a bound from the common words, then a banded alignment whose band grows to
    the distance allowed. Pairs are verified in two rounds: each node with the
    partner it shares most sketches with; then the pairs that still join
    different classes.
-4. *Classes.* Connected components of the accepted links, by label passing
+4. *Crowded buckets.* In a bucket of four or more nodes that are still in
+   several classes, pairs without an end were not looked at. Up to ``DIRECT``
+   nodes, all pairs of different classes and fitting lengths are verified (at
+   most ``DIRECT / 2`` a node). In larger buckets they are found by prefix
+   filters, which lose none: texts of edit similarity 0.8 have all but
+   ``d = floor(0.2 n)`` words and all but ``2 d`` runs of two words in common,
+   so each has one of its first ``d + 1`` words, and one of its first
+   ``2 d + 2`` runs, in common with the other, in any order of all words or
+   runs; here frequent ones are last. Every bucket takes the filter with fewer
+   pairs to compare; pairs within a class are not formed. What shares such a
+   word or run in a bucket, and has a fitting length, is verified. Together
+   with 3, any two nodes of one bucket are verified, known to be unlike, or in
+   one class already.
+5. *Classes.* Connected components of the accepted links, by label passing
    with pointer jumping; the class is named by its smallest document id.
 
 Recall: an edit spoils at most two runs of two words, so of n - 1 runs of the
@@ -172,6 +185,117 @@ def word_lists(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, _WORDED)
 
 
+# ---------------------------------------------------------- crowded buckets ----
+
+
+#: Nodes of a bucket up to which all its pairs are formed.
+DIRECT = 256
+#: Most frequent items told to the prefix tasks. Any order of the items is
+#: exact; this one only keeps common passages out of the prefixes.
+FREQUENT = 200_000
+_KINDS = (1, 2)
+
+
+def _items(words: bytes, run: int) -> np.ndarray:
+    own = np.frombuffer(words, np.uint32).astype(np.uint64)
+    return labelled_items(mix64(own), run).view(np.int64) if len(own) >= run else np.zeros(0, np.int64)
+
+
+def item_counts(words: DataFrame) -> DataFrame:
+    """(kind, item, times): how many texts have each word and run of two."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for kind in _KINDS:
+                each = [_items(w, kind) for w in f["words"]]
+                item, times = np.unique(np.concatenate([*each, np.zeros(0, np.int64)]), return_counts=True)
+                yield pd.DataFrame({"kind": np.int32(kind), "item": item, "times": times})
+
+    return words.mapInPandas(count, "kind int, item bigint, times bigint").groupBy("kind", "item").agg(F.sum("times").alias("times"))
+
+
+def prefixes(words: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
+    """(c1, c2, words) -> c1, c2, n, kind, item: the first items of each text,
+    ``frequent`` (in falling frequency) after all others."""
+    order = np.argsort(frequent)
+    told = words.sparkSession.sparkContext.broadcast((frequent[order], order))
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, place = told.value
+        for f in frames:
+            for c1, c2, w in zip(f["c1"], f["c2"], f["words"]):
+                n = len(w) // 4
+                most = int(np.floor((1.0 - least) * n + 1e-9))
+                for kind in _KINDS:
+                    items = _items(w, kind)
+                    at = np.searchsorted(known, items)
+                    found = np.zeros(len(items), np.int64)
+                    if len(known):
+                        at = np.minimum(at, len(known) - 1)
+                        found = np.where(known[at] == items, len(known) - place[at], 0)
+                    take = items[np.lexsort((items, found))][: most + 1 if kind == 1 else 2 * most + 2]
+                    yield pd.DataFrame({"c1": c1, "c2": c2, "n": np.int32(n), "kind": np.int32(kind), "item": take})
+
+    return words.mapInPandas(_gathered(first), "c1 bigint, c2 bigint, n int, kind int, item bigint")
+
+
+def _gathered(make):
+    """Joins the small frames of ``make`` to larger ones."""
+
+    def out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for f in make(frames):
+            held.append(f)
+            size += len(f)
+            if size > 100_000:
+                yield pd.concat(held)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held)
+
+    return out
+
+
+def _met(x: DataFrame, y: DataFrame, on: list[str], least: float, once: bool) -> DataFrame:
+    """(a, b): pairs of different classes whose lengths fit: their edit distance
+    is the difference of the lengths at least. ``once``: x and y are the same."""
+    x = x.select(*on, F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
+    y = y.select(*on, F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
+    longer = F.greatest("nx", "ny")
+    fits = (F.col("rx") != F.col("ry")) & (longer - F.least("nx", "ny") <= F.floor(longer * (1.0 - least) + 1e-9))
+    met = x.join(y, on).where(fits & (F.col("x") < F.col("y")) if once else fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def crowded_pairs(members: DataFrame, state: DataFrame, words: DataFrame, least: float, direct: int = DIRECT) -> DataFrame:
+    """(a, b): pairs of different classes that share a bucket and may be
+    similar. ``members`` has the buckets (sketch, node, n) of four nodes or
+    more: up to three, the ends have met everyone."""
+    placed = members.join(state, "node", "left").select("sketch", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("sketch").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+    placed = cut(placed.join(open_.where(F.col("lo") != F.col("hi")).select("sketch", "size"), "sketch"))
+    few = placed.where(F.col("size") <= direct)
+    pairs = _met(few, few, ["sketch"], least, True)
+    placed = placed.where(F.col("size") > direct).select("sketch", "node", "root")
+    if not placed.limit(1).count():
+        return pairs.distinct()
+    nodes = small(cut(placed.select("node.c1", "node.c2").distinct()))
+    words = cut(words.join(nodes, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"]))
+    top = item_counts(words).where(F.col("times") > 1).orderBy(F.col("times").desc(), "kind", "item").limit(FREQUENT).select("item").toPandas()
+    first = prefixes(words, top["item"].to_numpy(np.int64), least).select(F.struct("c1", "c2").alias("node"), "n", "kind", "item")
+    spread = cut(placed.join(first, "node"))
+    # a group is what shares an item in a bucket; its largest class is only met
+    # by the others
+    by_class = spread.groupBy("sketch", "kind", "item", "root").agg(F.count(F.lit(1)).alias("c"))
+    group = by_class.groupBy("sketch", "kind", "item").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top")).where(F.col("all") > F.col("top.c"))
+    cost = group.groupBy("sketch", "kind").agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("top.c"))).alias("cost"))
+    # a bucket without a group of one kind has no similar pair at all
+    best = cost.groupBy("sketch").agg(F.min(F.struct("cost", "kind")).alias("m"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") == len(_KINDS))
+    group = group.join(best.select("sketch", F.col("m.kind").alias("kind")), ["sketch", "kind"]).select("sketch", "kind", "item", F.col("top.root").alias("largest"))
+    rows = cut(spread.join(group, ["sketch", "kind", "item"]).select("sketch", "item", "node", "root", "n", "largest"))
+    return pairs.union(_met(rows.where(F.col("root") != F.col("largest")), rows, ["sketch", "item"], least, False)).distinct()
+
+
 # ------------------------------------------------------------- verification ----
 
 
@@ -298,7 +422,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, broadcast_rows: int = 1_000_000
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, broadcast_rows: int = 1_000_000, direct: int = DIRECT
 ) -> DataFrame:
     """row (place in the scan), id, class_id and class_key per document; the key
     tells classes apart whose ids are null or repeated. ``docs`` must be a
@@ -307,8 +431,10 @@ def near_duplicates(
     signed = cut(signatures(base.where(F.col("text").isNotNull())))
     nodes = signed.groupBy("c1", "c2").agg(F.min("id").alias("least_id"), F.min("row").alias("first_row"))
     one = signed.join(nodes.select("c1", "c2", F.col("first_row").alias("row")), ["c1", "c2", "row"], "left_semi")
-    members = one.select(F.explode("sketches").alias("sketch"), F.struct("c1", "c2").alias("node"))
-    ends = members.groupBy("sketch").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
+    members = one.select(F.explode("sketches").alias("sketch"), F.struct("c1", "c2").alias("node"), "n")
+    ends = members.groupBy("sketch").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ends = cut(ends.where(F.col("lo") != F.col("hi")))
+    crowded = members.join(ends.where(F.col("n") > 3).select("sketch"), "sketch")
     proposed = members.join(ends, "sketch").select("node", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("node") != F.col("end"))
     pair = proposed.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"), "node")
     # how often each pair is proposed, at most once per sketch and end
@@ -325,6 +451,13 @@ def near_duplicates(
     def struct(x: DataFrame) -> DataFrame:
         return x.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b"))
 
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Accepted ones of a few pairs: only the words of their nodes move."""
+        pairs = cut(flat(pairs))
+        sides = F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))
+        nodes = small(cut(pairs.select(F.inline(sides)).distinct()), broadcast_rows)
+        return cut(struct(verified(pairs, texts.join(nodes, ["c1", "c2"], "left_semi"), least)))
+
     # round one: each node with the partner it meets most often
     best = counted.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))).alias("e"), "times")
     best = best.groupBy("e.n").agg(F.max_by("e.o", F.struct("times", "e.o")).alias("o"))
@@ -335,7 +468,13 @@ def near_duplicates(
     root = lambda side: state.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     rest = counted.select("a", "b").join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     rest = rest.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
-    more = cut(struct(verified(flat(rest), texts, least)))
+    more = judged(rest)
+    if more.limit(1).count():
+        links = links.union(more)
+        state = components(links)
+    # crowded buckets: what the ends left open
+    pairs = crowded_pairs(crowded, state, texts, least, direct).join(counted.select("a", "b"), ["a", "b"], "left_anti")
+    more = judged(pairs)
     if more.limit(1).count():
         state = components(links.union(more))
     named = nodes.select(F.struct("c1", "c2").alias("node"), "least_id").join(state, "node", "left")

@@ -128,6 +128,25 @@ def test_sketches_meet_at_the_threshold():
         assert np.intersect1d(sketches_of(a), sketches_of(a[1:11])).size
 
 
+def test_crowded_bucket_finds_pairs_without_an_end(spark):
+    """Hundreds of texts with a common passage of 79 of 100 words; some pairs
+    differ in ten words of the rest, spread so that no run outside is common."""
+    from flowlens.llm.omh_dedup import near_duplicates
+
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(79)]
+    tails = [[f"t{d}x{i}" for i in range(21)] for d in range(300)]
+    for d in range(0, 40, 2):
+        tails[d + 1] = [w if i % 2 else f"o{d}x{i}" for i, w in enumerate(tails[d])]
+        tails[d + 1][20] = tails[d][20]
+    order = rng.permutation(300)
+    rows = [(int(d), " ".join(passage + tails[d])) for d in order]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for direct in (1000, 20):
+        got = {r["id"]: r["class_id"] for r in near_duplicates(docs, direct=direct).collect()}
+        assert got == {d: d - d % 2 if d < 40 else d for d in range(300)}
+
+
 # ------------------------------------------------------------ 2, 6, 10 learned ----
 
 
