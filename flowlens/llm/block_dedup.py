@@ -31,7 +31,7 @@ Defined cases: a null text has no words; documents shorter than 50 words lose
 nothing; a null id counts as larger than all others; rows with one id do not
 remove words from each other; equal windows inside one document stay (the
 first in id order is the document itself); extra columns are ignored.
-``docs`` must be a stored table: rows are matched by their place in the scan.
+Rows are matched across jobs by id and a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -51,6 +51,9 @@ BLOCK = 25
 BUCKET_RUNS = 2_000_000
 LAST_ID = np.iinfo(np.int64).max
 _WORD = whitespace_table()
+#: Rows are matched by these two, never by their place in a scan: ``row`` is a
+#: 64-bit hash of the text. Documents equal in both lose the same words.
+_KEY = ["row", "owner"]
 _BUCKETS = "bucket int, ids binary, rows binary, counts binary, gaps binary, hashes binary"
 
 
@@ -143,7 +146,7 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def probes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(row, id, text) -> packed probes and anchors by bucket."""
+    """(row, owner, text) -> packed probes and anchors by bucket."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
@@ -169,20 +172,20 @@ def _extremes(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def hits(packed: DataFrame) -> DataFrame:
-    """row, at: positions of runs equal to a block of another id."""
+    """row, owner, at: positions of runs equal to a block of another id."""
 
     def find(table: pa.Table) -> pa.Table:
         ids, rows, position, h = unpack_bucket(table, np.uint32)
         block = position % BLOCK == 0
-        out_row, out_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out_row, out_id, out_at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if block.any():
             keys, least, most = _extremes(h[block], ids[block])
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = (keys[at] == h) & ((least[at] != ids) | (most[at] != ids))
-            out_row, out_at = rows[hit], position[hit]
-        return pa.table({"row": pa.array(out_row), "at": pa.array(out_at.astype(np.int32))})
+            out_row, out_id, out_at = rows[hit], ids[hit], position[hit]
+        return pa.table({"row": pa.array(out_row), "owner": pa.array(out_id), "at": pa.array(out_at.astype(np.int32))})
 
-    return packed.groupBy("bucket").applyInArrow(find, "row bigint, at int")
+    return packed.groupBy("bucket").applyInArrow(find, "row bigint, owner bigint, at int")
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -196,7 +199,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows(docs: DataFrame, buckets: int) -> DataFrame:
-    """(row, id, text, at: hit positions) -> packed candidate windows."""
+    """(row, owner, text, at: hit positions) -> packed candidate windows."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple]:
@@ -232,22 +235,22 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def repeats(packed: DataFrame) -> DataFrame:
-    """row, begin, end: word ranges covered by windows of a smaller id."""
+    """row, owner, begin, end: word ranges covered by windows of a smaller id."""
 
     def find(table: pa.Table) -> pa.Table:
         ids, rows, position, h = unpack_bucket(table, np.uint64)
         keys, least, _ = _extremes(h, ids) if len(h) else (h, ids, ids)
         late = least[np.searchsorted(keys, h)] < ids if len(h) else np.zeros(0, bool)
-        r, p = rows[late], position[late]
+        r, o, p = rows[late], ids[late], position[late]
         new = np.ones(len(r), dtype=bool)
-        new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
+        new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(r))[: len(begin)] - 1
         return pa.table(
-            {"row": pa.array(r[begin]), "begin": pa.array(p[begin].astype(np.int32)), "end": pa.array((p[end] + WINDOW).astype(np.int32))}
+            {"row": pa.array(r[begin]), "owner": pa.array(o[begin]), "begin": pa.array(p[begin].astype(np.int32)), "end": pa.array((p[end] + WINDOW).astype(np.int32))}
         )
 
-    return packed.groupBy("bucket").applyInArrow(find, "row bigint, begin int, end int")
+    return packed.groupBy("bucket").applyInArrow(find, "row bigint, owner bigint, begin int, end int")
 
 
 def _clean(docs: DataFrame) -> DataFrame:
@@ -288,15 +291,16 @@ _BLANK = bytes(32 if not w else i for i, w in enumerate(_WORD))
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_runs: int = BUCKET_RUNS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """id, n_words, n_removed, kept, kept_sha256: one row per document."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    base = base.select(F.xxhash64("text").alias("row"), F.coalesce("id", F.lit(int(LAST_ID))).alias("owner"), "id", "text")
     # buckets from the size of the corpus: a word takes about six bytes
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // (6 * bucket_runs)))
-    found = cut(hits(probes(base, buckets)).groupBy("row").agg(F.collect_set("at").alias("at")))
-    listed = small(found.select("row"), broadcast_rows)
-    texts = base.join(listed, "row", "left_semi").join(found, "row").select("row", "id", "text", "at")
-    spans = cut(repeats(windows(texts, buckets)).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
-    marked = small(spans.select("row"), broadcast_rows)
-    whole = base.join(marked, "row", "left_anti").select("id", "text", F.lit(None).cast("array<struct<begin:int,end:int>>").alias("spans"))
-    changed = base.join(marked, "row", "left_semi").join(spans, "row").select("id", "text", "spans")
+    found = cut(hits(probes(base.select(*_KEY, "text"), buckets)).groupBy(*_KEY).agg(F.collect_set("at").alias("at")))
+    listed = small(found.select(*_KEY), broadcast_rows)
+    texts = base.join(listed, _KEY, "left_semi").join(found, _KEY).select(*_KEY, "text", "at")
+    spans = cut(repeats(windows(texts, buckets)).groupBy(*_KEY).agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
+    marked = small(spans.select(*_KEY), broadcast_rows)
+    whole = base.join(marked, _KEY, "left_anti").select("id", "text", F.lit(None).cast("array<struct<begin:int,end:int>>").alias("spans"))
+    changed = base.join(marked, _KEY, "left_semi").join(spans, _KEY).select("id", "text", "spans")
     return _clean(whole.unionByName(changed))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.session import ensure_checkpoint_dir
+from flowlens.session import ensure_checkpoint_dir, stored
 
 #: Contract of the learned operators: rows of this remainder are held out.
 HELD_OUT_REMAINDER = 2
@@ -54,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
+def numbered(df: DataFrame, row: str, name: str) -> DataFrame:
+    """``df`` with a row number in column ``row``, written once to the shared
+    folder. The numbers are read, never computed again: a scan that is split
+    otherwise (executors lost or gained) would number its rows otherwise."""
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
 def unique_name(taken: list[str], base: str) -> str:
     """``base``, with underscores added until no input column has that name
     (compared without case, as Spark resolves names)."""

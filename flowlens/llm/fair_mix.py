@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import WHITESPACE_WORD, cut, word_count
+from flowlens.llm.common import WHITESPACE_WORD, cut, numbered, word_count
 
 BUCKET_DIGITS = 3
 MAX_PASSES = 2
@@ -99,16 +99,17 @@ def fair_mix(
     text: str = "text",
     source: str = "source",
     max_passes: int = MAX_PASSES,
+    number: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, source, row (position in the scan, joins
-    back to ``scan_ids``), size, source_size, weight, target, taken, and per
+    """One row per document: doc_id, source, row (a number; that of the column
+    ``number``, if given), size, source_size, weight, target, taken, and per
     pass its virtual finish time ``finish`` (array) and words ``parts``."""
     base = docs.select(
         F.col(doc_id).alias("_id"),
         F.col(source).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("_src"),
         word_count(text).alias("size"),
-        F.monotonically_increasing_id().alias("_row"),
+        (F.col(number) if number else F.monotonically_increasing_id()).alias("_row"),
     )
     for t in range(max_passes):
         base = base.withColumn(f"_k{t}", shuffle_key(seed, t, "_id", "size")).withColumn(
@@ -145,14 +146,15 @@ def fair_mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, a document once for each pass
     that takes words of it, the last document of a source cut after its share,
-    globally sorted by virtual finish time. ``docs`` must be a stored table
-    (rows are matched by their place in the scan)."""
+    globally sorted by virtual finish time. The documents are numbered once and
+    stored with their numbers."""
     text = options.get("text", "text")
     row = "__mix_row"
-    plan = fair_mix(docs, **options).where(F.col("taken") > 0)
+    held = numbered(docs, row, "mix")
+    plan = fair_mix(held, number=row, **options).where(F.col("taken") > 0)
     plan = plan.select(F.col("row").alias(row), F.posexplode(F.arrays_zip("parts", "finish")).alias("__turn", "__p"), F.col("size").alias("__size"))
     plan = plan.where(F.col("__p.parts") > 0)
-    whole = docs.withColumn(row, F.monotonically_increasing_id()).join(plan, row)
+    whole = held.join(plan, row)
     words = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WHITESPACE_WORD})"), F.lit(1)), 1, F.col("__p.parts").cast("int"))
     cut = F.when(F.col("__p.parts") < F.col("__size"), F.array_join(words, " ")).otherwise(F.col(text))
     return whole.withColumn(text, cut).orderBy("__p.finish", row, "__turn").select(*docs.columns)

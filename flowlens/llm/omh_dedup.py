@@ -61,7 +61,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, mix64, powers, rolling, small, text_slices, whitespace_table, word_hashes, word_spans
+from flowlens.llm.common import cut, mix64, numbered, powers, rolling, small, text_slices, whitespace_table, word_hashes, word_spans
 
 RUN = 2
 SHORT = 10
@@ -424,10 +424,16 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, broadcast_rows: int = 1_000_000, direct: int = DIRECT
 ) -> DataFrame:
-    """row (place in the scan), id, class_id and class_key per document; the key
-    tells classes apart whose ids are null or repeated. ``docs`` must be a
-    stored table: rows are matched by their place in the scan."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    """row, id, class_id and class_key per document; the key tells classes apart
+    whose ids are null or repeated. The documents are numbered once and stored
+    with their numbers."""
+    base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    return _near_duplicates(numbered(base, "row", "omh"), least, broadcast_rows, direct)
+
+
+def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows: int = 1_000_000, direct: int = DIRECT) -> DataFrame:
+    """(row, id, text), stored -> row, id, class_id, class_key."""
+    base = base.select("row", "id", "text")
     signed = cut(signatures(base.where(F.col("text").isNotNull())))
     nodes = signed.groupBy("c1", "c2").agg(F.min("id").alias("least_id"), F.min("row").alias("first_row"))
     one = signed.join(nodes.select("c1", "c2", F.col("first_row").alias("row")), ["c1", "c2", "row"], "left_semi")
@@ -492,7 +498,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """``docs`` with one document of each class: its smallest id (the first of
     several rows of that id); columns unchanged."""
     row = "__omh_row"
-    found = cut(near_duplicates(docs, doc_id, text, **options))
+    held = numbered(docs, row, "omh")
+    base = held.select(F.col(row).alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    found = cut(_near_duplicates(base, **options))
     stay = found.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row")
     drop = small(found.join(stay, "row", "left_anti").select(F.col("row").alias(row)))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(drop, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.join(drop, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -383,6 +383,50 @@ def test_voronoi_topk_equals_brute_force(spark):
     assert exact_top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+# ------------------------------------------------------- scans split otherwise ----
+
+
+def test_results_hold_when_a_scan_is_split_otherwise(spark, tmp_path, monkeypatch):
+    """As executors come and go the same files are split otherwise, and rows
+    get another place in the scan; here after every checkpoint."""
+    from flowlens.llm import block_dedup, fair_mix, omh_dedup
+
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join(f"w{int(i)}" for i in rng.integers(0, 500, n))
+    passage = say(80)
+    rows = [(d, f"{say(30 + d)} {passage if d % 5 == 0 else say(80)} {say(40)}", "en", "abc"[d % 3], 1, "x") for d in range(60)]
+    rows += [(100 + d, rows[d][1].replace(" ", " extra ", 1), "en", "a", 1, "x") for d in range(0, 60, 7)]
+    path = f"file://{tmp_path}/documents"
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(path)
+    operators = {
+        "op5": lambda d: block_dedup.remove_repeats(d),
+        "op1": lambda d: omh_dedup.near_duplicates(d).select("id", "class_id"),
+        "keep": lambda d: omh_dedup.keep_one(d),
+        "mix": lambda d: fair_mix.mixed_documents(d),
+    }
+    want = {k: sorted(map(str, f(spark.read.parquet(path)).collect())) for k, f in operators.items()}
+    turn = [0]
+
+    def otherwise(cut):
+        def out(df):
+            done = cut(df)
+            turn[0] += 1
+            spark.conf.set("spark.sql.files.minPartitionNum", 1 if turn[0] % 2 else 64)
+            return done
+
+        return out
+
+    for module in (block_dedup, omh_dedup, fair_mix):
+        monkeypatch.setattr(module, "cut", otherwise(module.cut))
+    try:
+        for k, f in operators.items():
+            spark.conf.set("spark.sql.files.minPartitionNum", 64)
+            turn[0] = 0
+            assert sorted(map(str, f(spark.read.parquet(path)).collect())) == want[k], k
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 # ----------------------------------------------------------------- pipeline ----
 
 
