@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.llm import bisector_kmeans
 from flowlens.llm.common import held_out
 from flowlens.session import read_table
 
@@ -125,3 +126,9 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = omh_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
+@register("op11_bisector_kmeans", bisector_kmeans.cluster_sql())
+def op11_bisector_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, _ = bisector_kmeans.cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    return assigned
