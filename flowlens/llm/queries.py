@@ -132,3 +132,22 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bisector_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, _ = bisector_kmeans.cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
     return assigned
+
+
+@register("op12_license_rules")
+def op12_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import license_scan as ls
+
+    found, state = ls.find_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = ls.base_detections(state)
+    starts = F.transform(base, lambda d: d["first_word"])
+    return found.select(
+        "doc_id",
+        F.col(f"{state}.n_words").alias("n_words"),
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        ls.label_list(base).alias("base_labels"),
+        ls.label_list(F.col(f"{state}.detections")).alias("labels"),
+        F.col(f"{state}.score").alias("score"),
+    )
