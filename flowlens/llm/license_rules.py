@@ -70,7 +70,7 @@ apache-1.0 | apache | apache( software)? license( version| v)? ?v?1 0
 apache-2.0 | apache | apache ?v?2( 0)?( license)?
 apache-2.0 | asl | asl ?v?2 0
 apache | apache | apache software license
-apache-2.0 | express | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0 | writing | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
 apache-2.0 | compliance | you may not use this file except in compliance with the license
 cc-by-nc-nd-4.0 | cc | cc by nc nd 4 0
 cc-by-nc-nd-3.0 | cc | cc by nc nd 3 0
@@ -94,7 +94,7 @@ cc-by-4.0 | cc | cc by 4 0
 cc-by-3.0 | cc | cc by 3 0
 cc-by-2.5 | cc | cc by 2 5
 cc-by-2.0 | cc | cc by 2 0
-cc-by-nc-nd-4.0 | creative | (creative commons )?attribution non ?commercial no ?deriv(s|atives)( works)? 4 0( international)?
+cc-by-nc-nd-4.0 | attribution | (creative commons )?attribution non ?commercial no ?deriv(s|atives)( works)? 4 0( international)?
 cc-by-nc-nd | creative | creative commons attribution non ?commercial no ?deriv(s|atives)
 cc-by-nc-sa-4.0 | alike | (creative commons )?attribution non ?commercial share ?alike 4 0( international)?
 cc-by-nc-sa-3.0 | alike | (creative commons )?attribution non ?commercial share ?alike 3 0( unported)?
@@ -115,7 +115,7 @@ cc-other | creative | creative commons( public)? licen[cs]e
 mit | charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit-0 | attribution | mit no attribution
 mit | expat | expat license
-mit | license | (the )?mit licen[cs]ed?
+mit | mit | (the )?mit licen[cs]ed?
 mit | mit | (released|distributed|licensed|available|published) under( the)?( terms of( the)?)? mit
 mit | mit | license mit
 x11 | x11 | x11 license
@@ -201,7 +201,7 @@ wtfpl | fuck | do what the fuck you want to public license
 beerware | beer | beer ?ware license
 zlib | altered | altered source versions must be plainly marked as such
 zlib | zlib | zlib( libpng)? license
-libpng | libpng | (png reference library|libpng) license( version 2)?
+libpng | png | (png reference library|libpng) license( version 2)?
 openssl | openssl | openssl license
 sleepycat | sleepycat | sleepycat license
 postgresql | postgresql | postgresql license

@@ -172,7 +172,8 @@ def find_licenses(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     name = unique_name(docs.columns, "licenses")
     quoted = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     schema = ", ".join([*quoted, f"`{name}` struct<{_STRUCT}>"])
-    at = docs.columns.index(text)
+    columns = docs.columns
+    at = columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rules()
@@ -189,7 +190,7 @@ def find_licenses(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
                     names=["n_words", "detections", "score"],
                 )
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, told], names=[*docs.columns, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, told], names=[*columns, name])
 
     return docs.mapInArrow(scan, schema), name
 

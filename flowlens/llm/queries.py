@@ -151,3 +151,11 @@ def op12_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         ls.label_list(F.col(f"{state}.detections")).alias("labels"),
         F.col(f"{state}.score").alias("score"),
     )
+
+
+@register("op13_path_ranking_repair")
+def op13_path_ranking_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.llm import conversation_repair
+
+    report, _ = conversation_repair.repair_conversations(read_table(spark, sf_dir, "conversations"))
+    return report
