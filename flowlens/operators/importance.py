@@ -1,10 +1,8 @@
 """Permutation importance, single and grouped (ML-13, ML-14, AGG-24).
 
 All features × repeats are one long table scored by a single ``transform``
-and reduced by one aggregate; nothing loops over jobs per feature. A shuffled
-row carries its own features and its partner's, so the sample is not joined
-again. ``sample`` may be a whole table; pass a stored one, it is read several
-times.
+and reduced by one aggregate; nothing loops over jobs per feature. Rows are
+numbered and stored once; what moves per draw is (position, values).
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.metrics import binary_metrics
 from flowlens.operators.model import score
-from flowlens.operators.permutation import shuffled_partners
+from flowlens.operators.permutation import shuffled_rows
 
 
 def _f1(scored: DataFrame, group_by: Sequence[str]) -> DataFrame:
@@ -41,9 +39,10 @@ def permutation_importance(
     """F1 drop per feature: mean and population std over the repeats."""
     baseline = _f1(score(model, sample, label), [])
     draws = [{"feature": f, "repeat": r} for f in features for r in range(repeats)]
-    wide = shuffled_partners(sample.select(key, label, *features), draws, features, key, seed).select(
+    rows = shuffled_rows(sample.select(key, label, *features), draws, [[d["feature"]] for d in draws], key, seed)
+    wide = rows.select(
         "feature", "repeat", label,
-        *[F.when(F.col("feature") == f, F.col("_donor")[f]).otherwise(F.col(f).cast("double")).alias(f) for f in features],
+        *[F.when(F.col("feature") == f, F.col("_m0")).otherwise(F.col(f).cast("double")).alias(f) for f in features],
     )
     per_rep = _f1(score(model, wide, label), ["feature", "repeat"])
     drops = _with_baseline(per_rep, baseline).withColumn("drop", F.col("baseline_f1") - F.col("f1_score"))
@@ -67,12 +66,17 @@ def group_permutation_importance(
     baseline = _f1(score(model, sample, label), [])
     members = {g: [c for c in cols if c in features] for g, cols in groups.items()}
     members = {g: m for g, m in members.items() if m}
-    draws = [{"group": g} for g in members]
-    moved = {f: [g for g, m in members.items() if f in m] for f in features}
-    wide = shuffled_partners(sample.select(key, label, *features), draws, features, key, seed).select(
-        "group", label,
-        *[F.when(F.col("group").isin(moved[f]), F.col("_donor")[f]).otherwise(F.col(f).cast("double")).alias(f) for f in features],
-    )
+    rows = shuffled_rows(sample.select(key, label, *features), [{"group": g} for g in members], list(members.values()), key, seed)
+
+    def value(f: str):
+        """A feature's own value, or what its group moved here."""
+        out = F.col(f).cast("double")
+        for g, m in members.items():
+            if f in m:
+                out = F.when(F.col("group") == g, F.col(f"_m{m.index(f)}")).otherwise(out)
+        return out.alias(f)
+
+    wide = rows.select("group", label, *[value(f) for f in features])
     per_group = _f1(score(model, wide, label), ["group"]).withColumnRenamed("f1_score", "permuted_f1")
     about = F.create_map(
         *[x for g, m in members.items() for x in (F.lit(g), F.struct(F.lit(len(m)).alias("n_features"), F.lit(", ".join(m)).alias("features")))]

@@ -1,89 +1,118 @@
 """Seeded column permutations for permutation importance (WIN-10, WIN-11).
 
-A permutation is a position join: every row gets its position in a seeded
-order of the table, and, per (feature, repeat), the position of its partner in
-a second seeded order; the partner's value replaces its own. Positions come
-from ``ranking.dense_rank_in_group`` over the leading 60 bits of the seeded
-md5: rows are ranked inside key-range buckets of bounded size, so neither the
-whole table nor one (feature, repeat) is ever sorted in one task.
+Rows are numbered once, 0 .. n-1, in a seeded md5 order. A draw permutes the
+positions by arithmetic: a swap-or-not shuffle (Hoang, Morris, Rogaway 2012)
+takes ``ROUNDS`` rounds; in each, position x has the counterpart
+``y = (K - x) mod n`` and both change places if a keyed bit of ``max(x, y)`` is
+set. That is a permutation of 0 .. n-1 whatever n, and its expressions run in
+generated code and in any SQL engine. The value of the row at position x moves
+to position pi(x).
+
+So one range sort numbers the rows, whatever the number of draws, nothing is
+stored per draw, and an exchange carries (position, draw, moved values) only:
+a row's other columns travel once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.ranking import dense_rank_in_group, order_prefix, seeded_order
 
+ROUNDS = 8
+#: Prime modulus of the keyed bit; twice its square fits a long.
+PRIME = 2**31 - 1
+
+
+def numbered_rows(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, int]:
+    """``df`` stored with its position ``_pos`` in the seeded order, and n."""
+    ranked = dense_rank_in_group(df.withColumn("_order", order_prefix(seeded_order(seed, key))), [], "_order", "_pos")
+    return ranked.drop("_order"), ranked.count()
+
+
+def round_keys(seed: int, names: Sequence[object], rounds: int = ROUNDS) -> list[int]:
+    """60 bits of md5 per round of a draw with these names."""
+    text = "|".join(str(x) for x in (seed, *names))
+    return [int(hashlib.md5(f"{text}|{i}".encode()).hexdigest()[:15], 16) for i in range(rounds)]
 
-def _ranked(df: DataFrame, group_cols: Sequence[str], md5: Column, out: str) -> DataFrame:
-    """0-based position of each row of a group in md5 order."""
-    return dense_rank_in_group(df.withColumn("_order", order_prefix(md5)), group_cols, "_order", out).drop("_order")
 
+def _longs(values: Sequence[int]) -> str:
+    """A constant array of longs, entry ``_draw`` of it."""
+    return f"element_at(array({', '.join(f'{v}L' for v in values)}), _draw + 1)"
 
-def _positions(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return _ranked(df, [], seeded_order(seed, key), "_pos")
 
+def _permuted_position(df: DataFrame, keys: Sequence[Sequence[int]], n: int) -> DataFrame:
+    """``df`` (_pos, _draw, ...) with ``_pos`` replaced by pi(_pos) of its draw.
 
-def shuffled_partners(
-    sample: DataFrame, draws: Sequence[Mapping[str, object]], features: Sequence[str], key: str, seed: int = 42
+    Every round leaves through a generator of one row: a plain projection would
+    let predicates on the result (a join adds one) be rewritten in terms of the
+    rounds before, and each uses its position several times."""
+    rest = [c for c in df.columns if c != "_pos"]
+    for i in range(len(keys[0])):
+        own = [k[i] for k in keys]
+        other = f"(({_longs([h % n for h in own])} - _pos + {n}L) % {n}L)"
+        top = f"(greatest(_pos, {other}) % {PRIME}L)"
+        bit = f"({top} * {top} + {_longs([h % PRIME for h in own])} * {top} + {_longs([h // PRIME % PRIME for h in own])}) % {PRIME}L % 2L"
+        df = df.select(*rest, F.expr(f"explode(array(if({bit} = 1L, {other}, _pos))) AS _pos"))
+    return df
+
+
+def moved_values(
+    rows: DataFrame, n: int, draws: Sequence[Mapping[str, object]], moves: Sequence[Sequence[str]], seed: int = 42
 ) -> DataFrame:
-    """Every row once per draw, with the features of its partner row in the
-    struct ``_donor``. A draw is a mapping of column name to value; its values
-    seed a shuffle of its own. Rows are joined to partners on the position
-    alone, of which each occurs once per draw. ``sample`` should be a stored
-    table: it is read several times."""
-    pos = _positions(sample, key, seed)
-    names = list(draws[0])
-    choice = F.array(*[F.struct(*[F.lit(d[n]).alias(n) for n in names]) for d in draws])
-    drawn = pos.drop("_pos").withColumn("_draw", F.explode(choice)).select("*", "_draw.*").drop("_draw")
-    order = seeded_order(seed, *[F.col(n) for n in names], F.col(key))
-    target = _ranked(drawn, names, order, "_to")
-    donors = pos.select(
-        F.col("_pos").alias("_to"), F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_donor")
-    )
-    return target.join(donors, "_to").drop("_to")
-
-
-def permuted_long(
-    sample: DataFrame, features: Sequence[str], key: str, repeats: int = 5, seed: int = 42
+    """(_to, _draw, _m0, _m1, ...): for every row and draw the values of the
+    draw's columns, as doubles, and the position they move to. ``rows`` and
+    ``n`` are ``numbered_rows``."""
+    width = max(len(cols) for cols in moves)
+    none = F.lit(None).cast("double")
+    entries = [
+        F.struct(
+            F.lit(d).alias("_draw"),
+            *[(F.col(f"`{cols[i]}`").cast("double") if i < len(cols) else none).alias(f"_m{i}") for i in range(width)],
+        )
+        for d, cols in enumerate(moves)
+    ]
+    long = rows.select("_pos", F.inline(F.array(*entries)))
+    keys = [round_keys(seed, list(d.values())) for d in draws]
+    return _permuted_position(long, keys, max(n, 1)).withColumnRenamed("_pos", "_to")
+
+
+def shuffled_rows(
+    sample: DataFrame, draws: Sequence[Mapping[str, object]], moves: Sequence[Sequence[str]], key: str, seed: int = 42
 ) -> DataFrame:
+    """Every row once per draw: its columns, the draw's names and values, the
+    draw's number ``_draw`` and in ``_m0, _m1, ...`` the values its draw moves
+    here, in the order of ``moves``."""
+    rows, n = numbered_rows(sample, key, seed)
+    met = rows.join(moved_values(rows, n, draws, moves, seed), F.col("_pos") == F.col("_to"))
+    names = list(draws[0])
+    told = [F.element_at(F.array(*[F.lit(d[name]) for d in draws]), F.col("_draw") + 1).alias(name) for name in names]
+    return met.select(*sample.columns, *told, "_draw", *[c for c in met.columns if c.startswith("_m")])
+
+
+def permuted_long(sample: DataFrame, features: Sequence[str], key: str, repeats: int = 5, seed: int = 42) -> DataFrame:
     """(key, feature, repeat, value, permuted_value): each (feature, repeat) is
     an independent shuffle of that one column."""
-    pos = _positions(sample, key, seed)
-    long = pos.select(
-        key,
-        "_pos",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("_f"),
-    ).select(key, "_pos", "_f.feature", "_f.value")
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    long = long.select("*", reps)
-    target = _ranked(long, ["feature", "repeat"], seeded_order(seed, F.col("feature"), F.col("repeat"), F.col(key)), "_to")
-    donors = long.select("feature", "repeat", F.col("_pos").alias("_to"), F.col("value").alias("permuted_value"))
-    return target.join(donors, ["feature", "repeat", "_to"]).select(key, "feature", "repeat", "value", "permuted_value")
-
-
-def group_permuted_long(
-    sample: DataFrame, groups: Mapping[str, Sequence[str]], key: str, seed: int = 42
-) -> DataFrame:
+    draws = [{"feature": f, "repeat": r} for f in features for r in range(repeats)]
+    wide = shuffled_rows(sample.select(key, *features), draws, [[d["feature"]] for d in draws], key, seed)
+    own = F.element_at(F.array(*[F.col(f"`{f}`").cast("double") for f in features]), F.floor(F.col("_draw") / repeats).cast("int") + 1)
+    return wide.select(key, "feature", "repeat", own.alias("value"), F.col("_m0").alias("permuted_value"))
+
+
+def group_permuted_long(sample: DataFrame, groups: Mapping[str, Sequence[str]], key: str, seed: int = 42) -> DataFrame:
     """(key, group, feature, value, permuted_value): all columns of a group move
     together with one permutation of the rows (only existing columns used)."""
-    pos = _positions(sample, key, seed)
     present = {g: [c for c in cols if c in sample.columns] for g, cols in groups.items()}
-    entries = [
-        F.struct(F.lit(g).alias("group"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-        for g, cols in present.items()
-        for c in cols
+    present = {g: cols for g, cols in present.items() if cols}
+    used = list(dict.fromkeys(c for cols in present.values() for c in cols))
+    wide = shuffled_rows(sample.select(key, *used), [{"group": g} for g in present], list(present.values()), key, seed)
+    lists = [
+        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"), F.col(f"_m{i}").alias("moved")) for i, c in enumerate(cols)])
+        for cols in present.values()
     ]
-    long = pos.select(key, "_pos", F.explode(F.array(*entries)).alias("_e")).select(
-        key, "_pos", "_e.group", "_e.feature", "_e.value"
-    )
-    rows = pos.select(key, "_pos").withColumn("_g", F.explode(F.array(*[F.lit(g) for g in present])))
-    partner = _ranked(rows, ["_g"], seeded_order(seed, F.col("_g"), F.col(key)), "_to").select(
-        F.col(key).alias("_k"), F.col("_g").alias("group"), "_to"
-    )
-    t = long.join(partner, (long[key] == partner["_k"]) & (long["group"] == partner["group"])).drop(partner["group"]).drop("_k")
-    donors = long.select("group", "feature", F.col("_pos").alias("_to"), F.col("value").alias("permuted_value"))
-    return t.join(donors, ["group", "feature", "_to"]).select(key, "group", "feature", "value", "permuted_value")
+    each = wide.select(key, "group", F.explode(F.element_at(F.array(*lists), F.col("_draw") + 1)).alias("_e"))
+    return each.select(key, "group", "_e.feature", "_e.value", F.col("_e.moved").alias("permuted_value"))

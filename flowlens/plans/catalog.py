@@ -889,34 +889,33 @@ def q_subset_experiment_counts(spark, sf_dir):
     )
 
 
-_PERM_REPEATS = 2
+_PERM_REPEATS = 5
 
 
 def _perm_rows(spark, sf_dir):
     return V.v_line(spark, sf_dir).select("row_key", *V.LINE_FEATURES, "label")
 
 
-_PERM_SAMPLE_CTE = {"pos": "SELECT *, row_number() OVER (ORDER BY md5('42|' || row_key)) AS pos FROM v_line"}
+_PERM_POS = "SELECT *, row_number() OVER (ORDER BY md5('42|' || row_key)) - 1 AS pos, count(*) OVER () AS n FROM v_line"
 
 
 @register(
     "permuted_columns",
     O.with_views(
-        f"""SELECT t.row_key, t.feature, t.repeat, t.value, d.value AS permuted_value FROM (
-  SELECT row_key, feature, repeat, value,
-         row_number() OVER (PARTITION BY feature, repeat
-                            ORDER BY md5('42|' || feature || '|' || CAST(repeat AS VARCHAR) || '|' || row_key)) AS tgt
-  FROM lng) t
-JOIN lng d ON d.feature = t.feature AND d.repeat = t.repeat AND d.pos = t.tgt""",
+        f"""SELECT t.row_key, m.feature, m.repeat,
+  CASE m.feature {' '.join(f"WHEN '{f}' THEN CAST(t.{f} AS DOUBLE)" for f in V.LINE_FEATURES)} END AS value, m.moved AS permuted_value
+FROM x8 m JOIN pos t ON t.pos = m.x""",
         "v_line",
         ctes={
-            **_PERM_SAMPLE_CTE,
+            "pos": _PERM_POS,
+            "draws": f"""SELECT feature, CAST(repeat AS INTEGER) AS repeat, {O.draw_keys("'42|' || feature || '|' || CAST(repeat AS VARCHAR)")} AS keys
+FROM (VALUES {', '.join(f"('{f}')" for f in V.LINE_FEATURES)}) f(feature), range({_PERM_REPEATS}) r(repeat)""",
             "lng": " UNION ALL ".join(
-                f"SELECT row_key, pos, '{f}' AS feature, CAST(r.repeat AS INTEGER) AS repeat, CAST({f} AS DOUBLE) AS value "
-                f"FROM pos, range({_PERM_REPEATS}) r(repeat)"
-                for f in V.LINE_FEATURES
+                f"SELECT pos AS x, n, feature, repeat, keys, CAST({f} AS DOUBLE) AS moved FROM pos, draws WHERE feature = '{f}'" for f in V.LINE_FEATURES
             ),
+            **O.swap_or_not("lng"),
         },
+        materialized=("pos", "draws"),
     ),
 )
 def q_permuted_columns(spark, sf_dir):
@@ -924,28 +923,27 @@ def q_permuted_columns(spark, sf_dir):
 
 
 _LINE_GROUPS = {"price": ("l_extendedprice", "l_discount", "l_tax"), "size": ("l_quantity", "l_missing")}
+_LINE_PRESENT = {g: [f for f in fs if f in V.LINE_FEATURES] for g, fs in _LINE_GROUPS.items()}
 
 
 @register(
     "group_permuted_columns",
     O.with_views(
-        """SELECT t.row_key, t."group", t.feature, t.value, d.value AS permuted_value
-FROM lng t JOIN partner p ON p.row_key = t.row_key AND p."group" = t."group"
-JOIN lng d ON d."group" = t."group" AND d.feature = t.feature AND d.pos = p.tgt""",
+        " UNION ALL ".join(
+            f"""SELECT t.row_key, m."group", '{f}' AS feature, CAST(t.{f} AS DOUBLE) AS value, CAST(d.{f} AS DOUBLE) AS permuted_value
+FROM partner m JOIN pos t ON t.pos = m.x JOIN pos d ON d.pos = m.donor WHERE m."group" = '{g}'"""
+            for g, fs in _LINE_PRESENT.items()
+            for f in fs
+        ),
         "v_line",
         ctes={
-            **_PERM_SAMPLE_CTE,
-            "lng": " UNION ALL ".join(
-                f"SELECT row_key, pos, '{g}' AS \"group\", '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM pos"
-                for g, fs in _LINE_GROUPS.items()
-                for f in fs
-                if f in V.LINE_FEATURES
-            ),
-            "partner": " UNION ALL ".join(
-                f"SELECT row_key, '{g}' AS \"group\", row_number() OVER (ORDER BY md5('42|{g}|' || row_key)) AS tgt FROM pos"
-                for g in _LINE_GROUPS
-            ),
+            "pos": _PERM_POS,
+            "draws": f"""SELECT "group", {O.draw_keys("'42|' || \"group\"")} AS keys FROM (VALUES {', '.join(f"('{g}')" for g in _LINE_PRESENT)}) g("group")""",
+            "lng": 'SELECT pos AS x, pos AS donor, n, "group", keys FROM pos, draws',
+            **O.swap_or_not("lng"),
+            "partner": 'SELECT x, donor, "group" FROM x8',
         },
+        materialized=("pos", "draws", "partner"),
     ),
 )
 def q_group_permuted_columns(spark, sf_dir):

@@ -75,13 +75,29 @@ VIEWS = {
 }
 
 
-def with_views(body: str, *names: str, ctes: dict[str, str] | None = None) -> str:
+def with_views(body: str, *names: str, ctes: dict[str, str] | None = None, materialized: tuple[str, ...] = ()) -> str:
     """``WITH <views>, <ctes> <body>``; views first, extra CTEs in order."""
     parts = [f"{n} AS ({VIEWS[n]}\n)" for n in names]
-    parts += [f"{n} AS (\n{text}\n)" for n, text in (ctes or {}).items()]
+    parts += [f"{n} AS MATERIALIZED (\n{text}\n)" if n in materialized else f"{n} AS (\n{text}\n)" for n, text in (ctes or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
+def swap_or_not(rel: str, rounds: int = 8, prime: int = 2**31 - 1) -> dict[str, str]:
+    """CTEs x0 .. x<rounds>: positions ``x`` of ``rel`` (x, n, keys, ...) carried
+    through a swap-or-not shuffle, one round a CTE."""
+    out = {"x0": f"SELECT * FROM {rel}"}
+    for i in range(1, rounds + 1):
+        out[f"x{i}"] = f"""SELECT * EXCLUDE (x, other, top),
+  CASE WHEN (top * top + (keys[{i}] % {prime}) * top + (keys[{i}] // {prime}) % {prime}) % {prime} % 2 = 1 THEN other ELSE x END AS x
+FROM (SELECT *, greatest(x, other) % {prime} AS top FROM (SELECT *, (keys[{i}] % n - x + n) % n AS other FROM x{i - 1}) y) z"""
+    return out
+
+
+def draw_keys(text: str, rounds: int = 8) -> str:
+    """List of 60 bits of md5 per round, for the draw named by ``text``."""
+    return f"list_transform(range({rounds}), lambda i: CAST('0x' || substr(md5({text} || '|' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT))"
+
+
 def ratio(num: str, den: str) -> str:
     return f"CASE WHEN ({den}) = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST({num} AS DOUBLE) / ({den}) END"
 

@@ -243,7 +243,7 @@ def q_balanced_attribution(spark, sf_dir):
     return long.select("row_id", F.col("Label").cast("int").alias("Label"), "feature", (F.round("shap_value", 9) + F.lit(0.0)).alias("shap_value"))
 
 
-_REPEATS = 2
+_REPEATS = 5
 
 
 def _f1_of(rel: str, keys: str) -> str:
@@ -254,17 +254,22 @@ def _f1_of(rel: str, keys: str) -> str:
 
 _PERM_CTES = {
     **_FF_CTES,
-    "pos": "SELECT *, row_number() OVER (ORDER BY md5('42|' || row_id)) AS pos FROM v_flow",
+    "pos": "SELECT *, row_number() OVER (ORDER BY md5('42|' || row_id)) - 1 AS pos, count(*) OVER () AS n FROM v_flow",
     "base": _f1_of('(SELECT y_true AS y, attack_probability AS p FROM fs)', ""),
 }
-_MOVED = ", ".join(f"CASE WHEN list_contains(d.moved, '{f}') THEN o.{f} ELSE d.{f} END AS {f}" for f in FEATURES)
+_MOVED = ", ".join(f"CASE WHEN list_contains(m.moved, '{f}') THEN o.{f} ELSE d.{f} END AS {f}" for f in FEATURES)
 
 
-def _permuted_sql(draws: str, names: str, order: str) -> dict[str, str]:
+def _permuted_sql(draws: str, names: str, text: str) -> dict[str, str]:
+    """``draws``: VALUES rows of the names and the list of moved features;
+    ``text`` names a draw. Position x receives the features of the donor."""
+    own = ", ".join("m." + n.strip() for n in names.split(","))
     return {
-        "dr": f"SELECT pos.*, d.*, row_number() OVER (PARTITION BY {names} ORDER BY md5('42|' || {order} || '|' || row_id)) AS dest FROM pos CROSS JOIN (VALUES {draws}) d({names}, moved)",
+        "draws": f"SELECT *, {O.draw_keys(f"'42|' || {text}")} AS keys FROM (VALUES {draws}) d({names}, moved)",
+        "lng": f"SELECT pos AS x, pos AS donor, n, {names}, moved, keys FROM pos, draws",
+        **O.swap_or_not("lng"),
         "pm": f"""SELECT {names}, "Label" AS y, ({_T1} + {_T2} + {_T3}) / 3e0 AS p FROM (
-  SELECT {', '.join('d.' + n.strip() for n in names.split(','))}, d."Label", {_MOVED} FROM dr d JOIN pos o ON o.pos = d.dest) x""",
+  SELECT {own}, d."Label", {_MOVED} FROM x8 m JOIN pos d ON d.pos = m.x JOIN pos o ON o.pos = m.donor) x""",
         "fp": _f1_of("pm", names + ","),
     }
 
