@@ -20,18 +20,19 @@ falls with the edit distance, not only with the overlap of the two sets.
    partner it shares most sketches with; then the pairs that still join
    different classes.
 4. *Crowded buckets.* In a bucket of four or more nodes that are still in
-   several classes, pairs without an end were not looked at. Up to ``DIRECT``
-   nodes, all pairs of different classes and fitting lengths are verified (at
-   most ``DIRECT / 2`` a node). In larger buckets they are found by prefix
-   filters, which lose none: texts of edit similarity 0.8 have all but
-   ``d = floor(0.2 n)`` words and all but ``2 d`` runs of two words in common,
-   so each has one of its first ``d + 1`` words, and one of its first
-   ``2 d + 2`` runs, in common with the other, in any order of all words or
-   runs; here frequent ones are last. Every bucket takes the filter with fewer
-   pairs to compare; pairs within a class are not formed. What shares such a
-   word or run in a bucket, and has a fitting length, is verified. Together
-   with 3, any two nodes of one bucket are verified, known to be unlike, or in
-   one class already.
+   several classes, pairs without an end were not looked at. Up to ``GROUP``
+   nodes, a bucket is solved in one place: of all its pairs of different classes
+   and fitting lengths those are proposed whose histograms of words (and, in long
+   texts, of runs) leave room for the similarity; histograms bound the edit
+   distance from below, so no similar pair is lost. Larger buckets are dealt anew by the words
+   of their nodes, each node once whatever its buckets: texts of edit similarity
+   0.8 have all but ``d = floor(0.2 n)`` words in common, so each has one of its
+   first ``d + 1`` words in common with the other, in any order of all words;
+   here frequent ones are last. What is still larger is cut into blocks, and
+   every two blocks meet. Together with 3, any two nodes of one bucket are
+   verified, known to be unlike, or in one class already. Proposed pairs are
+   verified in rounds, each node's closest partner first; what has come to lie
+   in one class meanwhile need not be.
 5. *Classes.* Connected components of the accepted links, by label passing
    with pointer jumping; the class is named by its smallest document id.
 
@@ -61,7 +62,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, mix64, numbered, powers, rolling, small, text_slices, whitespace_table, word_hashes, word_spans
+from flowlens.llm.common import cut, mix64, numbered, powers, removed, rolling, small, text_slices, unique_name, whitespace_table, word_hashes, word_spans, written
 
 RUN = 2
 SHORT = 10
@@ -133,11 +134,43 @@ def _content(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-_SIGNED = "row bigint, id bigint, c1 bigint, c2 bigint, n int, sketches array<bigint>"
+#: Bins of a text's word histogram, one byte each; texts of more than LONG
+#: words also have one of their runs of two words, with a bin a run or more.
+BINS = 256
+LONG = 1024
+
+
+def _counted(hashes: np.ndarray, bins: int) -> np.ndarray:
+    return np.minimum(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % bins, minlength=bins), 255).astype(np.uint8)
+
+
+def histogram(words: np.ndarray) -> bytes:
+    """How many words, and runs in long texts, fall in each bin, 255 at most.
+    What one text has beyond another in its bins bounds their edits from below
+    (two runs an edit); a saturated bin only lowers the bound."""
+    runs = _counted(rolling(words, 2, 3), 1 << int(len(words) - 1).bit_length()) if len(words) > LONG else np.zeros(0, np.uint8)
+    return _counted(words, BINS).tobytes() + runs.tobytes()
+
+
+def folded(bins: np.ndarray, size: int) -> np.ndarray:
+    """A histogram brought down to ``size`` bins, a smaller power of two."""
+    if len(bins) == size:
+        return bins
+    return np.minimum(bins.reshape(-1, size).sum(0, dtype=np.int64), 255).astype(np.uint8)
+
+
+def runs_leave_room(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether two run histograms allow ``most`` edits."""
+    size = min(len(a), len(b))
+    a, b = folded(a, size), folded(b, size)
+    return max(int(a.sum(dtype=np.int64)), int(b.sum(dtype=np.int64))) - int(np.minimum(a, b).sum(dtype=np.int64)) <= 2 * most
+
+
+_SIGNED = "row bigint, id bigint, c1 bigint, c2 bigint, n int, sketches array<bigint>, bins binary"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(row, id, text) -> row, id, content hash, number of words, sketches."""
+    """(row, id, text) -> row, id, content hash, number of words, sketches, histogram."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,6 +190,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         pa.array(c2.view(np.int64)),
                         pa.array(np.diff(first).astype(np.int32)),
                         pa.array(sketches, type=pa.list_(pa.int64())),
+                        pa.array([histogram(words[first[d] : first[d + 1]]) for d in range(hi - lo)], type=pa.binary()),
                     ],
                     names=[c.split()[0] for c in _SIGNED.split(", ")],
                 )
@@ -164,136 +198,166 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, _SIGNED)
 
 
-_WORDED = "c1 bigint, c2 bigint, words binary"
-
-
 def word_lists(docs: DataFrame) -> DataFrame:
-    """(id, text) -> content hash and the words as 32-bit hashes."""
+    """(node, text) -> node and the words as 32-bit hashes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 starts, ends, first = word_spans(data, offsets, _WORD)
-                words = word_hashes(data, starts, ends)
-                c1, c2 = _content(words, first)
-                low = words.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array([low[first[d] : first[d + 1]].tobytes() for d in range(hi - lo)], type=pa.binary())],
-                    names=["c1", "c2", "words"],
-                )
+                low = word_hashes(data, starts, ends).astype(np.uint32)
+                lists = pa.array([low[first[d] : first[d + 1]].tobytes() for d in range(hi - lo)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["node", "words"])
 
-    return docs.mapInArrow(make, _WORDED)
+    return docs.mapInArrow(make, "node bigint, words binary")
 
 
 # ---------------------------------------------------------- crowded buckets ----
 
 
-#: Nodes of a bucket up to which all its pairs are formed.
-DIRECT = 256
-#: Most frequent items told to the prefix tasks. Any order of the items is
+#: Nodes of a group that one task solves.
+GROUP = 4096
+#: Bytes of histograms compared at once.
+_COMPARED = 8 << 20
+#: Most frequent words told to the prefix tasks. Any order of the words is
 #: exact; this one only keeps common passages out of the prefixes.
 FREQUENT = 200_000
-_KINDS = (1, 2)
 
 
-def _items(words: bytes, run: int) -> np.ndarray:
+def close_pairs(root: np.ndarray, n: np.ndarray, histograms: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a group that may be similar (different classes, fitting
+    lengths, histograms that leave room), and the bound on their edits as a share."""
+    order = np.argsort(n, kind="stable")
+    root, n = root[order], n[order]
+    whole = [np.frombuffer(histograms[i], np.uint8) for i in order]
+    bins = np.stack([h[:BINS] for h in whole])
+    filled = bins.sum(1, dtype=np.int64)
+    # row i meets longer rows j > i up to the last whose length fits
+    last = np.searchsorted(n - np.floor((1.0 - least) * n + 1e-9).astype(np.int64), n, side="right")
+    left, right, gaps, lo = [], [], [], 0
+    while lo < len(n):
+        hi = lo + 1
+        while hi < len(n) and (hi + 1 - lo) * (int(last[hi]) - lo) <= 1 << 20:
+            hi += 1
+        end = int(last[hi - 1])
+        i, j = np.arange(lo, hi)[:, None], np.arange(lo, end)[None, :]
+        met = (j > i) & (j < last[lo:hi, None]) & (root[lo:hi, None] != root[None, lo:end])
+        a, b = np.nonzero(met)
+        for at in range(0, len(a), _COMPARED // BINS):
+            x, y = a[at : at + _COMPARED // BINS] + lo, b[at : at + _COMPARED // BINS] + lo
+            common = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
+            edits = np.maximum(filled[x], filled[y]) - common
+            most = np.floor((1.0 - least) * n[y] + 1e-9)
+            room = edits <= most
+            for k in np.flatnonzero(room & (n[x] > LONG)):  # so y is long too
+                room[k] = runs_leave_room(whole[x[k]][BINS:], whole[y[k]][BINS:], int(most[k]))
+            gaps.append(edits[room] / np.maximum(n[y[room]], 1))
+            left.append(order[x[room]])
+            right.append(order[y[room]])
+        lo = hi
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none.astype(float), *gaps])
+
+
+def pairs_in_groups(grouped: DataFrame, about: DataFrame, least: float) -> DataFrame:
+    """(a, b, gap): proposed pairs of (key, node) groups of bounded size.
+    Groups are dealt by key and stream through their task in key order."""
+    rows = grouped.join(about, "node").select("key", "node", "root", "n", "bins")
+    sorted_ = rows.repartition("key").sortWithinPartitions("key")
+
+    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        node = t["node"].to_numpy()
+        i, j, gap = close_pairs(t["root"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["bins"].to_pylist(), least)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(gap)], names=["a", "b", "gap"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            for lo, hi in zip(edges, np.append(edges[1:], len(keys))):
+                if held and keys[lo] != now:
+                    yield solved(held)
+                    held = []
+                now = keys[lo]
+                held.append(batch.slice(int(lo), int(hi - lo)))
+        if held:
+            yield solved(held)
+
+    return sorted_.mapInArrow(work, "a bigint, b bigint, gap double").distinct()
+
+
+def _items(words: bytes) -> np.ndarray:
+    """A text's words with their occurrence numbers, as item hashes."""
     own = np.frombuffer(words, np.uint32).astype(np.uint64)
-    return labelled_items(mix64(own), run).view(np.int64) if len(own) >= run else np.zeros(0, np.int64)
+    return labelled_items(mix64(own), 1).view(np.int64) if len(own) else np.zeros(0, np.int64)
 
 
 def item_counts(words: DataFrame) -> DataFrame:
-    """(kind, item, times): how many texts have each word and run of two."""
+    """(item, times): how many texts have each word."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for kind in _KINDS:
-                each = [_items(w, kind) for w in f["words"]]
-                item, times = np.unique(np.concatenate([*each, np.zeros(0, np.int64)]), return_counts=True)
-                yield pd.DataFrame({"kind": np.int32(kind), "item": item, "times": times})
+            item, times = np.unique(np.concatenate([*(_items(w) for w in f["words"]), np.zeros(0, np.int64)]), return_counts=True)
+            yield pd.DataFrame({"item": item, "times": times})
 
-    return words.mapInPandas(count, "kind int, item bigint, times bigint").groupBy("kind", "item").agg(F.sum("times").alias("times"))
+    return words.mapInPandas(count, "item bigint, times bigint").groupBy("item").agg(F.sum("times").alias("times"))
 
 
 def prefixes(words: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
-    """(c1, c2, words) -> c1, c2, n, kind, item: the first items of each text,
-    ``frequent`` (in falling frequency) after all others."""
+    """(node, words) -> node, item: the first words of each text, ``frequent``
+    ones (in falling frequency) after all others."""
     order = np.argsort(frequent)
     told = words.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, place = told.value
         for f in frames:
-            for c1, c2, w in zip(f["c1"], f["c2"], f["words"]):
-                n = len(w) // 4
-                most = int(np.floor((1.0 - least) * n + 1e-9))
-                for kind in _KINDS:
-                    items = _items(w, kind)
-                    at = np.searchsorted(known, items)
-                    found = np.zeros(len(items), np.int64)
-                    if len(known):
-                        at = np.minimum(at, len(known) - 1)
-                        found = np.where(known[at] == items, len(known) - place[at], 0)
-                    take = items[np.lexsort((items, found))][: most + 1 if kind == 1 else 2 * most + 2]
-                    yield pd.DataFrame({"c1": c1, "c2": c2, "n": np.int32(n), "kind": np.int32(kind), "item": take})
-
-    return words.mapInPandas(_gathered(first), "c1 bigint, c2 bigint, n int, kind int, item bigint")
-
-
-def _gathered(make):
-    """Joins the small frames of ``make`` to larger ones."""
-
-    def out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for f in make(frames):
-            held.append(f)
-            size += len(f)
-            if size > 100_000:
-                yield pd.concat(held)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held)
-
-    return out
-
-
-def _met(x: DataFrame, y: DataFrame, on: list[str], least: float, once: bool) -> DataFrame:
-    """(a, b): pairs of different classes whose lengths fit: their edit distance
-    is the difference of the lengths at least. ``once``: x and y are the same."""
-    x = x.select(*on, F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    y = y.select(*on, F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
-    longer = F.greatest("nx", "ny")
-    fits = (F.col("rx") != F.col("ry")) & (longer - F.least("nx", "ny") <= F.floor(longer * (1.0 - least) + 1e-9))
-    met = x.join(y, on).where(fits & (F.col("x") < F.col("y")) if once else fits)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def crowded_pairs(members: DataFrame, state: DataFrame, words: DataFrame, least: float, direct: int = DIRECT) -> DataFrame:
-    """(a, b): pairs of different classes that share a bucket and may be
-    similar. ``members`` has the buckets (sketch, node, n) of four nodes or
-    more: up to three, the ends have met everyone."""
-    placed = members.join(state, "node", "left").select("sketch", "node", "n", F.coalesce("root", "node").alias("root"))
+            nodes, lists = [], []
+            for node, w in zip(f["node"], f["words"]):
+                items = _items(w)
+                found = np.zeros(len(items), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+                    found = np.where(known[at] == items, len(known) - place[at], 0)
+                lists.append(items[np.lexsort((items, found))][: int(np.floor((1.0 - least) * len(items) + 1e-9)) + 1])
+                nodes.append(np.full(len(lists[-1]), node))
+            if nodes:
+                yield pd.DataFrame({"node": np.concatenate(nodes), "item": np.concatenate(lists)})
+
+    return words.mapInPandas(first, "node bigint, item bigint")
+
+
+def crowded_pairs(members: DataFrame, state: DataFrame, nodes: DataFrame, words, least: float, group: int = GROUP) -> DataFrame:
+    """(a, b, gap): pairs of different classes that share a bucket and may be
+    similar. ``members`` has the buckets (sketch, node) of four nodes or more:
+    up to three, the ends have met everyone. ``nodes`` is (node, n, bins),
+    ``words`` gives the word lists of the nodes it is given."""
+    state = state.select("node", "root")
+    placed = members.join(state, "node", "left").select("sketch", "node", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("sketch").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
-    placed = cut(placed.join(open_.where(F.col("lo") != F.col("hi")).select("sketch", "size"), "sketch"))
-    few = placed.where(F.col("size") <= direct)
-    pairs = _met(few, few, ["sketch"], least, True)
-    placed = placed.where(F.col("size") > direct).select("sketch", "node", "root")
-    if not placed.limit(1).count():
-        return pairs.distinct()
-    nodes = small(cut(placed.select("node.c1", "node.c2").distinct()))
-    words = cut(words.join(nodes, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"]))
-    top = item_counts(words).where(F.col("times") > 1).orderBy(F.col("times").desc(), "kind", "item").limit(FREQUENT).select("item").toPandas()
-    first = prefixes(words, top["item"].to_numpy(np.int64), least).select(F.struct("c1", "c2").alias("node"), "n", "kind", "item")
-    spread = cut(placed.join(first, "node"))
-    # a group is what shares an item in a bucket; its largest class is only met
-    # by the others
-    by_class = spread.groupBy("sketch", "kind", "item", "root").agg(F.count(F.lit(1)).alias("c"))
-    group = by_class.groupBy("sketch", "kind", "item").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top")).where(F.col("all") > F.col("top.c"))
-    cost = group.groupBy("sketch", "kind").agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("top.c"))).alias("cost"))
-    # a bucket without a group of one kind has no similar pair at all
-    best = cost.groupBy("sketch").agg(F.min(F.struct("cost", "kind")).alias("m"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") == len(_KINDS))
-    group = group.join(best.select("sketch", F.col("m.kind").alias("kind")), ["sketch", "kind"]).select("sketch", "kind", "item", F.col("top.root").alias("largest"))
-    rows = cut(spread.join(group, ["sketch", "kind", "item"]).select("sketch", "item", "node", "root", "n", "largest"))
-    return pairs.union(_met(rows.where(F.col("root") != F.col("largest")), rows, ["sketch", "item"], least, False)).distinct()
+    open_ = cut(open_.where(F.col("lo") != F.col("hi")).select("sketch", "size"))
+    placed = cut(members.join(open_, "sketch").select("sketch", "node", "size"))
+    about = nodes.join(state, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "bins")
+    groups = placed.where(F.col("size") <= group).select(F.col("sketch").cast("string").alias("key"), "node")
+    large = cut(placed.where(F.col("size") > group).select("node").distinct())
+    if large.limit(1).count():
+        own = cut(words(large))
+        top = item_counts(own).where(F.col("times") > 1).orderBy(F.col("times").desc(), "item").limit(FREQUENT).select("item").toPandas()
+        first = cut(prefixes(own, top["item"].to_numpy(np.int64), least))
+        sizes = first.groupBy("item").agg(F.count(F.lit(1)).alias("size"))
+        sizes = sizes.where(F.col("size") > 1).withColumn("blocks", F.ceil(F.col("size") * 2 / group).cast("bigint"))
+        dealt = first.join(sizes, "item").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+        # group (i, j) has the rows of blocks i and j; i = j if there is one block
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        dealt = dealt.withColumn("other", other).where((F.col("blocks") <= 2) | (F.col("own") != F.col("other")))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        together = F.col("blocks") <= 2
+        key = F.concat_ws(":", F.lit("word"), "item", F.when(together, 0).otherwise(low), F.when(together, 0).otherwise(high))
+        within = dealt.where(~together | (F.col("other") == 0)).select(key.alias("key"), "node")
+        groups = groups.unionByName(within)
+    return pairs_in_groups(groups, about, least)
 
 
 # ------------------------------------------------------------- verification ----
@@ -308,27 +372,12 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(na[same], nb[at[same]]).sum())
 
 
-def _slide(a: np.ndarray, b: np.ndarray, row: np.ndarray, diag: np.ndarray) -> np.ndarray:
-    """Moves each row down its diagonal while the words agree."""
-    row = row.copy()
-    live = np.arange(len(row))
-    ahead = np.arange(32)
-    while len(live):
-        i = row[live, None] + ahead
-        j = i + diag[live, None]
-        ok = (i < len(a)) & (j < len(b)) & (j >= 0)
-        same = ok & (a[np.minimum(i, len(a) - 1)] == b[np.clip(j, 0, len(b) - 1)])
-        whole = same.all(1)
-        row[live] += np.where(whole, 32, same.argmin(1))
-        live = live[whole]
-    return row
-
-
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance over words if it is at most ``most``, else None.
 
-    Alignment inside a band of diagonals that widens by one per edit: for every
-    diagonal the furthest row reachable with e edits, e = 0, 1, ...
+    A banded alignment with bit vectors (Hyyro 2003): of every column only the
+    ``2 most + 1`` cells around the diagonal are kept, as differences of one bit
+    each, and a column costs a few operations on long integers.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -342,34 +391,37 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
             differ = a[len(a) - n :][::-1] != b[len(b) - n :][::-1]
             back = int(differ.argmax()) if differ.any() else n
             a, b = a[: len(a) - back], b[: len(b) - back]
-    if not len(a) or not len(b):
-        return max(len(a), len(b)) if max(len(a), len(b)) <= most else None
-    goal = len(b) - len(a)
-    reach = _slide(a, b, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
-    low = 0  # diagonal of reach[0]
-    for e in range(most + 1):
-        at = goal - low
-        if 0 <= at < len(reach) and reach[at] >= len(a):
-            return e
-        if e == most:
-            return None
-        wide = np.full(len(reach) + 4, -2, dtype=np.int64)
-        wide[2:-2] = reach
-        # from the diagonal above (a word of b skipped), the same one (a word
-        # replaced) and the one below (a word of a skipped)
-        row = np.maximum(np.maximum(wide[:-2], wide[1:-1] + 1), wide[2:] + 1)
-        low -= 1
-        diag = np.arange(low, low + len(row))
-        row = np.minimum(np.maximum(row, np.maximum(0, -diag)), np.minimum(len(a), len(b) - diag))
-        # diagonals from which the goal is out of reach are left out
-        left = most - e - 1
-        fine = (np.abs(diag - goal) <= left) & (row >= 0) & (row >= -diag)
-        first, last = int(fine.argmax()), len(fine) - int(fine[::-1].argmax())
-        if not fine.any():
-            return None
-        row, diag, low = row[first:last], diag[first:last], low + first
-        reach = _slide(a, b, row, diag)
-    return None
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a) if len(a) <= most else None
+    most = min(most, len(a))
+    width = 2 * most + 1
+    full = (1 << width) - 1
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    up, down = ((1 << (most + 1)) - 1) << most, 0  # vertical differences +1 and -1
+    distance, first = most, most + 1 - width  # in the lowest cell of the band; word of a at its highest
+    corner, edge = 1 << (width - 1), 1 << (width - 2) if width > 1 else 0
+    limit = most + len(b) - (len(a) - most)
+    for j, word in enumerate(b.tolist()):
+        match = places.get(word, 0)
+        match = (match << -first if first < 0 else match >> first) & full
+        zero = (((match & up) + up) ^ up | match | down) & full  # no cost along the diagonal
+        plus, minus = down | (zero | up) ^ full, zero & up  # horizontal differences
+        if j < len(a) - most:
+            if not zero & corner:
+                distance += 1
+                if distance > limit:
+                    return None
+        else:
+            distance += bool(plus & edge) - bool(minus & edge)
+            edge >>= 1
+        zero >>= 1
+        up, down = minus | (zero | plus) ^ full, zero & plus
+        first += 1
+    return distance if distance <= most else None
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -380,41 +432,51 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
         return longer == 0
     if longer - common_words(a, b) > most:
         return False
+    # an edit spoils two runs of two words at most
+    runs = lambda x: x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
+    if min(len(a), len(b)) > 1 and longer - 1 - common_words(runs(a), runs(b)) > 2 * most:
+        return False
     return edit_distance_within(a, b, most) is not None
 
 
-def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Accepted pairs (a1, a2, b1, b2) of proposed ones."""
-    schema = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+#: Pairs that a task aligns, about, where alignments are long.
+PAIRS_A_TASK = 256
+
+
+def verified(pairs: DataFrame, words: DataFrame, least: float, tasks: int | None = None) -> DataFrame:
+    """Accepted pairs (a, b) of proposed ones. ``tasks`` deals the alignments out:
+    a few bytes of pairs can be much work."""
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             fine = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in zip(f["wa"], f["wb"])]
-            yield f.loc[fine, ["a1", "a2", "b1", "b2"]]
+            yield f.loc[fine, ["a", "b"]]
 
-    b = words.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("words").alias("wb"))
-    a = words.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("words").alias("wa"))
-    return pairs.join(b, ["b1", "b2"]).join(a, ["a1", "a2"]).select("a1", "a2", "b1", "b2", "wa", "wb").mapInPandas(check, schema)
+    b = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
+    a = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
+    sides = pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb")
+    return (sides.repartition(tasks, "a", "b") if tasks else sides).mapInPandas(check, "a bigint, b bigint")
 
 
 # --------------------------------------------------------------- components ----
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) structs -> node, root: connected components, each named by its
-    smallest node. Every round takes the smallest root around, then the root's
-    root (pointer jumping), until nothing changes."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    state = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    """(a, b) -> node, root: connected components, each named by its smallest
+    node. Every round takes the smallest root around, then the root's root
+    (pointer jumping), until nothing changes; a finished round's files go."""
+    spark = links.sparkSession
+    both, edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "omh-links")
+    state, path = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "omh-state")
     while True:
         near = both.join(state.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("m"))
         step = state.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("next"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = cut(step.join(jump, "next").select("node", "root", F.least("next", "far").alias("new")))
-        moved = new.where(F.col("new") != F.col("root")).limit(1).count()
-        state = new.select("node", F.col("new").alias("root"))
-        if not moved:
+        new, after = written(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")), "omh-state")
+        removed(spark, path)
+        state, path = new.select("node", "root"), after
+        if not new.where("moved").limit(1).count():
+            removed(spark, edges)
             return state
 
 
@@ -422,82 +484,85 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, broadcast_rows: int = 1_000_000, direct: int = DIRECT
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, broadcast_rows: int = 1_000_000, group: int = GROUP
 ) -> DataFrame:
     """row, id, class_id and class_key per document; the key tells classes apart
     whose ids are null or repeated. The documents are numbered once and stored
     with their numbers."""
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return _near_duplicates(numbered(base, "row", "omh"), least, broadcast_rows, direct)
+    return _near_duplicates(numbered(base, "row", "omh"), least, broadcast_rows, group)
 
 
-def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows: int = 1_000_000, direct: int = DIRECT) -> DataFrame:
-    """(row, id, text), stored -> row, id, class_id, class_key."""
+def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows: int = 1_000_000, group: int = GROUP) -> DataFrame:
+    """(row, id, text), stored -> row, id, class_id, class_key. A node, the
+    documents of the same words, goes by the number of its first row."""
     base = base.select("row", "id", "text")
     signed = cut(signatures(base.where(F.col("text").isNotNull())))
-    nodes = signed.groupBy("c1", "c2").agg(F.min("id").alias("least_id"), F.min("row").alias("first_row"))
-    one = signed.join(nodes.select("c1", "c2", F.col("first_row").alias("row")), ["c1", "c2", "row"], "left_semi")
-    members = one.select(F.explode("sketches").alias("sketch"), F.struct("c1", "c2").alias("node"), "n")
+    nodes = cut(signed.groupBy("c1", "c2").agg(F.min("id").alias("least_id"), F.min("row").alias("node")))
+    one = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    members = one.select(F.explode("sketches").alias("sketch"), "node")
     ends = members.groupBy("sketch").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
     ends = cut(ends.where(F.col("lo") != F.col("hi")))
     crowded = members.join(ends.where(F.col("n") > 3).select("sketch"), "sketch")
     proposed = members.join(ends, "sketch").select("node", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("node") != F.col("end"))
-    pair = proposed.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"), "node")
     # how often each pair is proposed, at most once per sketch and end
-    counted = cut(pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")))
-    ids = signed.select("row", F.struct("c1", "c2").alias("node"))
-    wanted = counted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = cut(ids.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row"))
-    listed = small(rows, broadcast_rows)
-    texts = word_lists(base.join(listed, "row", "left_semi").select("id", "text"))
-
-    def flat(x: DataFrame) -> DataFrame:
-        return x.select(F.col("a.c1").alias("a1"), F.col("a.c2").alias("a2"), F.col("b.c1").alias("b1"), F.col("b.c2").alias("b2"))
-
-    def struct(x: DataFrame) -> DataFrame:
-        return x.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b"))
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        """Accepted ones of a few pairs: only the words of their nodes move."""
-        pairs = cut(flat(pairs))
-        sides = F.array(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))
-        nodes = small(cut(pairs.select(F.inline(sides)).distinct()), broadcast_rows)
-        return cut(struct(verified(pairs, texts.join(nodes, ["c1", "c2"], "left_semi"), least)))
+    counted = cut(proposed.groupBy(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+
+    def words(wanted: DataFrame) -> DataFrame:
+        """Word lists of some nodes."""
+        listed = small(wanted.select(F.col("node").alias("row")), broadcast_rows)
+        return word_lists(base.join(listed, "row", "left_semi").select(F.col("row").alias("node"), "text"))
+
+    def judged(pairs: DataFrame, crowded: bool = False) -> DataFrame:
+        """Accepted ones of proposed pairs: only the words of their nodes move."""
+        pairs = cut(pairs.select("a", "b"))
+        tasks = -(-pairs.count() // PAIRS_A_TASK) if crowded else None
+        own = words(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        return cut(verified(pairs, own, least, tasks))
 
     # round one: each node with the partner it meets most often
-    best = counted.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))).alias("e"), "times")
-    best = best.groupBy("e.n").agg(F.max_by("e.o", F.struct("times", "e.o")).alias("o"))
-    first = best.select(F.least("n", "o").alias("a"), F.greatest("n", "o").alias("b")).distinct()
-    links = cut(struct(verified(flat(first), texts, least)))
+    sides = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))
+    best = counted.select(F.explode(sides).alias("e"), "times").groupBy("e.n").agg(F.max_by("e.o", F.struct("times", "e.o")).alias("o"))
+    first = cut(best.select(F.least("n", "o").alias("a"), F.greatest("n", "o").alias("b")).distinct())
+    links = judged(first)
     state = components(links)
     # round two: what still joins different classes
-    root = lambda side: state.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    root = lambda side: state.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))  # noqa: E731  (of the state so far)
     rest = counted.select("a", "b").join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
-    more = judged(rest)
+    more = judged(rest.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))))
     if more.limit(1).count():
         links = links.union(more)
         state = components(links)
     # crowded buckets: what the ends left open
-    pairs = crowded_pairs(crowded, state, texts, least, direct).join(counted.select("a", "b"), ["a", "b"], "left_anti")
-    more = judged(pairs)
-    if more.limit(1).count():
-        state = components(links.union(more))
-    named = nodes.select(F.struct("c1", "c2").alias("node"), "least_id").join(state, "node", "left")
-    named = named.select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    open_pairs = crowded_pairs(crowded, state, one.select("node", "n", "bins"), words, least, group)
+    open_pairs = cut(open_pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti"))
+    for nearest_first in (True, True, True, False):
+        # each node's closest open partner, whose acceptance settles other pairs; at last all
+        joined = open_pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        open_pairs = cut(joined.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b", "gap"))
+        picked = open_pairs.select("a", "b")
+        if nearest_first:
+            best = open_pairs.select(F.explode(sides).alias("e"), "gap").groupBy("e.n").agg(F.min(F.struct("gap", "e.o")).alias("m"))
+            picked = cut(best.select(F.least("n", "m.o").alias("a"), F.greatest("n", "m.o").alias("b")).distinct())
+        if not picked.limit(1).count():
+            break
+        more = judged(picked, True)
+        open_pairs = open_pairs.join(picked, ["a", "b"], "left_anti")
+        if more.limit(1).count():
+            links = cut(links.union(more))
+            state = components(links)
+    named = nodes.join(state, "node", "left").select("c1", "c2", "least_id", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    key = F.concat_ws(":", F.col("root.c1").cast("string"), F.col("root.c2").cast("string"))
-    by_node = named.join(classes, "root").select(F.col("node.c1").alias("c1"), F.col("node.c2").alias("c2"), "class_id", key.alias("class_key"))
+    by_node = named.join(classes, "root").select("c1", "c2", "class_id", F.col("root").cast("string").alias("class_key"))
     told = signed.select("row", "id", "c1", "c2").join(by_node, ["c1", "c2"]).select("row", "id", "class_id", "class_key")
     alone = base.where(F.col("text").isNull())
-    alone = alone.select("row", "id", F.col("id").alias("class_id"), F.concat(F.lit("row "), F.col("row").cast("string")).alias("class_key"))
-    return told.unionByName(alone)
+    return told.unionByName(alone.select("row", "id", F.col("id").alias("class_id"), F.col("row").cast("string").alias("class_key")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: its smallest id (the first of
     several rows of that id); columns unchanged."""
-    row = "__omh_row"
+    row = unique_name(docs.columns, "row")
     held = numbered(docs, row, "omh")
     base = held.select(F.col(row).alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     found = cut(_near_duplicates(base, **options))

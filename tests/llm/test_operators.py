@@ -142,8 +142,8 @@ def test_crowded_bucket_finds_pairs_without_an_end(spark):
     order = rng.permutation(300)
     rows = [(int(d), " ".join(passage + tails[d])) for d in order]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-    for direct in (1000, 20):
-        got = {r["id"]: r["class_id"] for r in near_duplicates(docs, direct=direct).collect()}
+    for group in (4096, 20, 4):  # one group; dealt by words; words dealt in blocks
+        got = {r["id"]: r["class_id"] for r in near_duplicates(docs, group=group).collect()}
         assert got == {d: d - d % 2 if d < 40 else d for d in range(300)}
 
 
