@@ -507,9 +507,10 @@ from flowlens.operators import profile as P  # noqa: E402
 from flowlens.operators import sampling as S  # noqa: E402
 
 _MD5_ROW = "md5('42|' || CAST(row_id AS VARCHAR))"
-_CAP = 100
-_BALANCED_CAP = 500
-_BOUNDED_N = 2000
+_CAP = S.MAX_SAMPLES_PER_SOURCE_LABEL  # 50,000, as in the study
+_BALANCED_CAP = 5_000  # rows of a class, as in the study
+_FAMILY_CAP = 2_000  # rows of a family
+_BOUNDED_N = 20_000
 
 
 def _flow_cols_sql() -> str:
@@ -548,12 +549,12 @@ def q_balanced_sample(spark, sf_dir):
     O.with_views(
         f"""SELECT {_flow_cols_sql()} FROM (
   SELECT *, row_number() OVER (PARTITION BY attack_family ORDER BY {_MD5_ROW}) AS rn FROM v_flow) s
-WHERE rn <= {_BALANCED_CAP}""",
+WHERE rn <= {_FAMILY_CAP}""",
         "v_flow",
     ),
 )
 def q_family_sample(spark, sf_dir):
-    return S.capped_sample(V.v_flow(spark, sf_dir), ["attack_family"], _BALANCED_CAP)
+    return S.capped_sample(V.v_flow(spark, sf_dir), ["attack_family"], _FAMILY_CAP)
 
 
 @register(

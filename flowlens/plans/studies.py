@@ -218,7 +218,7 @@ def q_fixed_forest_local_examples(spark, sf_dir):
     )
 
 
-BALANCED_CAP = 2000  # rows of each class, as in the study
+BALANCED_CAP = Q._BALANCED_CAP  # rows of each class
 
 
 @register(
@@ -495,11 +495,8 @@ def _capture_folder(spark, sf_dir):
 
 
 def _prepared_captures(spark, sf_dir):
-    captures = FC.read_directory(spark, _capture_folder(spark, sf_dir))
-    raw, candidates, absent = FC.union_captures(captures)
-    return C.prepare_flows(
-        raw, "captures", candidates, duplicate_columns={c.name: c.duplicates for c in captures}, absent=absent, files=[c.name for c in captures]
-    )
+    scan = FC.scan_directory(spark, _capture_folder(spark, sf_dir))
+    return C.prepare_flows(scan.data, "captures", scan.candidates, duplicate_columns=scan.duplicates, absent=scan.absent, files=scan.names)
 
 
 @register(
@@ -536,6 +533,31 @@ def q_csv_report_totals(spark, sf_dir):
     )
 
 
+@register(
+    "file_report",
+    O.with_views(
+        """SELECT 'ok' AS status, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS positions FROM v_raw
+UNION ALL SELECT 'no label', 0, 0 UNION ALL SELECT 'empty', 0, 0""",
+        "v_raw",
+    ),
+)
+def q_file_report(spark, sf_dir):
+    """SRC-5, WIN-1: files of the raw rows next to one without a label column
+    and one without a line; positions in a file must be 0 .. n-1."""
+    raw = V.v_raw(spark, sf_dir)
+    folder = _folder(spark, "reported")
+    told = raw.select(F.col("c_user").alias("Dst Port"), F.col("label").alias("Label"))
+    told.write.option("header", True).option("encoding", FC.ENCODING).csv(folder)
+    raw.limit(0).select(F.col("c_k").alias("Flow Duration")).write.mode("append").option("header", True).csv(folder)
+    blank = raw.limit(1).select(F.lit("  ").alias("Label")).write.mode("append")
+    blank.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    scan = FC.scan_directory(spark, folder, strict=False)
+    gapless = (F.min("source_row") == 0) & (F.max("source_row") == F.count(F.lit(1)) - 1) & (F.countDistinct("source_row") == F.count(F.lit(1)))
+    placed = scan.data.groupBy(F.col("source_file").alias("file")).agg(F.when(gapless, F.count(F.lit(1))).alias("positions"))
+    report = scan.files.join(placed, "file", "left").groupBy("status")
+    return report.agg(F.sum("rows").alias("rows"), F.coalesce(F.sum("positions"), F.lit(0)).cast("bigint").alias("positions"))
+
+
 @register(
     "legacy_clean_rows",
     O.with_views(
