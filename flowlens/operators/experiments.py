@@ -92,6 +92,18 @@ def attack_study(
     return m.select(F.lit(target).alias("study"), F.lit(train.count()).cast("bigint").alias("train_rows"), *m.columns)
 
 
+def planned_experiments(features: Sequence[str], fragment: str = "port") -> dict[str, tuple[str, ...]]:
+    """ML-6, PRJ-18: feature list per experiment. The destination port is looked
+    up by a part of its name; without one its experiment is left out."""
+    from flowlens.functions.names import find_column
+
+    plan = {"Baseline": tuple(features)}
+    port = find_column(list(features), fragment)
+    if port is not None:
+        plan["No Destination Port"] = tuple(f for f in features if f != port)
+    return plan
+
+
 def feature_experiments(
     train: DataFrame, test: DataFrame, experiments: dict[str, Sequence[str]], seeds: Sequence[int] = SEEDS, **forest
 ) -> DataFrame:

@@ -1104,33 +1104,9 @@ def q_multi_seed(spark, sf_dir):
     return XP.seed_summary(per_seed)
 
 
-_ABLATED = ("user_id",)
-
-
-@register("feature_ablation")
-def q_feature_ablation(spark, sf_dir):
-    train, test = _flow_split(spark, sf_dir)
-    kept = tuple(f for f in V.FLOW_FEATURES if f not in _ABLATED)
-    a = M.threshold_sweep(ML.score(_fit(train), test)).select("dataset", "threshold", *_CMP_COLS)
-    b = M.threshold_sweep(ML.score(_fit(train, kept), test)).select("dataset", "threshold", *_CMP_COLS)
-    return ST.compare_on(a, b, ["dataset", "threshold"])
-
-
 _FLOW_GROUPS = {"time": ("hour",), "volume": ("value", "k"), "identity": ("user_id",)}
 
 
-@register("group_ablation")
-def q_group_ablation(spark, sf_dir):
-    train, test = _flow_split(spark, sf_dir)
-    out = None
-    for g, cols in _FLOW_GROUPS.items():
-        kept = tuple(f for f in V.FLOW_FEATURES if f not in cols)
-        m = M.binary_metrics(ML.score(_fit(train, kept, balanced=False), test), extended=False)
-        m = m.select(F.lit(g).alias("removed_group"), F.lit(len(kept)).alias("n_features"), *m.columns)
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
 @register("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
     """Over the whole test split."""
@@ -1138,13 +1114,6 @@ def q_permutation_importance(spark, sf_dir):
     return IM.permutation_importance(_fit(train), test, V.FLOW_FEATURES, "row_id")
 
 
-@register("group_permutation_importance")
-def q_group_permutation_importance(spark, sf_dir):
-    """Over the whole test split."""
-    train, test = _flow_split(spark, sf_dir)
-    return IM.group_permutation_importance(_fit(train), test, _FLOW_GROUPS, V.FLOW_FEATURES, "row_id")
-
-
 def _attribution(spark, sf_dir):
     """Attributions of every row of the test split."""
     train, test = _flow_split(spark, sf_dir)

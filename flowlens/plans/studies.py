@@ -365,14 +365,6 @@ def q_trained_attribution_sums(spark, sf_dir):
     return both.select("row_id", "features", _flag(gap < 1e-6).alias("additive"))
 
 
-@register("feature_experiments")
-def q_feature_experiments(spark, sf_dir):
-    """ML-6: all features against those without the port's stand-in, by seeds."""
-    train, test = Q._flow_split(spark, sf_dir)
-    lists = {"Baseline": FEATURES, "No Destination Port": tuple(f for f in FEATURES if f not in Q._ABLATED)}
-    return XP.feature_experiments(train, test, lists, num_trees=Q._TREES, max_depth=Q._DEPTH)
-
-
 def _split_sizes_sql(rel: str) -> str:
     """Train and test sizes and class totals of a split stratified on y."""
     return f"""SELECT CAST(sum(c - test_q) AS BIGINT) AS train_rows, CAST(sum(test_q) AS BIGINT) AS samples,
