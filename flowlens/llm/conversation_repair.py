@@ -56,6 +56,8 @@ CHUNK = 1 << 14
 BLOCK = 1 << 14
 #: Rows of a range partition, about.
 RANGE_ROWS = 1_000_000
+#: Rows that a task repairs, about.
+REPAIR_ROWS = 8_192
 
 #: Codes of a row: two bits for the initial, then flags.
 OTHER, SYSTEM, USER, ASSISTANT = range(4)
@@ -265,15 +267,16 @@ def row_code(role: str, text: str) -> Column:
     return (first + F.when(blank, MUST_GO).when(~ended, TRUNCATED).otherwise(0)).cast("int")
 
 
-def _placed(slim: DataFrame) -> DataFrame:
+def _placed(slim: DataFrame) -> tuple[DataFrame, int]:
     """Rows in order, with ``place``: consecutive inside a range partition, so
-    the rows of a conversation are in order of place. Stored."""
+    the rows of a conversation are in order of place. Stored. And how many tasks
+    the repair of so many rows should have: codes are few bytes but much work."""
     rows = slim.count()
     order = ["conv_id", "turn", "role", "hash", "rid", "nth"]
     parts = max(1, -(-rows // RANGE_ROWS))
     parts = max(parts, min(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 4096)))
     inside = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return stored(inside.withColumn("place", F.monotonically_increasing_id()), "repair-placed")
+    return stored(inside.withColumn("place", F.monotonically_increasing_id()), "repair-placed"), max(1, -(-rows // REPAIR_ROWS))
 
 
 _CUTS = pa.list_(pa.struct([("chunk", pa.int64()), ("edits", pa.list_(pa.int8()))]))
@@ -370,7 +373,7 @@ def repair_conversations(conversations: DataFrame, chunk_rows: int = CHUNK) -> t
     slim = rows.where(F.col("copies") > 0).select(
         "rid", "conv_id", "turn", "role", F.md5("text").alias("hash"), row_code("role", "text").alias("code"), F.explode(F.sequence(F.lit(1), "copies")).alias("nth")
     )
-    placed = _placed(slim)
+    placed, tasks = _placed(slim)
     # the first of equal rows of a conversation
     first = placed.groupBy("conv_id", "role", "hash").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("first"))
     blank = F.col("code").bitwiseAND(F.lit(MUST_GO)) != 0
@@ -391,7 +394,7 @@ def repair_conversations(conversations: DataFrame, chunk_rows: int = CHUNK) -> t
     convs = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "codes"))).alias("parts")).select(
         "conv_id", F.col("parts.chunk").alias("chunks"), F.transform("parts.codes", F.size).alias("sizes"), F.flatten("parts.codes").alias("codes")
     )
-    scripts = stored(_scripts(convs), "repair-scripts")
+    scripts = stored(_scripts(convs.repartition(tasks, "conv_id")), "repair-scripts")
     cuts = scripts.select(F.col("conv_id").alias("c"), F.explode("cuts").alias("cut")).select("c", F.col("cut.chunk").alias("k"), F.col("cut.edits").alias("edits"))
     zipped = pieces.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
     each = zipped.select("conv_id", "chunk", F.posexplode(F.arrays_zip("rids", "edits")).alias("at", "e"))

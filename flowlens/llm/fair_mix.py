@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import WHITESPACE_WORD, cut, numbered, word_count
+from flowlens.llm.common import WHITESPACE_WORD, cut, numbered, unique_name, word_count
 
 BUCKET_DIGITS = 3
 MAX_PASSES = 2
@@ -145,16 +145,16 @@ def fair_mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, a document once for each pass
-    that takes words of it, the last document of a source cut after its share,
-    globally sorted by virtual finish time. The documents are numbered once and
-    stored with their numbers."""
+    that takes words of it, the last document of a source cut after its share.
+    The documents are numbered once and stored with their numbers; only numbers
+    and shares are scheduled, and each text moves once."""
     text = options.get("text", "text")
-    row = "__mix_row"
+    row = unique_name(docs.columns, "mix_row")
+    share = unique_name([*docs.columns, row], "mix_share")
     held = numbered(docs, row, "mix")
     plan = fair_mix(held, number=row, **options).where(F.col("taken") > 0)
-    plan = plan.select(F.col("row").alias(row), F.posexplode(F.arrays_zip("parts", "finish")).alias("__turn", "__p"), F.col("size").alias("__size"))
-    plan = plan.where(F.col("__p.parts") > 0)
-    whole = held.join(plan, row)
-    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WHITESPACE_WORD})"), F.lit(1)), 1, F.col("__p.parts").cast("int"))
-    cut = F.when(F.col("__p.parts") < F.col("__size"), F.array_join(words, " ")).otherwise(F.col(text))
-    return whole.withColumn(text, cut).orderBy("__p.finish", row, "__turn").select(*docs.columns)
+    plan = plan.select(F.col("row").alias(row), F.explode(F.transform("parts", lambda p: F.struct(p.alias("words"), F.col("size").alias("size")))).alias(share))
+    whole = held.join(plan.where(F.col(f"{share}.words") > 0), row)
+    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WHITESPACE_WORD})"), F.lit(1)), 1, F.col(f"{share}.words").cast("int"))
+    kept = F.when(F.col(f"{share}.words") < F.col(f"{share}.size"), F.array_join(words, " ")).otherwise(F.col(text))
+    return whole.withColumn(text, kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -332,6 +332,7 @@ def test_feistel_numbers_repeated_and_null_rows(odd):
 
 def test_fair_mix_targets_and_taken(spark, odd, none):
     from flowlens.llm.fair_mix import fair_mix, mixed_documents
+    from flowlens.llm.omh_dedup import keep_one
 
     rows = fair_mix(odd).collect()
     sizes, targets, taken = {}, {}, {}
@@ -355,6 +356,10 @@ def test_fair_mix_targets_and_taken(spark, odd, none):
             left.remove(s)
     for s in names:
         assert abs(targets[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 2
+    clash = odd.withColumn("mix_row", F.lit("mine")).withColumn("mix_share", F.lit(7)).withColumn("row", F.lit("r"))
+    assert {(r["mix_row"], r["mix_share"], r["row"]) for r in mixed_documents(clash).collect()} == {("mine", 7, "r")}
+    kept = keep_one(clash).collect()
+    assert kept and {(r["mix_row"], r["row"]) for r in kept} == {("mine", "r")}
     mixed = mixed_documents(odd)
     assert mixed.columns == odd.columns
     assert sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(taken.values())
