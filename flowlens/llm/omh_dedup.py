@@ -439,6 +439,25 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return edit_distance_within(a, b, most) is not None
 
 
+def with_room(pairs: DataFrame, about: DataFrame, least: float) -> DataFrame:
+    """(a, b) of proposed pairs whose word histograms leave room for the
+    similarity, so that only their words need to move."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _COMPARED // BINS):
+                batch = whole.slice(lo, _COMPARED // BINS)
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+                longer = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+                filled = np.maximum(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64))
+                room = filled - np.minimum(x, y).sum(1, dtype=np.int64) <= np.floor((1.0 - least) * longer + 1e-9)
+                yield batch.filter(pa.array(room)).select(["a", "b"])
+
+    slim = about.select("node", "n", F.substring("bins", 1, BINS).alias("bins"))
+    side = lambda c: slim.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(check, "a bigint, b bigint")
+
+
 #: Pairs that a task aligns, about, where alignments are long.
 PAIRS_A_TASK = 256
 
@@ -515,7 +534,7 @@ def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows:
 
     def judged(pairs: DataFrame, crowded: bool = False) -> DataFrame:
         """Accepted ones of proposed pairs: only the words of their nodes move."""
-        pairs = cut(pairs.select("a", "b"))
+        pairs = cut(pairs.select("a", "b") if crowded else with_room(pairs.select("a", "b"), one, least))
         tasks = -(-pairs.count() // PAIRS_A_TASK) if crowded else None
         own = words(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         return cut(verified(pairs, own, least, tasks))
@@ -536,7 +555,7 @@ def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows:
     # crowded buckets: what the ends left open
     open_pairs = crowded_pairs(crowded, state, one.select("node", "n", "bins"), words, least, group)
     open_pairs = cut(open_pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti"))
-    for nearest_first in (True, True, True, False):
+    for nearest_first in (True, False):
         # each node's closest open partner, whose acceptance settles other pairs; at last all
         joined = open_pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
         open_pairs = cut(joined.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b", "gap"))
