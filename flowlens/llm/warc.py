@@ -18,7 +18,7 @@ in the result. The manifest is checkpointed, so reading never re-runs writes.
 
 Scale: chunks of one record stay in the task that holds the page, files are
 closed at ``file_bytes``; reading is one task per file. What is shuffled is
-the slim (digest, id) table and, once, the pages beside their record type.
+the slim (digest, id, url) table and each distinct payload once per task.
 
 Defined cases: a null payload is an empty payload; payloads of 0 bytes are
 equal payloads as any other; a null page id sorts before all ids and may be
@@ -49,6 +49,7 @@ CHUNK_CHARS = 256 * 1024
 READ_BYTES = 256 * 1024
 FILE_BYTES = 256 * 1024 * 1024
 GZIP_LEVEL = 4
+COPY_BLOCK = 100_000
 CRLF = b"\r\n"
 
 MANIFEST = "file string, records bigint, bytes bigint"
@@ -67,41 +68,57 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def record_types(pages: DataFrame, page_id: str = "page_id", payload: str = "html", url: str = "url") -> DataFrame:
-    """One row per page: row, page_id, url, payload, bytes, sha1 (hex),
+    """One row per page: copy, page_id, url, payload, bytes, sha1 (hex),
     record_type and refers_to.
 
-    The winner per payload is an aggregate with a map-side part, so a payload
-    shared by a third of all pages is one row per task before the shuffle.
+    Rows are told apart by their data alone, so scans that are split in other
+    ways cannot change a type. One aggregate by payload, with a map-side part,
+    gives each payload once beside its response (largest page id, then url); the
+    other pages are counted by (payload, id, url), without the response itself,
+    and written once per count. A payload shared by a third of all pages is one
+    row per task before the shuffle.
     """
     base = pages.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(page_id).cast("bigint").alias("page_id"),
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"),
     )
-    slim = base.select("row", "page_id", F.sha1(F.encode("payload", "UTF-8")).alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    first = slim.groupBy("sha1", "bytes").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("real"), "page_id", "row")).alias("w"))
-    typed = slim.join(first, ["sha1", "bytes"]).select(
-        "row",
-        "sha1",
-        "bytes",
-        F.when(F.col("w.row") == F.col("row"), "response").otherwise("revisit").alias("record_type"),
-        F.when(F.col("w.row") != F.col("row"), F.col("w.page_id")).alias("refers_to"),
+    base = base.select("*", F.sha1(F.encode("payload", "UTF-8")).alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
+    # the flags put null ids and null urls first, whatever the values are
+    order = F.struct(F.col("page_id").isNotNull().alias("has_id"), "page_id", F.col("url").isNotNull().alias("has_url"), "url")
+    best = F.max(order).alias("w")
+    responses = base.groupBy("sha1", "bytes").agg(best, F.first("payload").alias("payload"))
+    responses = responses.select(
+        F.lit(0).cast("bigint").alias("copy"), F.col("w.page_id").alias("page_id"), F.col("w.url").alias("url"), "payload", "sha1", "bytes",
+        F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"),
     )
-    # revisits carry no payload: only responses need theirs again
-    return base.join(typed, "row").withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("")))
+    counted = base.groupBy("sha1", "bytes", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    winners = base.groupBy("sha1", "bytes").agg(best)
+    same = F.col("page_id").eqNullSafe(F.col("w.page_id")) & F.col("url").eqNullSafe(F.col("w.url"))
+    others = counted.join(winners, ["sha1", "bytes"]).withColumn("n", F.col("n") - same.cast("bigint")).where("n > 0")
+    # repeated rows are dealt out in blocks: no list of copies is longer than COPY_BLOCK
+    blocks = others.withColumn("from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(COPY_BLOCK).cast("bigint"))))
+    copies = F.sequence(F.col("from"), F.least(F.col("n"), F.col("from") + (COPY_BLOCK - 1)))
+    revisits = blocks.withColumn("copy", F.explode(copies)).select(
+        "copy", "page_id", "url", F.lit("").alias("payload"), "sha1", "bytes",
+        F.lit("revisit").alias("record_type"), F.col("w.page_id").alias("refers_to"),
+    )
+    return responses.unionByName(revisits)
 
 
 def chunk_rows(records: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Record rows -> chunk rows; chunks of a record are adjacent and in order."""
+    """Record rows -> chunk rows; chunks of a record are adjacent and in order.
+    One pass over a payload cuts all its pieces."""
+    pieces = F.regexp_extract_all("payload", F.lit(f"(?s)(.{{1,{int(chunk_chars)}}})"), F.lit(1))
+    pieces = F.when(F.col("payload") == "", F.array(F.lit(""))).otherwise(pieces)
     last = F.greatest(F.lit(0), F.expr(f"(char_length(payload) - 1) div {int(chunk_chars)}")).cast("int")
-    rows = records.withColumn("last_chunk", last).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last_chunk"))))
-    piece = F.substring(F.col("payload"), F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars))
-    return rows.withColumn("piece", piece).drop("payload")
+    rows = records.withColumn("last_chunk", last)
+    kept = [c for c in rows.columns if c != "payload"]
+    return rows.select(*kept, F.posexplode(pieces).alias("chunk", "piece"))
 
 
 def _header(r, stored: int) -> bytes:
-    uid = uuid.UUID(bytes=hashlib.md5(f"{r.page_id}|{r.row}".encode()).digest())
+    uid = uuid.UUID(bytes=hashlib.md5(f"{r.page_id}|{r.sha1}|{r.url}|{r.copy}|{r.record_type}".encode()).digest())
     head = [
         b"WARC/1.1",
         f"WARC-Type: {r.record_type}".encode(),

@@ -244,6 +244,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.page_records(pages.where("false")).count() == 0
 
 
+def test_warc_types_follow_the_data(spark, monkeypatch):
+    """Repeated rows, ids with several urls, other splits and clashing names."""
+    from flowlens.llm import warc
+
+    monkeypatch.setattr(warc, "COPY_BLOCK", 3)
+    rows = [(9, "u", "p")] * 8 + [(9, None, "p"), (9, "v", "p"), (None, "z", "p"), (8, "u", "q")] + [(None, "u", "")] * 2
+    extra = ["row", "copy", "sha1", "bytes", "w", "n", "from", "payload", "chunk", "piece", "last_chunk", "record_type"]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in extra])
+    want = sorted([(9, "response", None)] + [(9, "revisit", 9)] * 9 + [(0, "revisit", 9), (8, "response", None), (0, "response", None), (0, "revisit", None)], key=str)
+    for parts in (1, 5):
+        typed = warc.record_types(pages.repartition(parts))
+        assert sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in typed.collect()), key=str) == want
+        assert typed.where("record_type = 'response' and page_id = 9").first()["url"] == "v"
+        assert typed.select("page_id", "url", "sha1", "copy", "record_type").distinct().count() == len(rows)
+    got = warc.page_records(pages).collect()
+    assert sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got), key=str) == want
+
+
+def test_warc_pieces_join_to_the_payload(spark):
+    from flowlens.llm import warc
+
+    texts = ["", "a", "\n\r\n", "é\U0001f600" * 7, "x" * 21]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, payload string")
+    got = {}
+    for r in warc.chunk_rows(rows, 7).orderBy("i", "chunk").collect():
+        assert len(r["piece"]) <= 7 and r["chunk"] <= r["last_chunk"]
+        got.setdefault(r["i"], []).append(r["piece"])
+    assert ["".join(got[i]) for i in range(len(texts))] == texts
+    assert [len(got[i]) for i in range(len(texts))] == [1, 1, 1, 2, 3]
+
+
 # --------------------------------------------------------- 4 decontamination ----
 
 
