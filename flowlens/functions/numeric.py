@@ -22,6 +22,9 @@ NA_TOKENS = (
     "nan", "null",
 )
 
+# The characters of the pattern \\s.
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 # A cell counts as a number when it is a decimal/scientific literal or an
 # infinity token; anything else (e.g. "1d", "abc") is not. Java's parser
 # would accept "1d"/"1f", so the pattern guards the cast.
@@ -45,9 +48,9 @@ def parse_thresholds(raw: str | Iterable[float]) -> list[float]:
 
 
 def strip_blanks(text: Column) -> Column:
-    """Without leading and trailing white space of any kind (``trim`` only
-    knows the blank)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without leading and trailing white space of any kind (``trim`` alone
+    only knows the blank)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_missing_text(cell: Column) -> Column:
@@ -59,15 +62,15 @@ def coerce_number(cell: Column) -> Column:
     """Text cell → DOUBLE; NULL when missing or not a number; ±Inf kept.
 
     Mirrors ``to_numeric(errors='coerce')``: surrounding blanks are allowed,
-    NA tokens give NULL (NaN there), '1d' is not a number.
+    NA tokens give NULL (NaN there), '1d' is not a number. The cast itself
+    skips surrounding blanks, so a cell that passes the pattern is not trimmed.
     """
-    trimmed = strip_blanks(cell)
     return (
         F.when(is_missing_text(cell), F.lit(None).cast("double"))
-        .when(cell.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
+        .when(cell.rlike(NUMBER_PATTERN), cell.try_cast("double"))
         .when(
             cell.rlike(INFINITY_PATTERN),
-            F.when(trimmed.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
+            F.when(strip_blanks(cell).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
         )
         .otherwise(F.lit(None).cast("double"))
     )

@@ -27,9 +27,20 @@ def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
-def coerce_columns(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Every listed text column → DOUBLE (NULL when not a number, ±Inf kept)."""
-    return df.select(*keep, *[coerce_number(F.col(c)).alias(c) for c in columns])
+def coerce_columns(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """Every listed text column → DOUBLE (NULL when not a number, ±Inf kept).
+
+    ``strict`` (PRJ-11) ends the job at the first cell that is given but is no
+    number, naming its column; the check is part of the same projection."""
+
+    def cell(c: str) -> Column:
+        x, number = F.col(c), coerce_number(F.col(c))
+        if strict:
+            told = F.concat(F.lit(f"non-numeric cell in column {c}: "), x)
+            number = F.when(number.isNotNull() | is_missing_text(x), number).otherwise(F.raise_error(told).cast("double"))
+        return number.alias(c)
+
+    return df.select(*keep, *[cell(c) for c in columns])
 
 
 @dataclass(frozen=True)

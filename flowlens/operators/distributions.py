@@ -97,9 +97,3 @@ def require_two_classes(df: DataFrame, label: str) -> None:
     n = df.select(label).distinct().limit(2).count()
     if n < 2:
         raise ValueError(f"Only {n} class found in '{label}'; binary classification needs two.")
-
-
-def require_rows(df: DataFrame, what: str) -> None:
-    """Raise when a frame is empty (FLT-9)."""
-    if df.isEmpty():
-        raise ValueError(f"No rows for {what}")

@@ -201,14 +201,15 @@ def threshold_sweep(
     y_true: str = "y_true",
     prob: str = "attack_probability",
 ) -> DataFrame:
-    """Metrics at each decision threshold (``p >= t`` is an attack)."""
+    """Metrics at each decision threshold (``p >= t`` is an attack), thresholds
+    descending (SRT-4)."""
     ths = parse_thresholds(thresholds)
     counts = _threshold_counts(pred, [F.col(g) for g in group_by], ths, y_true, prob)
     m = with_metrics(counts, extended=True)
     return m.select(
         *group_by, "threshold", "samples", "accuracy", "precision", "recall", "f1_score",
         "specificity", "balanced_accuracy", "tn", "fp", "fn", "tp",
-    )
+    ).orderBy(*group_by, F.desc("threshold"))
 
 
 def threshold_sweep_by_family(
@@ -219,7 +220,8 @@ def threshold_sweep_by_family(
     y_true: str = "y_true",
     prob: str = "attack_probability",
 ) -> DataFrame:
-    """Family statistics at each threshold, from the same single-pass counts."""
+    """Family statistics at each threshold, from the same single-pass counts,
+    ordered by threshold descending and family (SRT-3)."""
     ths = parse_thresholds(thresholds)
     keys = [F.col(g) for g in group_by] + [F.col(family).alias("attack_family")]
     c = _threshold_counts(pred, keys, ths, y_true, prob)
@@ -232,7 +234,8 @@ def threshold_sweep_by_family(
         F.col("fn").alias("false_negatives"),
         F.col("fp").alias("false_positives"),
     )
-    return fam.select(*group_by, "threshold", *_family_columns(group_by)[len(group_by):])
+    table = fam.select(*group_by, "threshold", *_family_columns(group_by)[len(group_by):])
+    return table.orderBy(*group_by, F.desc("threshold"), F.asc("attack_family"))
 
 
 def attack_crosstab(

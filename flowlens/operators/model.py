@@ -67,7 +67,11 @@ def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
     stages.append(rf)
     n_parts = cfg.fit_partitions or max(MIN_FIT_PARTITIONS, -(-train.count() // ROWS_PER_FIT_PARTITION))
     data = stable_layout(data, cfg.key, n_parts)
-    return Pipeline(stages=stages).fit(data)
+    model = Pipeline(stages=stages).fit(data)
+    # The training summary holds the session and would travel with every scoring
+    # task; a session that has observed a write cannot be serialized.
+    forest_of(model)._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def score(model: PipelineModel | Column, df: DataFrame, label: str = "Label") -> DataFrame:

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.ranking import dense_rank_in_group, mark_top_k, seeded_order, top_k_per_group
+from flowlens.operators.guards import guarded
+from flowlens.operators.ranking import _small, dense_rank_in_group, mark_top_k, seeded_order, top_k_per_group
 
 RANDOM_STATE = 42
 TEST_SIZE = 0.2
@@ -40,9 +41,38 @@ def bounded_sample(df: DataFrame, n: int, key: str = "row_id", seed: int = RANDO
     return capped_sample(df, (), n, key, seed)
 
 
-def shuffled(df: DataFrame, key: str = "row_id", seed: int = RANDOM_STATE) -> DataFrame:
-    """WIN-9: a seeded global order, only meaningful right before a write."""
-    return df.orderBy(seeded_order(seed, key))
+def _file_place(column: str):
+    """(part number, number of the file within the part) of a written file."""
+    number = lambda pattern: F.regexp_extract(column, pattern, 1).try_cast("bigint")
+    return F.struct(number(r"part-(\d+)[^/]*$"), F.coalesce(number(r"\.c(\d+)\.[^/]*$"), F.lit(0)))
+
+
+def written_shuffle(
+    df: DataFrame, path: str, key: str = "row_id", seed: int = RANDOM_STATE, order: str = "shuffle_order"
+) -> DataFrame:
+    """WIN-9: the rows written in a seeded global order (column ``order``, kept
+    in the files): one range exchange, sorted inside the parts."""
+    ordered = df.withColumn(order, seeded_order(seed, key))
+    ordered.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(ordered.schema).parquet(path)
+
+
+def shuffle_positions(written: DataFrame, order: str = "shuffle_order", out: str = "position") -> DataFrame:
+    """0-based position of each row of a ``written_shuffle`` in its global order.
+
+    A row's place in its file is file metadata and a file's offset a prefix sum
+    over the one-row-per-file counts, so no row moves. A file that does not
+    start after the end of the one before it ends the job."""
+    rows = written.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.row_index"))
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    w = Window.partitionBy(F.lit(0)).orderBy(_file_place("_file"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_end", F.lag("_high").over(w))
+    after = F.col("_end").isNull() | (F.col("_end") < F.col("_low"))
+    files = guarded(files, after, F.concat(F.lit("not in shuffle order: "), F.col("_file"))).select("_file", "_off")
+    offsets, few = _small(files)
+    placed = rows.join(F.broadcast(offsets) if few else offsets, "_file")
+    return placed.withColumn(out, (F.col("_off") + F.col("_at")).cast("bigint")).drop("_file", "_off", "_at")
 
 
 def choose_stratum(df: DataFrame, family: str = "attack_family", label: str = "Label") -> str:

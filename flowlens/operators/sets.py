@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.labels import legacy_binary
+from flowlens.functions.numeric import strip_blanks
+from flowlens.operators.guards import guarded
 
 
 def common_columns(frames: Sequence[DataFrame], sort: bool = False, required: Sequence[str] = ()) -> list[str]:
@@ -49,7 +51,7 @@ def class_union(
     exact de-duplication over all columns (AGG-18)."""
     out = None
     for df, wanted, relabel in parts:
-        sel = df.where(F.lower(F.trim(F.col(label))) == wanted.lower()).withColumn(label, F.lit(relabel))
+        sel = df.where(F.lower(strip_blanks(F.col(label))) == wanted.lower()).withColumn(label, F.lit(relabel))
         out = sel if out is None else out.unionByName(sel)
     if dedup:
         out = out.dropDuplicates()
@@ -77,7 +79,7 @@ def pairing_check(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """JN-2: matched / left-only / right-only counts from one full outer join.
 
     The original raises on unequal chunk lengths; here the whole tables are
-    compared and the caller decides (``assert_paired``)."""
+    compared and the caller decides; ``paired`` raises."""
     lk = left.select(F.col(key).alias("_lk"))
     rk = right.select(F.col(key).alias("_rk"))
     j = lk.join(rk, F.col("_lk") == F.col("_rk"), "full_outer")
@@ -89,10 +91,15 @@ def pairing_check(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def assert_paired(check: DataFrame) -> None:
-    r = check.first()
-    if r["left_only"] or r["right_only"]:
-        raise ValueError(f"Data and metadata do not pair: {r.asDict()}")
+def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """JN-2, the raising form: ``left`` and ``right`` side by side on a key of
+    non-null values; a row without its partner ends the job that reads the result."""
+    l = left.select("*", F.lit(1).alias("_in_left"))
+    r = right.select(F.col(key).alias("_rk"), *[c for c in right.columns if c != key])
+    both = l.join(r, F.col(key) == F.col("_rk"), "full_outer")
+    told = F.concat(F.lit(f"rows without a partner, {key} = "), F.coalesce(F.col(key), F.col("_rk")).cast("string"))
+    whole = F.col("_in_left").isNotNull() & F.col("_rk").isNotNull()
+    return guarded(both, whole, F.coalesce(told, F.lit(f"rows without a partner, {key} is null"))).drop("_in_left", "_rk")
 
 
 def compare_on(a: DataFrame, b: DataFrame, keys: Sequence[str], suffixes=("_original", "_ablation")) -> DataFrame:

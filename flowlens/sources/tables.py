@@ -1,4 +1,4 @@
-"""Table sources and sinks between steps (SRC-5/6, SRC-8..16, PRJ-7, PRJ-10/11).
+"""Table sources and sinks between steps (SRC-5/6, SRC-8..16, PRJ-7, PRJ-10).
 
 Parquet replaces the CSV hand-off files; writes are single distributed
 writes (overwrite = idempotent rebuild, append = incremental). Nothing here
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.names import require_columns
@@ -34,6 +34,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     w.parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """SRC-11 with AGG-2/AGG-3: writes ``df`` and counts, in the same pass, the
+    rows for which each named condition holds; (stored table, counts).
+
+    The counters are observed in the write's own stage, where a task that is
+    run again counts once; their number is the caller's, not the data's."""
+    seen = Observation()
+    sums = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"n{i}") for i, c in enumerate(counts.values())]
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *sums)
+    write_table(watched, path)
+    got = seen.get
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return table, {"rows": int(got["rows"]), **{name: int(got[f"n{i}"]) for i, name in enumerate(counts)}}
+
+
 def split_roles(columns: Sequence[str], label: str = "Label") -> tuple[list[str], str, list[str]]:
     """PRJ-7: feature, label and metadata column names of a prepared table."""
     feats = [c for c in columns if c not in NON_FEATURE_COLUMNS]
@@ -88,13 +103,3 @@ def drop_non_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     keep = set(numeric_columns(df, columns))
     return df.drop(*[c for c in columns if c not in keep])
-
-
-def require_numeric(df: DataFrame, columns: Sequence[str]) -> None:
-    """PRJ-11: raise naming the non-numeric columns."""
-    from flowlens.operators.clean import numeric_columns
-
-    numeric = set(numeric_columns(df, columns))
-    bad = [c for c in columns if c not in numeric]
-    if bad:
-        raise ValueError(f"Non-numeric feature columns: {bad}")

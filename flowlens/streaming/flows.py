@@ -52,6 +52,71 @@ def stream_prepared_scores(
     return score(model, apply_scaler(numbers, params))
 
 
+def marked_rows(stream: DataFrame, features: Sequence[str], label: str = "label", keep: Sequence[str] = ()) -> DataFrame:
+    """STR-1 on raw text rows, no row left out: numbers, family, ``Label`` and
+    ``status``: 'label' (family not studied), 'cell' (a number missing or not
+    finite) or 'clean'. Row by row, so it is the same in batch."""
+    family = L.family_of(L.normalize_label(F.col(label)))
+    rows = stream.select(*keep, family.alias("attack_family"), *[coerce_number(F.col(c)).alias(c) for c in features])
+    finite = F.lit(True)
+    for c in features:
+        finite = finite & is_finite(F.col(c))
+    studied = F.coalesce(F.col("attack_family").isin(*L.INCLUDED_FAMILIES), F.lit(False))
+    status = F.when(~studied, "label").when(finite, "clean").otherwise("cell")
+    return rows.withColumn("Label", L.binary_from_family(F.col("attack_family"))).withColumn("status", status)
+
+
+def batch_report(rows: DataFrame, file_col: str = "source_file") -> DataFrame:
+    """AGG-3 of marked rows: per file the rows before and after each filter."""
+    n = lambda c: F.count_if(c).cast("bigint")
+    return rows.groupBy(file_col).agg(
+        F.count(F.lit(1)).alias("rows_before"),
+        n(F.col("status") != "label").alias("rows_after_label_filter"),
+        n(F.col("status") == "clean").alias("rows_after_cleaning"),
+    )
+
+
+def drain_reported(marked: DataFrame, folder: str, checkpoint: str, file_col: str = "source_file") -> None:
+    """STR-1 sink with a report per batch, safe to restart.
+
+    Every batch owns the folders ``rows/batch=N`` (split by status) and
+    ``report/batch=N`` and overwrites them. The checkpoint's log gives a batch
+    that is run again the same number and the same files, so a job that dies
+    between the two writes leaves no row and no report row twice."""
+    spark = marked.sparkSession
+    schema = marked.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = f"{folder}/rows/batch={number}"
+        batch.write.mode("overwrite").partitionBy("status").parquet(rows)
+        report = batch_report(spark.read.schema(schema).parquet(rows), file_col)
+        report.write.mode("overwrite").parquet(f"{folder}/report/batch={number}")
+
+    marked.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_updates(counts: DataFrame, folder: str, checkpoint: str) -> None:
+    """STR-2/STR-3 sink that goes on where an earlier drain ended: the groups a
+    batch changed are written, with their running values, under its number.
+
+    The values come from the state of the checkpoint, so files that arrive
+    later only add to them; a batch that is run again overwrites itself."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_values(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every group of a ``drain_updates`` folder."""
+    table = spark.read.option("basePath", folder).parquet(folder)
+    values = [c for c in table.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*values), F.col("batch").cast("bigint")).alias("_v")
+    return table.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+
+
 def running_threshold_counts(
     scored: DataFrame,
     thresholds: Sequence[float] = DEFAULT_THRESHOLDS,
