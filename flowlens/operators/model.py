@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.distributions import with_class_weight
+from flowlens.session import ensure_checkpoint_dir
 
 # Defaults of the original study's forest.
 FOREST_PARAMS = {"numTrees": 50, "maxDepth": 15, "seed": 42}
@@ -38,6 +39,7 @@ class ForestConfig:
     balanced: bool = True
     max_bins: int = 128
     fit_partitions: int | None = None  # None: by the row count
+    laid_out: bool = False  # the training frame comes from ``laid_out``
 
 
 def stable_layout(df: DataFrame, key: str, partitions: int) -> DataFrame:
@@ -45,10 +47,23 @@ def stable_layout(df: DataFrame, key: str, partitions: int) -> DataFrame:
     return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
+def fit_partitions(train: DataFrame) -> int:
+    return max(MIN_FIT_PARTITIONS, -(-train.count() // ROWS_PER_FIT_PARTITION))
+
+
+def laid_out(train: DataFrame, key: str = "row_id", partitions: int | None = None) -> DataFrame:
+    """``train`` moved to its stable layout once and checkpointed: every fit of
+    it (``ForestConfig.laid_out``) reads the partitions as they lie, where it
+    would else move and sort all rows for itself, pass by pass."""
+    ensure_checkpoint_dir(train.sparkSession)
+    return stable_layout(train, key, partitions or fit_partitions(train)).checkpoint()
+
+
 def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
     """Assemble the scalar feature columns and fit the forest (ML-2/3/4).
 
-    ``train`` should be a stored table: it is read more than once."""
+    ``train`` should be a stored table: it is read more than once. Several fits
+    of one table should share a ``laid_out`` one."""
     data = train.select(cfg.key, *cfg.features, F.col(cfg.label).cast("double").alias("_label"), cfg.label)
     stages = [VectorAssembler(inputCols=list(cfg.features), outputCol="features", handleInvalid="error")]
     rf = RandomForestClassifier(
@@ -65,8 +80,8 @@ def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
         data = with_class_weight(data, cfg.label, "_weight")
         rf = rf.setWeightCol("_weight")
     stages.append(rf)
-    n_parts = cfg.fit_partitions or max(MIN_FIT_PARTITIONS, -(-train.count() // ROWS_PER_FIT_PARTITION))
-    data = stable_layout(data, cfg.key, n_parts)
+    if not cfg.laid_out:
+        data = stable_layout(data, cfg.key, cfg.fit_partitions or fit_partitions(train))
     model = Pipeline(stages=stages).fit(data)
     # The training summary holds the session and would travel with every scoring
     # task; a session that has observed a write cannot be serialized.

@@ -1065,8 +1065,16 @@ def _flow_split(spark, sf_dir):
     return split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
 
 
-def _fit(train, features=V.FLOW_FEATURES, seed=42, balanced=True):
-    cfg = ML.ForestConfig(tuple(features), num_trees=_TREES, max_depth=_DEPTH, seed=seed, balanced=balanced)
+def _split_for_fits(rows, features):
+    """The stratified split for several fits: the training rows in the layout of
+    the fits, the test rows stored, each written once."""
+    split = S.stratified_split(rows, S.choose_stratum(rows))
+    train = ML.laid_out(split.where(F.col("split") == "train").select("row_id", *features, "Label"))
+    return train, stored(split.where(F.col("split") == "test"), "test-split")
+
+
+def _fit(train, features=V.FLOW_FEATURES, seed=42, balanced=True, laid_out=False):
+    cfg = ML.ForestConfig(tuple(features), num_trees=_TREES, max_depth=_DEPTH, seed=seed, balanced=balanced, laid_out=laid_out)
     return ML.fit_forest(train, cfg)
 
 
@@ -1095,10 +1103,10 @@ def q_external_eval(spark, sf_dir):
 
 @register("multi_seed")
 def q_multi_seed(spark, sf_dir):
-    train, test = _flow_split(spark, sf_dir)
+    train, test = _split_for_fits(V.v_flow(spark, sf_dir), V.FLOW_FEATURES)
     per_seed = None
     for seed in XP.SEEDS:
-        m = M.binary_metrics(ML.score(_fit(train, seed=seed, balanced=False), test), extended=False)
+        m = M.binary_metrics(ML.score(_fit(train, seed=seed, balanced=False, laid_out=True), test), extended=False)
         m = m.select(F.lit("Baseline").alias("experiment_name"), F.lit(seed).alias("seed"), *m.columns)
         per_seed = m if per_seed is None else per_seed.unionByName(m)
     return XP.seed_summary(per_seed)
