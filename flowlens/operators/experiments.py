@@ -108,7 +108,8 @@ def feature_experiments(
     train: DataFrame, test: DataFrame, experiments: dict[str, Sequence[str]], seeds: Sequence[int] = SEEDS, **forest
 ) -> DataFrame:
     """ML-6: one forest per named feature list and seed, summarised per name.
-    ``train`` and ``test`` should be stored tables."""
+    ``train`` and ``test`` should be stored tables, or ``train`` a ``laid_out`` one
+    (with ``laid_out=True``)."""
     from flowlens.operators import metrics as M
     from flowlens.operators import model as ML
 

@@ -116,10 +116,10 @@ def _wide_split(spark, sf_dir):
 @register("feature_ablation")
 def q_feature_ablation(spark, sf_dir):
     """ML-7: all features against those without the two named ones."""
-    train, test = _wide_split(spark, sf_dir)
+    train, test = Q._split_for_fits(v_wide(spark, sf_dir), WIDE_FEATURES)
     kept = tuple(FG.without(WIDE_FEATURES, FG.ABLATION_REMOVED))
     sweeps = [
-        M.threshold_sweep(ML.score(Q._fit(train, names), test)).select("dataset", "threshold", *Q._CMP_COLS) for names in (WIDE_FEATURES, kept)
+        M.threshold_sweep(ML.score(Q._fit(train, names, laid_out=True), test)).select("dataset", "threshold", *Q._CMP_COLS) for names in (WIDE_FEATURES, kept)
     ]
     return ST.compare_on(*sweeps, ["dataset", "threshold"])
 
@@ -127,11 +127,11 @@ def q_feature_ablation(spark, sf_dir):
 @register("group_ablation")
 def q_group_ablation(spark, sf_dir):
     """ML-8: without the packet lengths, and without all sizes, volumes, rates and headers."""
-    train, test = _wide_split(spark, sf_dir)
+    train, test = Q._split_for_fits(v_wide(spark, sf_dir), WIDE_FEATURES)
     out = None
     for name, removed in (("packet_length", PACKET_LENGTH), ("size_volume_rate_header", SIZE_VOLUME_RATE_HEADER)):
         kept = tuple(FG.without(WIDE_FEATURES, removed))
-        m = M.binary_metrics(ML.score(Q._fit(train, kept, balanced=False), test), extended=False)
+        m = M.binary_metrics(ML.score(Q._fit(train, kept, balanced=False, laid_out=True), test), extended=False)
         m = m.select(F.lit(name).alias("removed_group"), F.lit(len(kept)).alias("n_features"), *m.columns)
         out = m if out is None else out.unionByName(m)
     return out
@@ -179,5 +179,5 @@ def q_experiment_plan(spark, sf_dir):
 @register("feature_experiments")
 def q_feature_experiments(spark, sf_dir):
     """ML-6: the experiments planned from the wide matrix, by seeds."""
-    train, test = _wide_split(spark, sf_dir)
-    return XP.feature_experiments(train, test, XP.planned_experiments(WIDE_FEATURES), num_trees=Q._TREES, max_depth=Q._DEPTH)
+    train, test = Q._split_for_fits(v_wide(spark, sf_dir), WIDE_FEATURES)
+    return XP.feature_experiments(train, test, XP.planned_experiments(WIDE_FEATURES), num_trees=Q._TREES, max_depth=Q._DEPTH, laid_out=True)
