@@ -8,18 +8,22 @@ set. That is a permutation of 0 .. n-1 whatever n, and its expressions run in
 generated code and in any SQL engine. The value of the row at position x moves
 to position pi(x).
 
-So one range sort numbers the rows, whatever the number of draws, nothing is
-stored per draw, and an exchange carries (position, draw, moved values) only:
-a row's other columns travel once.
+So one range sort numbers the rows, whatever the number of draws, and nothing is
+stored per draw. Moved values travel packed, as arrays for a block of positions;
+a row's other columns travel once (``moved_rows``).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from flowlens.operators.ranking import dense_rank_in_group, order_prefix, seeded_order
 
@@ -81,26 +85,126 @@ def moved_values(
     return _permuted_position(long, keys, max(n, 1)).withColumnRenamed("_pos", "_to")
 
 
+#: Bits of an offset in a block, most and least, blocks wanted in between, and
+#: values a task holds before it sends them.
+BLOCK_BITS, SMALLEST_BLOCK_BITS, BLOCKS, HELD_VALUES = 16, 10, 96, 1 << 21
+
+
+def permuted_positions(pos: np.ndarray, keys: Sequence[int], n: int) -> np.ndarray:
+    """``_permuted_position`` of one draw on an array of positions. ``PRIME`` is
+    2**31 - 1, so remainders are folds of 31 bits."""
+    for h in keys:
+        other = h % n - pos
+        other += np.where(other < 0, n, 0)
+        top = np.maximum(pos, other)
+        if n > PRIME:
+            top %= PRIME
+        mixed = (top + h % PRIME) * top + h // PRIME % PRIME
+        for _ in range(2):
+            mixed = (mixed & PRIME) + (mixed >> 31)
+        # PRIME is odd: taking it away changes the last bit
+        pos = np.where((mixed & 1).astype(bool) ^ (mixed >= PRIME), other, pos)
+    return pos
+
+
+def moved_rows(
+    sample: DataFrame, draws: Sequence[Mapping[str, object]], moves: Sequence[Sequence[str]], key: str, seed: int = 42
+) -> DataFrame:
+    """Every row once, with the columns of ``sample`` and in ``_m<d>_<i>`` the
+    value that draw ``d`` moves here from its column ``i``, as a double.
+
+    Positions are cut into blocks of bounded size. A task sends the values of
+    many rows to a block together, as arrays of offsets and values, and a block
+    meets its own rows once whatever the number of draws: nothing is sorted by
+    (position, draw)."""
+    rows, n = numbered_rows(sample, key, seed)
+    bits = min(BLOCK_BITS, max(SMALLEST_BLOCK_BITS, (n // BLOCKS).bit_length()))
+    keys = [round_keys(seed, list(d.values())) for d in draws]
+    used = list(dict.fromkeys(c for cols in moves for c in cols))
+    place = {c: i + 1 for i, c in enumerate(used)}
+    most = max(1, HELD_VALUES // max(1, sum(len(cols) for cols in moves)))
+    told = [f"_c{j}" for j in range(len(sample.columns))]  # names that need no quoting
+    moved = [f"_m{d}_{i}" for d, cols in enumerate(moves) for i in range(len(cols))]
+    names = ["_block", *[f"_o{d}" for d in range(len(draws))], *moved]
+    types = ["bigint", *["array<smallint>"] * len(draws), *["array<double>"] * len(moved)]
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        pos = t.column(0).to_numpy()
+        to = [permuted_positions(pos, k, n) for k in keys]
+        counts = [np.bincount(x >> bits, minlength=(n - 1 >> bits) + 1) for x in to]
+        blocks = np.flatnonzero(sum(counts))
+        offsets, values = [], []
+        for x, count, cols in zip(to, counts, moves):
+            ends = pa.array(np.append(0, np.cumsum(count[blocks])).astype(np.int32))
+            # numbers of 16 bits are sorted digit by digit
+            order = np.argsort((x >> bits).astype(np.uint16 if len(count) <= 1 << 16 else np.int64), kind="stable")
+            offsets.append(pa.ListArray.from_arrays(ends, pa.array((x[order] & (1 << bits) - 1).astype(np.uint16).view(np.int16))))
+            values += [pa.ListArray.from_arrays(ends, t.column(place[c]).combine_chunks().take(pa.array(order))) for c in cols]
+        return pa.RecordBatch.from_arrays([pa.array(blocks), *offsets, *values], names=names)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= most:
+                yield packed(held)
+                held, count = [], 0
+        if held:
+            yield packed(held)
+
+    def meet(own: pa.Table, sent: pa.Table) -> pa.Table:
+        own = own.take(pa.array(np.argsort(own.column("_pos").to_numpy())))
+        arrays = [own.column(c) for c in told]
+        for d, cols in enumerate(moves):
+            at = pc.list_flatten(sent.column(f"_o{d}")).to_numpy().view(np.uint16)
+            order = pa.array(np.argsort(at, kind="stable"))
+            arrays += [pc.list_flatten(sent.column(f"_m{d}_{i}")).take(order) for i in range(len(cols))]
+        return pa.Table.from_arrays(arrays, names=[*told, *moved])
+
+    values = rows.select("_pos", *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(used)])
+    sent = values.mapInArrow(send, ", ".join(f"{c} {t}" for c, t in zip(names, types)))
+    met = StructType([StructField(c, f.dataType) for c, f in zip(told, sample.schema)] + [StructField(c, DoubleType()) for c in moved])
+    own = rows.select(F.shiftright("_pos", bits).alias("_block"), "_pos", *[F.col(f"`{c}`").alias(x) for c, x in zip(sample.columns, told)])
+    out = own.groupBy("_block").cogroup(sent.groupBy("_block")).applyInArrow(meet, met)
+    return out.select(*[F.col(x).alias(c) for c, x in zip(sample.columns, told)], *moved)
+
+
 def shuffled_rows(
     sample: DataFrame, draws: Sequence[Mapping[str, object]], moves: Sequence[Sequence[str]], key: str, seed: int = 42
 ) -> DataFrame:
     """Every row once per draw: its columns, the draw's names and values, the
     draw's number ``_draw`` and in ``_m0, _m1, ...`` the values its draw moves
     here, in the order of ``moves``."""
-    rows, n = numbered_rows(sample, key, seed)
-    met = rows.join(moved_values(rows, n, draws, moves, seed), F.col("_pos") == F.col("_to"))
-    names = list(draws[0])
-    told = [F.element_at(F.array(*[F.lit(d[name]) for d in draws]), F.col("_draw") + 1).alias(name) for name in names]
-    return met.select(*sample.columns, *told, "_draw", *[c for c in met.columns if c.startswith("_m")])
+    width = max(len(cols) for cols in moves)
+    none = F.lit(None).cast("double")
+    entries = [
+        F.struct(
+            *[F.lit(v).alias(name) for name, v in draw.items()],
+            F.lit(d).alias("_draw"),
+            *[(F.col(f"_m{d}_{i}") if i < len(cols) else none).alias(f"_m{i}") for i in range(width)],
+        )
+        for d, (draw, cols) in enumerate(zip(draws, moves))
+    ]
+    rows = moved_rows(sample, draws, moves, key, seed)
+    return rows.select(*[F.col(f"`{c}`") for c in sample.columns], F.inline(F.array(*entries)))
 
 
 def permuted_long(sample: DataFrame, features: Sequence[str], key: str, repeats: int = 5, seed: int = 42) -> DataFrame:
     """(key, feature, repeat, value, permuted_value): each (feature, repeat) is
     an independent shuffle of that one column."""
     draws = [{"feature": f, "repeat": r} for f in features for r in range(repeats)]
-    wide = shuffled_rows(sample.select(key, *features), draws, [[d["feature"]] for d in draws], key, seed)
-    own = F.element_at(F.array(*[F.col(f"`{f}`").cast("double") for f in features]), F.floor(F.col("_draw") / repeats).cast("int") + 1)
-    return wide.select(key, "feature", "repeat", own.alias("value"), F.col("_m0").alias("permuted_value"))
+    rows = moved_rows(sample.select(key, *features), draws, [[d["feature"]] for d in draws], key, seed)
+    entries = [
+        F.struct(
+            F.lit(x["feature"]).alias("feature"), F.lit(x["repeat"]).alias("repeat"),
+            F.col(f"`{x['feature']}`").cast("double").alias("value"), F.col(f"_m{d}_0").alias("permuted_value"),
+        )
+        for d, x in enumerate(draws)
+    ]
+    return rows.select(key, F.inline(F.array(*entries)))
 
 
 def group_permuted_long(sample: DataFrame, groups: Mapping[str, Sequence[str]], key: str, seed: int = 42) -> DataFrame:
@@ -109,10 +213,10 @@ def group_permuted_long(sample: DataFrame, groups: Mapping[str, Sequence[str]],
     present = {g: [c for c in cols if c in sample.columns] for g, cols in groups.items()}
     present = {g: cols for g, cols in present.items() if cols}
     used = list(dict.fromkeys(c for cols in present.values() for c in cols))
-    wide = shuffled_rows(sample.select(key, *used), [{"group": g} for g in present], list(present.values()), key, seed)
-    lists = [
-        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"), F.col(f"_m{i}").alias("moved")) for i, c in enumerate(cols)])
-        for cols in present.values()
+    rows = moved_rows(sample.select(key, *used), [{"group": g} for g in present], list(present.values()), key, seed)
+    entries = [
+        F.struct(F.lit(g).alias("group"), F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"), F.col(f"_m{d}_{i}").alias("permuted_value"))
+        for d, (g, cols) in enumerate(present.items())
+        for i, c in enumerate(cols)
     ]
-    each = wide.select(key, "group", F.explode(F.element_at(F.array(*lists), F.col("_draw") + 1)).alias("_e"))
-    return each.select(key, "group", "_e.feature", "_e.value", F.col("_e.moved").alias("permuted_value"))
+    return rows.select(key, F.inline(F.array(*entries)))

@@ -1,9 +1,12 @@
 """Permutations by arithmetic: one position each, whatever n; one range sort
 whatever the number of draws; experiments planned from a schema."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.operators import model as ML
 from flowlens.operators import permutation as PM
 from flowlens.operators.experiments import planned_experiments
 
@@ -34,3 +37,39 @@ def test_draws_share_one_numbering(spark):
 def test_port_experiment_needs_a_port():
     assert list(planned_experiments(("Flow Duration", "Destination Port"))) == ["Baseline", "No Destination Port"]
     assert planned_experiments(("a", "b")) == {"Baseline": ("a", "b")}
+
+
+def test_values_travel_packed(spark):
+    """A block's values come as arrays and meet its rows once: no join on
+    (position, draw), and the same values as position by position."""
+    df = spark.range(3000).select(
+        F.concat(F.lit("r"), F.col("id")).alias("k"),
+        F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("a.b"),
+        (F.col("id") * 3).cast("int").alias("c"),
+    ).where(F.col("k") != "r17")
+    draws = [{"feature": f, "repeat": r} for f in ("a.b", "c") for r in range(2)]
+    moves = [["a.b"], ["a.b", "c"], ["c"], ["c", "a.b"]]
+    found = PM.shuffled_rows(df, draws, moves, "k")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "_to" not in plan
+    rows, n = PM.numbered_rows(df, "k", 42)
+    plain = rows.join(PM.moved_values(rows, n, draws, moves), F.col("_pos") == F.col("_to"))
+    cols = ["k", "`a.b`", "c", "_draw", "_m0", "_m1"]
+    assert sorted(map(str, found.select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
+
+
+def test_fits_share_one_layout(spark):
+    """A laid-out table is read as it lies, and its forest is the one of a
+    table that every fit moves and sorts for itself."""
+    df = spark.range(500).select(
+        F.col("id").alias("row_id"), (F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+        ((F.col("id") % 13 > 5) | (F.col("id") % 7 == 2)).cast("int").alias("Label"),
+    )
+    laid = ML.laid_out(df)
+    plan = laid._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    for balanced in (True, False):
+        cfg = ML.ForestConfig(("a", "b"), num_trees=3, max_depth=4, balanced=balanced)
+        own = ML.forest_of(ML.fit_forest(df, cfg)).toDebugString
+        shared = ML.forest_of(ML.fit_forest(laid, replace(cfg, laid_out=True))).toDebugString
+        assert own.split("\n", 1)[1] == shared.split("\n", 1)[1]
