@@ -608,6 +608,7 @@ def q_empty_metrics(spark, sf_dir):
 
 _TRAIN_FILES = ("part-0", "part-1", "part-2", "part-3")
 _STREAM_FILES = 4
+_ROWS_PER_STREAM_FILE = 250_000
 
 
 @register(
@@ -632,8 +633,11 @@ def q_stream_prepared_scores(spark, sf_dir):
     cfg = ML.ForestConfig(_STUDY_FEATURES, key="source_row", num_trees=Q._TREES, max_depth=Q._DEPTH)
     model = ML.fit_forest(stored(P.apply_scaler(train, params), "scaled"), cfg)
     base = _folder(spark, "arriving")
-    raw.where(~F.col("source_file").isin(*_TRAIN_FILES)).repartition(_STREAM_FILES, "source_row").write.parquet(f"{base}/in")
-    stream = SF.read_stream(spark, f"{base}/in", raw.schema)
+    arriving = raw.where(~F.col("source_file").isin(*_TRAIN_FILES))
+    # as many batches as ever, each of as many files as its rows need
+    files = max(1, -(-arriving.count() // (_STREAM_FILES * _ROWS_PER_STREAM_FILE)))
+    arriving.repartition(_STREAM_FILES * files, "source_row").write.parquet(f"{base}/in")
+    stream = SF.read_stream(spark, f"{base}/in", raw.schema, max_files=files)
     scored = SF.stream_prepared_scores(stream, model, _STUDY_FEATURES, params, keep=("source_row",))
     scored = scored.select("source_row", "y_true", "y_pred", "c_value", "attack_probability")
     SF.drain_to_files(scored, f"{base}/out", f"{base}/progress")
