@@ -21,18 +21,23 @@ falls with the edit distance, not only with the overlap of the two sets.
    different classes.
 4. *Crowded buckets.* In a bucket of four or more nodes that are still in
    several classes, pairs without an end were not looked at. Up to ``GROUP``
-   nodes, a bucket is solved in one place: of all its pairs of different classes
-   and fitting lengths those are proposed whose histograms of words (and, in long
-   texts, of runs) leave room for the similarity; histograms bound the edit
-   distance from below, so no similar pair is lost. Larger buckets are dealt anew by the words
-   of their nodes, each node once whatever its buckets: texts of edit similarity
-   0.8 have all but ``d = floor(0.2 n)`` words in common, so each has one of its
-   first ``d + 1`` words in common with the other, in any order of all words;
-   here frequent ones are last. What is still larger is cut into blocks, and
-   every two blocks meet. Together with 3, any two nodes of one bucket are
-   verified, known to be unlike, or in one class already. Proposed pairs are
-   verified in rounds, each node's closest partner first; what has come to lie
-   in one class meanwhile need not be.
+   nodes, a bucket is looked through in one place: two nodes of different
+   classes and fitting lengths are candidates if their histograms of words (and,
+   in long texts, of runs) leave room for the similarity; histograms bound the
+   edit distance from below, so no similar pair is lost. Larger buckets are dealt
+   anew by the words of their nodes, each node once whatever its buckets: texts of
+   edit similarity 0.8 have all but ``d = floor(0.2 n)`` words in common, so each
+   has one of its first ``d + 1`` words in common with the other, in any order of
+   all words; here frequent ones are last. What is still larger is cut into
+   blocks, and every two blocks meet. Candidate pairs are never written: a bucket
+   tells each node that has one, and the part of candidates it belongs to.
+   Buckets overlap, so parts are joined over buckets, and each part of up to
+   ``GROUP`` nodes is verified as one group, each node in it once (larger parts by
+   bucket, a pair in the first of its buckets), in blocks of which every two meet.
+   A task holds the words of two blocks, leaves out what common words rule out,
+   aligns the closest pairs first and skips those that its links have joined; it
+   writes fewer links than it has nodes. Together with 3, any two nodes of one
+   bucket are verified, known to be unlike, or in one class.
 5. *Classes.* Connected components of the accepted links, by label passing
    with pointer jumping; the class is named by its smallest document id.
 
@@ -224,9 +229,9 @@ _COMPARED = 8 << 20
 FREQUENT = 200_000
 
 
-def close_pairs(root: np.ndarray, n: np.ndarray, histograms: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def close_pairs(root: np.ndarray, n: np.ndarray, histograms: list[bytes], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of a group that may be similar (different classes, fitting
-    lengths, histograms that leave room), and the bound on their edits as a share."""
+    lengths, histograms that leave room), a slice at a time."""
     order = np.argsort(n, kind="stable")
     root, n = root[order], n[order]
     whole = [np.frombuffer(histograms[i], np.uint8) for i in order]
@@ -234,7 +239,7 @@ def close_pairs(root: np.ndarray, n: np.ndarray, histograms: list[bytes], least:
     filled = bins.sum(1, dtype=np.int64)
     # row i meets longer rows j > i up to the last whose length fits
     last = np.searchsorted(n - np.floor((1.0 - least) * n + 1e-9).astype(np.int64), n, side="right")
-    left, right, gaps, lo = [], [], [], 0
+    lo = 0
     while lo < len(n):
         hi = lo + 1
         while hi < len(n) and (hi + 1 - lo) * (int(last[hi]) - lo) <= 1 << 20:
@@ -246,30 +251,32 @@ def close_pairs(root: np.ndarray, n: np.ndarray, histograms: list[bytes], least:
         for at in range(0, len(a), _COMPARED // BINS):
             x, y = a[at : at + _COMPARED // BINS] + lo, b[at : at + _COMPARED // BINS] + lo
             common = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
-            edits = np.maximum(filled[x], filled[y]) - common
             most = np.floor((1.0 - least) * n[y] + 1e-9)
-            room = edits <= most
+            room = np.maximum(filled[x], filled[y]) - common <= most
             for k in np.flatnonzero(room & (n[x] > LONG)):  # so y is long too
                 room[k] = runs_leave_room(whole[x[k]][BINS:], whole[y[k]][BINS:], int(most[k]))
-            gaps.append(edits[room] / np.maximum(n[y[room]], 1))
-            left.append(order[x[room]])
-            right.append(order[y[room]])
+            yield order[x[room]], order[y[room]]
         lo = hi
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none.astype(float), *gaps])
 
 
-def pairs_in_groups(grouped: DataFrame, about: DataFrame, least: float) -> DataFrame:
-    """(a, b, gap): proposed pairs of (key, node) groups of bounded size.
-    Groups are dealt by key and stream through their task in key order."""
-    rows = grouped.join(about, "node").select("key", "node", "root", "n", "bins")
-    sorted_ = rows.repartition("key").sortWithinPartitions("key")
+def joined(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``part`` (each element's part, named by its first element) after i and j,
+    pair by pair, have come into one part."""
+    part = part.copy()
+    while True:
+        a, b = part[i], part[j]
+        apart = a != b
+        if not apart.any():
+            return part
+        i, j = i[apart], j[apart]
+        np.minimum.at(part, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (part[part] != part).any():
+            part = part[part]
 
-    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        node = t["node"].to_numpy()
-        i, j, gap = close_pairs(t["root"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["bins"].to_pylist(), least)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(gap)], names=["a", "b", "gap"])
+
+def by_key(rows: DataFrame, solved, schema: str, tasks: int | None = None) -> DataFrame:
+    """``solved`` over the rows of each key (a table in, a batch out). Groups
+    are dealt by key, the first column, and stream through their task in key order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -278,14 +285,128 @@ def pairs_in_groups(grouped: DataFrame, about: DataFrame, least: float) -> DataF
             edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
             for lo, hi in zip(edges, np.append(edges[1:], len(keys))):
                 if held and keys[lo] != now:
-                    yield solved(held)
+                    yield solved(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 now = keys[lo]
                 held.append(batch.slice(int(lo), int(hi - lo)))
         if held:
-            yield solved(held)
+            yield solved(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = rows.repartition(tasks, "key") if tasks else rows.repartition("key")
+    return dealt.sortWithinPartitions("key").mapInArrow(work, schema)
 
-    return sorted_.mapInArrow(work, "a bigint, b bigint, gap double").distinct()
+
+def candidates(grouped: DataFrame, about: DataFrame, least: float) -> DataFrame:
+    """(key, node) groups of bounded size -> key, node, head: the nodes that have
+    a candidate in a group, and the smallest node of the part of candidates that
+    each belongs to. The pairs themselves do not leave the task."""
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        node = t["node"].to_numpy()
+        part, met = np.arange(len(node)), np.zeros(len(node), dtype=bool)
+        for i, j in close_pairs(t["root"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["bins"].to_pylist(), least):
+            met[i] = met[j] = True
+            part = joined(part, i, j)
+        head = node.copy()
+        np.minimum.at(head, part, node)
+        return pa.RecordBatch.from_arrays([t["key"].combine_chunks().filter(pa.array(met)), pa.array(node[met]), pa.array(head[part][met])], names=["key", "node", "head"])
+
+    rows = grouped.join(about, "node").select("key", "node", "root", "n", "bins")
+    return by_key(rows, solved, "key string, node bigint, head bigint")
+
+
+#: Nodes of two blocks that one task verifies.
+SPAN = 512
+#: Counts of words compared at once.
+_COUNTED = 1 << 20
+
+
+def shared_words(texts: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each text, how many words it has in common with every text (sizes of
+    multiset intersections), from lists of the texts that have a word."""
+    counted = [np.unique(t, return_counts=True) for t in texts]
+    first = np.cumsum([0, *(len(u) for u, _ in counted)])
+    _, ids = np.unique(np.concatenate([u for u, _ in counted]), return_inverse=True)
+    times = np.concatenate([c for _, c in counted])
+    order = np.argsort(ids, kind="stable")
+    owner, listed = np.repeat(np.arange(len(texts)), np.diff(first))[order], times[order]
+    long = np.bincount(ids)
+    begin = np.cumsum(long) - long
+    for d in range(len(texts)):
+        own, n = ids[first[d] : first[d + 1]], times[first[d] : first[d + 1]]
+        upto, lo, out = np.cumsum(long[own]), 0, np.zeros(len(texts))
+        while lo < len(own):
+            done = int(upto[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, done + _COUNTED, side="right")))
+            many = long[own[lo:hi]]
+            spots = np.arange(int(many.sum())) + np.repeat(begin[own[lo:hi]] - (np.cumsum(many) - many), many)
+            out += np.bincount(owner[spots], np.minimum(np.repeat(n[lo:hi], many), listed[spots]), len(texts))
+            lo = hi
+        yield out.astype(np.int64)
+
+
+def links_within(texts: list[np.ndarray], root: np.ndarray, meets, here, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) of similar texts of a group that join its classes ``root``,
+    closest pairs first. ``meets(i)`` marks the texts whose pair with i belongs
+    to this group, as ``here(i, j)`` says of a single pair."""
+    n = np.array([len(t) for t in texts])
+    most = np.floor((1.0 - least) * n + 1e-9).astype(np.int64)
+    place = np.arange(len(n))
+    left, right, gaps = [], [], []
+    for i, common in enumerate(shared_words(texts)):
+        longer = (n > n[i]) | (n == n[i]) & (place > i)
+        j = np.flatnonzero(longer & (n - common <= most) & (root != root[i]) & meets(i))
+        left.append(np.full(len(j), i))
+        right.append(j)
+        gaps.append((n[j] - common[j]) / n[j])
+    left, right = np.concatenate(left), np.concatenate(right)
+    of = np.unique(root, return_inverse=True)[1].tolist()  # classes by number
+    parent = list(range(len(of)))
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    links = []
+    for k in np.argsort(np.concatenate(gaps), kind="stable"):
+        i, j = int(left[k]), int(right[k])
+        a, b = top(of[i]), top(of[j])
+        if a != b and here(i, j) and aligned(texts[i], texts[j], int(most[j])):
+            parent[a] = b
+            links.append((i, j))
+    return links
+
+
+def links_in_groups(rows: DataFrame, least: float, tasks: int) -> DataFrame:
+    """(a, b): accepted links that join classes, fewer than nodes in each group.
+    ``rows`` are (key, base, own, home, node, root, keys, words)."""
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        node, own, home = t["node"].to_numpy(), t["own"].to_numpy(), t["home"].to_numpy()
+        base, keys = t["base"][0].as_py(), [set(k) for k in t["keys"].to_pylist()]
+        texts = [np.frombuffer(w, np.uint32) for w in t["words"].to_pylist()]
+        found = links_within(texts, t["root"].to_numpy(), lambda i: (own != own[i]) | home[i], lambda i, j: min(keys[i] & keys[j]) == base, least)
+        i, j = (np.array([x[side] for x in found], dtype=np.int64) for side in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    return by_key(rows.select("key", "base", "own", "home", "node", "root", "keys", "words"), solved, "a bigint, b bigint", tasks)
+
+
+def in_blocks(groups: DataFrame, most: int) -> DataFrame:
+    """(key, node) -> key, base, own, home, node: groups of up to ``most`` nodes,
+    about. Larger ones are cut into blocks and every two blocks meet; ``base`` is
+    the key before, ``own`` a node's block, and ``home`` says that the pairs
+    within that block belong to this group."""
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.where(F.col("size") > 1).select("key", F.ceil(F.col("size") * 2 / most).cast("bigint").alias("blocks"))
+    zero, together = F.lit(0).cast("bigint"), F.col("blocks") <= 2
+    dealt = groups.join(sizes, "key").withColumn("own", F.when(together, zero).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.when(together, F.array(zero)).otherwise(F.sequence(zero, F.col("blocks") - 1))))
+    dealt = dealt.where(together | (F.col("own") != F.col("other")))
+    home = together | (F.col("other") == (F.col("own") + 1) % F.col("blocks"))
+    key = F.concat_ws(":", "key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(key.alias("key"), F.col("key").alias("base"), "own", home.alias("home"), "node")
 
 
 def _items(words: bytes) -> np.ndarray:
@@ -329,11 +450,12 @@ def prefixes(words: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
     return words.mapInPandas(first, "node bigint, item bigint")
 
 
-def crowded_pairs(members: DataFrame, state: DataFrame, nodes: DataFrame, words, least: float, group: int = GROUP) -> DataFrame:
-    """(a, b, gap): pairs of different classes that share a bucket and may be
-    similar. ``members`` has the buckets (sketch, node) of four nodes or more:
-    up to three, the ends have met everyone. ``nodes`` is (node, n, bins),
-    ``words`` gives the word lists of the nodes it is given."""
+def crowded_links(members: DataFrame, state: DataFrame, nodes: DataFrame, words, least: float, group: int = GROUP) -> DataFrame | None:
+    """(a, b): links of similar nodes that share a bucket, as many as it takes to
+    join their classes; None if there is no candidate. ``members`` has the
+    buckets (sketch, node) of four nodes or more: up to three, the ends have met
+    everyone. ``nodes`` is (node, n, bins), ``words`` gives the word lists of the
+    nodes it is given."""
     state = state.select("node", "root")
     placed = members.join(state, "node", "left").select("sketch", "node", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("sketch").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
@@ -346,18 +468,21 @@ def crowded_pairs(members: DataFrame, state: DataFrame, nodes: DataFrame, words,
         own = cut(words(large))
         top = item_counts(own).where(F.col("times") > 1).orderBy(F.col("times").desc(), "item").limit(FREQUENT).select("item").toPandas()
         first = cut(prefixes(own, top["item"].to_numpy(np.int64), least))
-        sizes = first.groupBy("item").agg(F.count(F.lit(1)).alias("size"))
-        sizes = sizes.where(F.col("size") > 1).withColumn("blocks", F.ceil(F.col("size") * 2 / group).cast("bigint"))
-        dealt = first.join(sizes, "item").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-        # group (i, j) has the rows of blocks i and j; i = j if there is one block
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-        dealt = dealt.withColumn("other", other).where((F.col("blocks") <= 2) | (F.col("own") != F.col("other")))
-        low, high = F.least("own", "other"), F.greatest("own", "other")
-        together = F.col("blocks") <= 2
-        key = F.concat_ws(":", F.lit("word"), "item", F.when(together, 0).otherwise(low), F.when(together, 0).otherwise(high))
-        within = dealt.where(~together | (F.col("other") == 0)).select(key.alias("key"), "node")
-        groups = groups.unionByName(within)
-    return pairs_in_groups(groups, about, least)
+        groups = groups.unionByName(in_blocks(first.select(F.concat_ws(":", F.lit("word"), "item").alias("key"), "node"), group).select("key", "node"))
+    found = cut(candidates(groups, about, least))
+    if not found.limit(1).count():
+        return None
+    # parts of candidates over all buckets
+    part = components(found.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    sizes = part.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    part = cut(part.withColumnRenamed("root", "part").join(sizes.withColumnRenamed("root", "part"), "part"))
+    whole = part.where(F.col("size") <= group).select(F.concat_ws(":", F.lit("part"), "part").alias("key"), "node")
+    wide = part.where(F.col("size") > group).select("node")
+    groups = cut(whole.unionByName(found.join(wide, "node").select("key", "node")))
+    keys = groups.groupBy("node").agg(F.collect_set(F.xxhash64("key")).alias("keys"))
+    dealt = cut(in_blocks(groups, min(SPAN, group)).withColumn("base", F.xxhash64("base")))
+    own = words(part.select("node")).join(keys, "node").join(about.select("node", "root"), "node")
+    return cut(links_in_groups(dealt.join(own, "node"), least, -(-dealt.count() // SPAN)))
 
 
 # ------------------------------------------------------------- verification ----
@@ -430,8 +555,12 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     most = int(np.floor((1.0 - least) * longer + 1e-9))
     if abs(len(a) - len(b)) > most or not len(a) or not len(b):
         return longer == 0
-    if longer - common_words(a, b) > most:
-        return False
+    return longer - common_words(a, b) <= most and aligned(a, b, most)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Edit distance over words of at most ``most``, for texts with words."""
+    longer = max(len(a), len(b))
     # an edit spoils two runs of two words at most
     runs = lambda x: x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
     if min(len(a), len(b)) > 1 and longer - 1 - common_words(runs(a), runs(b)) > 2 * most:
@@ -458,13 +587,8 @@ def with_room(pairs: DataFrame, about: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(check, "a bigint, b bigint")
 
 
-#: Pairs that a task aligns, about, where alignments are long.
-PAIRS_A_TASK = 256
-
-
-def verified(pairs: DataFrame, words: DataFrame, least: float, tasks: int | None = None) -> DataFrame:
-    """Accepted pairs (a, b) of proposed ones. ``tasks`` deals the alignments out:
-    a few bytes of pairs can be much work."""
+def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Accepted pairs (a, b) of proposed ones."""
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -474,7 +598,7 @@ def verified(pairs: DataFrame, words: DataFrame, least: float, tasks: int | None
     b = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
     a = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     sides = pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb")
-    return (sides.repartition(tasks, "a", "b") if tasks else sides).mapInPandas(check, "a bigint, b bigint")
+    return sides.mapInPandas(check, "a bigint, b bigint")
 
 
 # --------------------------------------------------------------- components ----
@@ -532,12 +656,11 @@ def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows:
         listed = small(wanted.select(F.col("node").alias("row")), broadcast_rows)
         return word_lists(base.join(listed, "row", "left_semi").select(F.col("row").alias("node"), "text"))
 
-    def judged(pairs: DataFrame, crowded: bool = False) -> DataFrame:
+    def judged(pairs: DataFrame) -> DataFrame:
         """Accepted ones of proposed pairs: only the words of their nodes move."""
-        pairs = cut(pairs.select("a", "b") if crowded else with_room(pairs.select("a", "b"), one, least))
-        tasks = -(-pairs.count() // PAIRS_A_TASK) if crowded else None
+        pairs = cut(with_room(pairs.select("a", "b"), one, least))
         own = words(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-        return cut(verified(pairs, own, least, tasks))
+        return cut(verified(pairs, own, least))
 
     # round one: each node with the partner it meets most often
     sides = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("o")), F.struct(F.col("b").alias("n"), F.col("a").alias("o")))
@@ -553,23 +676,9 @@ def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows:
         links = links.union(more)
         state = components(links)
     # crowded buckets: what the ends left open
-    open_pairs = crowded_pairs(crowded, state, one.select("node", "n", "bins"), words, least, group)
-    open_pairs = cut(open_pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti"))
-    for nearest_first in (True, False):
-        # each node's closest open partner, whose acceptance settles other pairs; at last all
-        joined = open_pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        open_pairs = cut(joined.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b", "gap"))
-        picked = open_pairs.select("a", "b")
-        if nearest_first:
-            best = open_pairs.select(F.explode(sides).alias("e"), "gap").groupBy("e.n").agg(F.min(F.struct("gap", "e.o")).alias("m"))
-            picked = cut(best.select(F.least("n", "m.o").alias("a"), F.greatest("n", "m.o").alias("b")).distinct())
-        if not picked.limit(1).count():
-            break
-        more = judged(picked, True)
-        open_pairs = open_pairs.join(picked, ["a", "b"], "left_anti")
-        if more.limit(1).count():
-            links = cut(links.union(more))
-            state = components(links)
+    more = crowded_links(crowded, state, one.select("node", "n", "bins"), words, least, group)
+    if more is not None and more.limit(1).count():
+        state = components(links.union(more))
     named = nodes.join(state, "node", "left").select("c1", "c2", "least_id", F.coalesce("root", "node").alias("root"))
     classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
     by_node = named.join(classes, "root").select("c1", "c2", "class_id", F.col("root").cast("string").alias("class_key"))

@@ -147,6 +147,55 @@ def test_crowded_bucket_finds_pairs_without_an_end(spark):
         assert got == {d: d - d % 2 if d < 40 else d for d in range(300)}
 
 
+def test_crowded_bucket_writes_no_pairs(spark, monkeypatch):
+    """Texts of the same words, 40 of 100 in an order of their own: histograms
+    leave room in every pair, only alignments tell them apart."""
+    from flowlens.llm import omh_dedup
+
+    rng = np.random.default_rng(3)
+    front, back = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(40)]
+    texts = [front + [back[i] for i in rng.permutation(40)] for _ in range(200)]
+    for d in range(0, 40, 2):  # ten other words: similar to the text before only
+        texts[d + 1] = [f"o{d}x{i}" if i >= 90 else w for i, w in enumerate(texts[d])]
+    docs = spark.createDataFrame([(int(d), " ".join(texts[d])) for d in rng.permutation(200)], "doc_id long, text string").coalesce(2)
+    stored, cut = [], omh_dedup.cut
+
+    def counting(df):
+        done = cut(df)
+        stored.append(done.count())
+        return done
+
+    monkeypatch.setattr(omh_dedup, "cut", counting)
+    for group in (4096, 50):  # parts as a whole; a part larger than a group
+        stored.clear()
+        got = {r["id"]: r["class_id"] for r in omh_dedup.near_duplicates(docs, group=group).collect()}
+        assert got == {d: d - d % 2 if d < 40 else d for d in range(200)}
+        if group == 4096:
+            assert max(stored) <= omh_dedup.SKETCHES * 200  # pairs: 19,900
+
+
+def test_links_within_equal_brute_force():
+    from flowlens.llm.omh_dedup import common_words, links_within, shared_words, similar
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 9, rng.integers(5, 30)).astype(np.uint32) for _ in range(60)]
+    texts += [np.append(t[:-1], np.uint32(50)) for t in texts[:20]]
+    for i, common in enumerate(shared_words(texts)):
+        assert common.tolist() == [common_words(texts[i], t) for t in texts]
+    root = np.arange(80)
+    root[5] = 3
+
+    def classes(links):
+        part = root.copy()
+        for i, j in links:
+            part[part == part[j]] = part[i]
+        return {frozenset(np.flatnonzero(part == p).tolist()) for p in part}
+
+    links = links_within(texts, root, lambda i: True, lambda i, j: True, 0.8)
+    alike = [(i, j) for i in range(80) for j in range(i) if similar(texts[i], texts[j], 0.8)]
+    assert classes(links) == classes(alike) and len(links) == 79 - len(classes(alike))
+
+
 # ------------------------------------------------------------ 2, 6, 10 learned ----
 
 
