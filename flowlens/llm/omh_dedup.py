@@ -64,7 +64,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, mix64, numbered, powers, removed, rolling, small, text_slices, unique_name, whitespace_table, word_hashes, word_spans, written
@@ -394,8 +394,8 @@ def links_in_groups(rows: DataFrame, least: float, tasks: int) -> DataFrame:
 
 
 def in_blocks(groups: DataFrame, most: int) -> DataFrame:
-    """(key, node) -> key, base, own, home, node: groups of up to ``most`` nodes,
-    about. Larger ones are cut into blocks and every two blocks meet; ``base`` is
+    """(key, node, ...) -> key, base, own, home, node, ...: groups of up to ``most``
+    nodes, about. Larger ones are cut into blocks and every two blocks meet; ``base`` is
     the key before, ``own`` a node's block, and ``home`` says that the pairs
     within that block belong to this group."""
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -406,7 +406,16 @@ def in_blocks(groups: DataFrame, most: int) -> DataFrame:
     dealt = dealt.where(together | (F.col("own") != F.col("other")))
     home = together | (F.col("other") == (F.col("own") + 1) % F.col("blocks"))
     key = F.concat_ws(":", "key", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.select(key.alias("key"), F.col("key").alias("base"), "own", home.alias("home"), "node")
+    return dealt.select(key.alias("key"), F.col("key").alias("base"), "own", home.alias("home"), *[c for c in groups.columns if c != "key"])
+
+
+def fitting(groups: DataFrame, least: float) -> DataFrame:
+    """(key, node, n) -> key, node: those with a text of fitting length in their
+    group. Of all others, the next shorter and the next longer one fit best."""
+    in_order = Window.partitionBy("key").orderBy("n")
+    fits = lambda short, long: F.coalesce(long - F.floor((1.0 - least) * long + 1e-9) <= short, F.lit(False))
+    placed = groups.withColumns({"short": F.lag("n").over(in_order), "long": F.lead("n").over(in_order)})
+    return placed.where(fits(F.col("short"), F.col("n")) | fits(F.col("n"), F.col("long"))).select("key", "node")
 
 
 def _items(words: bytes) -> np.ndarray:
@@ -427,15 +436,15 @@ def item_counts(words: DataFrame) -> DataFrame:
 
 
 def prefixes(words: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
-    """(node, words) -> node, item: the first words of each text, ``frequent``
-    ones (in falling frequency) after all others."""
+    """(node, words) -> node, n, item: number of words, and the first words of each
+    text, ``frequent`` ones (in falling frequency) after all others."""
     order = np.argsort(frequent)
     told = words.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, place = told.value
         for f in frames:
-            nodes, lists = [], []
+            nodes, lengths, lists = [], [], []
             for node, w in zip(f["node"], f["words"]):
                 items = _items(w)
                 found = np.zeros(len(items), np.int64)
@@ -444,32 +453,33 @@ def prefixes(words: DataFrame, frequent: np.ndarray, least: float) -> DataFrame:
                     found = np.where(known[at] == items, len(known) - place[at], 0)
                 lists.append(items[np.lexsort((items, found))][: int(np.floor((1.0 - least) * len(items) + 1e-9)) + 1])
                 nodes.append(np.full(len(lists[-1]), node))
+                lengths.append(np.full(len(lists[-1]), len(items)))
             if nodes:
-                yield pd.DataFrame({"node": np.concatenate(nodes), "item": np.concatenate(lists)})
+                yield pd.DataFrame({"node": np.concatenate(nodes), "n": np.concatenate(lengths), "item": np.concatenate(lists)})
 
-    return words.mapInPandas(first, "node bigint, item bigint")
+    return words.mapInPandas(first, "node bigint, n int, item bigint")
 
 
 def crowded_links(members: DataFrame, state: DataFrame, nodes: DataFrame, words, least: float, group: int = GROUP) -> DataFrame | None:
     """(a, b): links of similar nodes that share a bucket, as many as it takes to
     join their classes; None if there is no candidate. ``members`` has the
-    buckets (sketch, node) of four nodes or more: up to three, the ends have met
+    buckets (sketch, node, n) of four nodes or more: up to three, the ends have met
     everyone. ``nodes`` is (node, n, bins), ``words`` gives the word lists of the
     nodes it is given."""
     state = state.select("node", "root")
     placed = members.join(state, "node", "left").select("sketch", "node", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("sketch").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
     open_ = cut(open_.where(F.col("lo") != F.col("hi")).select("sketch", "size"))
-    placed = cut(members.join(open_, "sketch").select("sketch", "node", "size"))
+    placed = cut(members.join(open_, "sketch").select("sketch", "node", "n", "size"))
     about = nodes.join(state, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "bins")
-    groups = placed.where(F.col("size") <= group).select(F.col("sketch").cast("string").alias("key"), "node")
+    groups = placed.where(F.col("size") <= group).select(F.col("sketch").cast("string").alias("key"), "node", "n")
     large = cut(placed.where(F.col("size") > group).select("node").distinct())
     if large.limit(1).count():
         own = cut(words(large))
         top = item_counts(own).where(F.col("times") > 1).orderBy(F.col("times").desc(), "item").limit(FREQUENT).select("item").toPandas()
         first = cut(prefixes(own, top["item"].to_numpy(np.int64), least))
-        groups = groups.unionByName(in_blocks(first.select(F.concat_ws(":", F.lit("word"), "item").alias("key"), "node"), group).select("key", "node"))
-    found = cut(candidates(groups, about, least))
+        groups = groups.unionByName(in_blocks(first.select(F.concat_ws(":", F.lit("word"), "item").alias("key"), "node", "n"), group).select("key", "node", "n"))
+    found = cut(candidates(fitting(groups, least), about, least))
     if not found.limit(1).count():
         return None
     # parts of candidates over all buckets
@@ -643,10 +653,11 @@ def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows:
     signed = cut(signatures(base.where(F.col("text").isNotNull())))
     nodes = cut(signed.groupBy("c1", "c2").agg(F.min("id").alias("least_id"), F.min("row").alias("node")))
     one = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    members = one.select(F.explode("sketches").alias("sketch"), "node")
+    lengths = one.select(F.explode("sketches").alias("sketch"), "node", "n")
+    members = lengths.select("sketch", "node")
     ends = members.groupBy("sketch").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
     ends = cut(ends.where(F.col("lo") != F.col("hi")))
-    crowded = members.join(ends.where(F.col("n") > 3).select("sketch"), "sketch")
+    crowded = lengths.join(ends.where(F.col("n") > 3).select("sketch"), "sketch")
     proposed = members.join(ends, "sketch").select("node", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("node") != F.col("end"))
     # how often each pair is proposed, at most once per sketch and end
     counted = cut(proposed.groupBy(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).agg(F.count(F.lit(1)).alias("times")))
