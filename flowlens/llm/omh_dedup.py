@@ -67,7 +67,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, mix64, numbered, powers, removed, rolling, small, text_slices, unique_name, whitespace_table, word_hashes, word_spans, written
+from flowlens.llm.common import cut, freed_shuffles, mix64, numbered, powers, removed, rolling, small, text_slices, unique_name, whitespace_table, word_hashes, word_spans, written
 
 RUN = 2
 SHORT = 10
@@ -650,6 +650,18 @@ def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows:
     """(row, id, text), stored -> row, id, class_id, class_key. A node, the
     documents of the same words, goes by the number of its first row."""
     base = base.select("row", "id", "text")
+    with freed_shuffles(base.sparkSession):
+        signed, nodes, state = _solved(base, least, broadcast_rows, group)
+    named = nodes.join(state, "node", "left").select("c1", "c2", "least_id", F.coalesce("root", "node").alias("root"))
+    classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    by_node = named.join(classes, "root").select("c1", "c2", "class_id", F.col("root").cast("string").alias("class_key"))
+    told = signed.select("row", "id", "c1", "c2").join(by_node, ["c1", "c2"]).select("row", "id", "class_id", "class_key")
+    alone = base.where(F.col("text").isNull())
+    return told.unionByName(alone.select("row", "id", F.col("id").alias("class_id"), F.col("row").cast("string").alias("class_key")))
+
+
+def _solved(base: DataFrame, least: float, broadcast_rows: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of the rows, the nodes, and (node, root) of those with links, all written."""
     signed = cut(signatures(base.where(F.col("text").isNotNull())))
     nodes = cut(signed.groupBy("c1", "c2").agg(F.min("id").alias("least_id"), F.min("row").alias("node")))
     one = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
@@ -690,12 +702,7 @@ def _near_duplicates(base: DataFrame, least: float = SIMILARITY, broadcast_rows:
     more = crowded_links(crowded, state, one.select("node", "n", "bins"), words, least, group)
     if more is not None and more.limit(1).count():
         state = components(links.union(more))
-    named = nodes.join(state, "node", "left").select("c1", "c2", "least_id", F.coalesce("root", "node").alias("root"))
-    classes = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    by_node = named.join(classes, "root").select("c1", "c2", "class_id", F.col("root").cast("string").alias("class_key"))
-    told = signed.select("row", "id", "c1", "c2").join(by_node, ["c1", "c2"]).select("row", "id", "class_id", "class_key")
-    alone = base.where(F.col("text").isNull())
-    return told.unionByName(alone.select("row", "id", F.col("id").alias("class_id"), F.col("row").cast("string").alias("class_key")))
+    return signed, nodes, state
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -704,7 +711,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     row = unique_name(docs.columns, "row")
     held = numbered(docs, row, "omh")
     base = held.select(F.col(row).alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    found = cut(_near_duplicates(base, **options))
+    with freed_shuffles(docs.sparkSession):
+        found = cut(_near_duplicates(base, **options))
     stay = found.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row")
     drop = small(found.join(stay, "row", "left_anti").select(F.col("row").alias(row)))
     return held.join(drop, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

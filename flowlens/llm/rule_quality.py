@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from flowlens.llm.common import cut, held_out, text_slices, unique_name, whitespace_table, word_hashes, word_spans
 
 MAX_FIT_ROWS = 20_000
+#: Tasks of each pass over those rows; the fit makes about a hundred passes.
+FIT_TASKS = 4
 TREES = 20
 DEPTH = 3
 LASSO = 0.001
@@ -247,7 +249,8 @@ def learn_quality(stats_rows: DataFrame, labels: DataFrame, stats: str, doc_id:
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("__id"), F.lit(n)) < max_rows)
-    rows = cut(rows.repartition(4, "__id").sortWithinPartitions("__id", "__label"))
+    # however the rows are dealt, the fit reads them with FIT_TASKS tasks
+    rows = cut(rows.repartition(FIT_TASKS, "__id").coalesce(FIT_TASKS).sortWithinPartitions("__id", "__label"))
     return fit_rules(rows, "__stats", "__label")
 
 

@@ -4,7 +4,9 @@ training-data operators on small tables."""
 import base64
 import hashlib
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -540,3 +542,45 @@ def test_toxicity_blocks_equal_the_whole_table(spark):
     counts = spark.createDataFrame(rows, "code int, toxic bigint, ordinary bigint")
     assert (kn.unpacked(kn.gathered_ratios(counts)) == kn.ratio_table(codes, toxic, ordinary)).all()
     assert kn.gathered_ratios(counts.withColumn("toxic", F.lit(0))) is None
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name for d in folders for f in Path(d.toString()).rglob("shuffle_*.data")}
+
+
+def test_steps_of_near_duplicates_leave_no_shuffle_files(spark, odd):
+    """Each step is cut, so its shuffle files go with it and not when the driver
+    happens to collect its garbage."""
+    from flowlens.llm import omh_dedup
+    from flowlens.llm.common import freed_shuffles
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting, None), shuffle_files(spark)
+    found = omh_dedup.near_duplicates(odd)
+    end = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < end:  # they are removed in the background
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(setting, None) == was
+    assert found.count() == found.count() == 12
+    with pytest.raises(ValueError), freed_shuffles(spark):
+        raise ValueError
+    assert spark.conf.get(setting, None) == was
+
+
+def test_rules_are_fitted_with_few_tasks(spark, monkeypatch):
+    """The fit reads its bounded rows a hundred times; a pass has FIT_TASKS tasks
+    however many partitions the rows are dealt to."""
+    from flowlens.llm import rule_quality
+
+    deal, seen = type(spark.range(0)).repartition, []
+    rows = spark.range(400).select("id", F.struct(F.col("id").alias("x")).alias("stats"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    monkeypatch.setattr(rule_quality, "fit_rules", lambda rows, *_: seen.append((rows.rdd.getNumPartitions(), rows.count())))
+    learn = lambda: rule_quality.learn_quality(rows.withColumnRenamed("id", "doc_id"), labels, "stats")
+    learn()
+    monkeypatch.setattr(type(rows), "repartition", lambda self, n, *by: deal(self, 50 if by else n, *by))
+    learn()
+    kept = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400))
+    assert seen == [(4, kept), (4, kept)]
