@@ -1,14 +1,21 @@
 """Permutations by arithmetic: one position each, whatever n; one range sort
 whatever the number of draws; experiments planned from a schema."""
 
+import math
+from collections import Counter
 from dataclasses import replace
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import model as ML
 from flowlens.operators import permutation as PM
 from flowlens.operators.experiments import planned_experiments
+from flowlens.operators.ranking import order_prefix, seeded_order
+from flowlens.session import ensure_checkpoint_dir
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
@@ -58,6 +65,55 @@ def test_values_travel_packed(spark):
     assert sorted(map(str, found.select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
 
 
+def test_words_are_exact():
+    """Numbers travel bit for bit, whatever they are; short decimals in a few bytes."""
+    rng = np.random.default_rng(1)
+    odd = [0.0, -0.0, 1.5, -2.25, math.nan, math.inf, -math.inf, 2.0**31, 5e-324, 1 / 3, None]
+    null_like = np.array([0x7FF0000000000001, 0x7FF0000000000002], np.uint64).view(np.float64)
+    cents = rng.integers(-9_000_000, 9_000_000, 1000) / 100
+    for column in (odd, [None, None], [], [-0.0, 1.0], [0.5, None, -7.25], [*null_like, None, 3.0], list(cents), list(cents * 3), list(rng.normal(size=300))):
+        x = pa.array(column, pa.float64())
+        scale, null, words = PM.number_words(x)
+        words = PM.unsqueezed(PM.squeezed([words[:3], words[3:]]))
+        found, missing = PM.word_numbers(words, np.full(len(x), scale), np.full(len(x), null, np.uint64))
+        assert missing.tolist() == [v is None for v in column]
+        assert found[~missing].tobytes() == x.drop_null().to_numpy().tobytes()
+    assert PM.number_words(pa.array(cents))[0] == 100
+    assert len(PM.squeezed([PM.number_words(pa.array(cents))[2]])) < 4 * len(cents)
+
+
+def test_rows_and_moved_values_travel_once(spark):
+    """Two exchanges, one read twice, and no table written: before, rows were
+    moved to be numbered, written, and moved again to meet the values."""
+    df = spark.range(4000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 900 / 100).alias("a"), F.col("id").cast("int").alias("b"))
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    moved = PM.moved_rows(df, [{"d": 0}, {"d": 1}], [["a"], ["b", "a"]], "k")
+    rows = moved.collect()
+    plan = moved._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 2 and plan.count("ReusedExchange") == 1
+    assert set(root.iterdir()) == before
+    for own, found in (("a", "_m0_0"), ("b", "_m1_0"), ("a", "_m1_1")):
+        assert sorted(float(r[own]) for r in rows) == sorted(r[found] for r in rows)
+
+
+def test_crowded_keys_are_cut(spark):
+    """Rows of one key that are too many for a block are spread over several,
+    and every value still moves to one row."""
+    n, hot = 9000, 6000
+    df = spark.range(n).select(F.when(F.col("id") >= hot, F.col("id")).alias("k"), (F.col("id") * 0.5).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") / 7).alias("b"))
+    order = order_prefix(seeded_order(42, "k"))
+    blocks = PM.Blocks(df.select(order.alias("_order"), F.pmod(F.xxhash64("a"), F.lit(PM.TIES)).alias("_tie")), 4)
+    sizes = np.diff(blocks.firsts)
+    assert blocks.firsts[-1] == n and sizes.max() < 1.25 * PM.SMALLEST_BLOCK and (sizes > 0).sum() >= 6
+    rows = PM.group_permuted_long(df, {"ab": ("a", "b")}, "k").collect()
+    assert len(rows) == 2 * n
+    for feature in ("a", "b"):
+        found = [r for r in rows if r["feature"] == feature]
+        assert Counter(r["value"] for r in found) == Counter(r["permuted_value"] for r in found)
+        assert sum(r["value"] == r["permuted_value"] for r in found if r["value"] is not None) < n // 100
+
+
 def test_fits_share_one_layout(spark):
     """A laid-out table is read as it lies, and its forest is the one of a
     table that every fit moves and sorts for itself."""
